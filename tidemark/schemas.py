@@ -35,11 +35,12 @@ STORED_SCHEMA = ENTITY_SCHEMA + ", raw_bytes BIGINT"
 FEED_RAW_SCHEMA = "seq BIGINT, event_id_json STRING, data STRING"
 POSITION_SCHEMA = "array<struct<topic:string,partition:int,timestamp:bigint,offset:bigint>>"
 MANIFEST_SCHEMA = (
-    "entity_type STRING, volume_id INT, lo BIGINT, hi BIGINT, rows BIGINT, raw_bytes BIGINT, path STRING"
+    "entity_type STRING, volume_id INT, lo BIGINT, hi BIGINT, rows BIGINT, raw_bytes BIGINT, "
+    "last_num BIGINT, path STRING"
 )
 PROGRESS_SCHEMA = (
     f"entity_type STRING, last_event_id {POSITION_SCHEMA}, last_event_ts_ms BIGINT, "
-    "last_seq BIGINT, initialized BOOLEAN, batch_id BIGINT"
+    "initialized BOOLEAN, stream_id STRING, batch_id BIGINT"
 )
 
 

@@ -38,8 +38,7 @@ def requested_document(body: Column, id_text: Column) -> Column:
 
 def document_revision(data: Column) -> Column:
     """The document's own revision; null unless it is an unsigned whole number."""
-    revision = F.from_json(data, "lastrevid BIGINT")["lastrevid"]
-    return F.when(revision >= 0, revision)
+    return F.nullif(F.greatest(F.from_json(data, "lastrevid BIGINT")["lastrevid"], F.lit(-1)), F.lit(-1))
 
 
 def stub_document(type_col: Column, num: Column, revision: Column) -> Column:

@@ -13,9 +13,8 @@ RECONNECT_REWIND_MS = 2_000
 
 
 def decode_position(json_col: Column) -> Column:
-    """Parts of a position; null when the text is not a position with a timestamp."""
-    parts = F.from_json(json_col, POSITION_SCHEMA)
-    return F.when(F.exists(parts, lambda part: part["timestamp"].isNotNull()), parts)
+    """Parts of a position; null when the text is not one."""
+    return F.from_json(json_col, POSITION_SCHEMA)
 
 
 def encode_position(parts: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.position import earlier_position, position_ts_ms
@@ -12,35 +12,39 @@ from tidemark.plans.prefix import number_rows
 LAG_SAMPLE = 10
 
 
-def _rates(grouped, seconds: Column) -> DataFrame:
-    return grouped.agg(
+def _volume_of_feed() -> list[Column]:
+    return [
         F.count("*").alias("events"),
         F.sum(F.octet_length("data")).cast("bigint").alias("bytes"),
-    ).withColumn("events_per_sec", F.col("events") / seconds)
+    ]
 
 
-def feed_rate(feed: DataFrame, period: str = "1 day", period_sec: int = 86400) -> DataFrame:
+def feed_rate(feed: DataFrame, period_sec: int = 86400) -> DataFrame:
     """Events, bytes and events per second, per period and entity type.
 
-    ``feed`` has (ts TIMESTAMP, entity_type, data). Works on a batch and, with a watermark on ts, on a
-    stream.
+    ``feed`` has (event_ts_ms, entity_type, data); on a stream it also has the watermarked time ts.
     """
-    grouped = feed.groupBy(F.window("ts", period).alias("w"), "entity_type")
-    rates = _rates(grouped, F.lit(float(period_sec)))
-    return rates.select(F.col("w.start").alias("period_start"), "entity_type", "events", "bytes", "events_per_sec")
+    if "ts" not in feed.columns:
+        feed = feed.withColumn("ts", F.timestamp_millis("event_ts_ms"))
+    grouped = feed.groupBy(F.window("ts", f"{period_sec} seconds").alias("w"), "entity_type")
+    return grouped.agg(*_volume_of_feed()).select(
+        F.unix_millis("w.start").alias("period_start_ms"),
+        "entity_type",
+        "events",
+        "bytes",
+        (F.col("events") / F.lit(float(period_sec))).alias("events_per_sec"),
+    )
 
 
 def feed_rate_total(feed: DataFrame) -> DataFrame:
-    """Events and bytes per entity type and in total (entity_type null), with the share of events.
+    """Events, bytes, share and events per second over the whole feed, per type and in total.
 
-    The span is that of the whole feed. The type rows come from a hash aggregate; the total is rolled up
-    from them.
+    The total (entity_type null) is rolled up from the type rows, so the feed is aggregated once.
     """
     per_type = feed.groupBy("entity_type").agg(
-        F.count("*").alias("events"),
-        F.sum(F.octet_length("data")).cast("bigint").alias("bytes"),
-        F.min(F.unix_millis("ts")).alias("first_ms"),
-        F.max(F.unix_millis("ts")).alias("last_ms"),
+        *_volume_of_feed(),
+        F.min("event_ts_ms").alias("first_ms"),
+        F.max("event_ts_ms").alias("last_ms"),
     )
     rolled = per_type.rollup("entity_type").agg(
         F.grouping("entity_type").alias("is_total"),
@@ -49,23 +53,16 @@ def feed_rate_total(feed: DataFrame) -> DataFrame:
         F.min("first_ms").alias("first_ms"),
         F.max("last_ms").alias("last_ms"),
     )
-    total = F.broadcast(
-        rolled.where("is_total = 1").select(
-            F.col("events").alias("all_events"),
-            ((F.col("last_ms") - F.col("first_ms")) / 1000.0).alias("span_sec"),
-            F.lit(True).alias("_one"),
-        )
-    )
-    return (
-        rolled.withColumn("_one", F.lit(True))
-        .join(total, "_one")
-        .select(
-            "entity_type",
-            "events",
-            "bytes",
-            (F.col("events") / F.col("all_events")).alias("share"),
-            (F.col("events") / F.col("span_sec")).alias("events_per_sec"),
-        )
+    # A handful of rows by now: one per type and the total.
+    whole = Window.partitionBy()
+    total_events = F.max(F.when(F.col("is_total") == 1, F.col("events"))).over(whole)
+    span_ms = F.max("last_ms").over(whole) - F.min("first_ms").over(whole)
+    return rolled.select(
+        "entity_type",
+        "events",
+        "bytes",
+        (F.col("events") / total_events).alias("share"),
+        (F.col("events") * 1000.0 / span_ms).alias("events_per_sec"),
     )
 
 

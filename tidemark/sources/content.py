@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ids import format_id
 from tidemark.functions.payload import document_revision, requested_document
+from tidemark.plans.once import evaluated_once
 
 CONTENT_SCHEMA = "entity_type STRING, entity_num BIGINT, requested_revision BIGINT, body STRING"
 
@@ -22,13 +23,14 @@ def extract_content(content: DataFrame) -> DataFrame:
     without a usable revision carries a reason.
     """
     asked = format_id(F.col("entity_type"), F.col("entity_num"))
-    found = content.select(
+    found = evaluated_once(content, data=requested_document(F.col("body"), asked)).where(F.col("data").isNotNull())
+    read = evaluated_once(found, revision=document_revision(F.col("data")))
+    return read.select(
         "entity_type",
         "entity_num",
         "requested_revision",
-        requested_document(F.col("body"), asked).alias("data"),
+        "revision",
+        "data",
         F.col("body").alias("raw"),
-    ).where(F.col("data").isNotNull())
-    return found.withColumn("revision", document_revision(F.col("data"))).withColumn(
-        "reason", F.when(F.col("revision").isNull(), "bad_revision")
+        F.when(F.col("revision").isNull(), "bad_revision").alias("reason"),
     )

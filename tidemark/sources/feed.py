@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ids import parse_title
 from tidemark.functions.payload import CHANGE_KINDS, hint, is_redirect, payload
 from tidemark.functions.position import decode_position, position_ts_ms
+from tidemark.plans.once import evaluated_once
 from tidemark.plans.prefix import number_rows
 from tidemark.schemas import ENTITY_TYPES, FEED_RAW_SCHEMA, type_of_namespace
 
@@ -43,20 +44,14 @@ def decode_feed(feed: DataFrame, wiki: str, types: Sequence[str] = ALL_TYPES) ->
     The two deciding fields are read first, so other payloads are never parsed in full. Columns: seq,
     event_id, event_ts_ms, entity_type, entity_num, kind, revision, is_redirect, raw, reason.
     """
-    hinted = feed.withColumn("hint", hint(F.col("data"))).withColumn(
-        "entity_type", type_of_namespace(F.col("hint.namespace"))
-    )
+    hinted = evaluated_once(feed, hint=hint(F.col("data")))
+    typed = hinted.withColumn("entity_type", type_of_namespace(F.col("hint.namespace")))
     unreadable = F.col("hint.wiki").isNull() | F.col("hint.namespace").isNull()
     ours = (F.col("hint.wiki") == wiki) & F.col("entity_type").isin(list(types))
-    kept = hinted.where(unreadable | ours)
-    parsed = kept.select(
-        "seq",
-        decode_position(F.col("event_id_json")).alias("event_id"),
-        "entity_type",
-        payload(F.col("data")).alias("p"),
-        F.col("data").alias("raw"),
-        unreadable.alias("unreadable"),
+    kept = typed.where(unreadable | ours).select(
+        "seq", "event_id_json", "data", "entity_type", unreadable.alias("unreadable")
     )
+    parsed = evaluated_once(kept, event_id=decode_position(F.col("event_id_json")), p=payload(F.col("data")))
     changes = parsed.select(
         "seq",
         "event_id",
@@ -66,7 +61,7 @@ def decode_feed(feed: DataFrame, wiki: str, types: Sequence[str] = ALL_TYPES) ->
         F.col("p.type").alias("kind"),
         F.col("p.revision.new").alias("revision"),
         is_redirect(F.col("p.comment")).alias("is_redirect"),
-        "raw",
+        F.col("data").alias("raw"),
         "unreadable",
     )
     is_log = F.col("kind") == "log"

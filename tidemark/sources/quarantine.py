@@ -18,4 +18,5 @@ def rejected(checked: DataFrame, source: str) -> DataFrame:
 
 
 def write_quarantine(rejects: DataFrame, path: str) -> None:
-    rejects.write.mode("append").partitionBy("source").parquet(path)
+    """Keep rejected rows; a repeated batch writes to the same path and replaces its first attempt."""
+    rejects.write.mode("overwrite").parquet(path)

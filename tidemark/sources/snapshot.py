@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import parse_id
+from tidemark.plans.once import evaluated_once
 from tidemark.schemas import ENTITY_TYPES, entity_type
 
 LAYOUTS = ("json_array", "json_lines")
@@ -41,7 +42,7 @@ def parse_entities(lines: DataFrame, types: Sequence[str] = ("Item",)) -> DataFr
     for are left out. Lines that are not entities carry a reason.
     """
     head = F.from_json("value", "id STRING, lastrevid BIGINT")
-    read = lines.select(F.col("value").alias("data"), head.alias("head"))
+    read = evaluated_once(lines, head=head).withColumnRenamed("value", "data")
     prefix = F.substring("head.id", 1, 1)
     named = None
     for ty in ENTITY_TYPES:

@@ -39,9 +39,8 @@ def apply_batch(
     changes = accepted(decoded)
     resolve(changes, content).write.mode("overwrite").parquet(f"{at}/commands")
     commands = spark.read.parquet(f"{at}/commands")
-    version = store.apply(commands, last_position(changes), stream_id, batch_id)
-    write_quarantine(rejected(decoded, f"feed-{stream_id}-{batch_id}"), f"{store.root}/quarantine")
-    return version
+    write_quarantine(rejected(decoded, "feed"), f"{at}/quarantine")
+    return store.apply(commands, last_position(changes), stream_id, batch_id)
 
 
 def run_stream(
@@ -76,7 +75,9 @@ def run_stream(
 def resume_feed(store: EntityStore, feed: DataFrame, rewind_ms: int = START_REWIND_MS) -> DataFrame:
     """The part of a feed a job that starts now still needs: from the stored position, minus an overlap.
 
-    Records of the overlap were applied before; the revision rule makes applying them again harmless.
+    Records of the overlap were applied before. The revision rule skips the ones that are older than the
+    stored entity; a deleted entity keeps no revision, so an overlap can bring one back until its delete
+    is replayed as well.
     """
     at = store.progress().agg(F.min("last_event_ts_ms")).first()[0]
     return feed if at is None else feed_from(feed, at, rewind_ms)

@@ -8,29 +8,29 @@ from pyspark.sql import functions as F
 from tidemark.operators.metrics import feed_rate
 
 
-def drop_replayed(feed: DataFrame, uid: str = "seq", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+def _timed(feed: DataFrame, delay: str) -> DataFrame:
+    return feed.withColumn("ts", F.timestamp_millis("event_ts_ms")).withWatermark("ts", delay)
+
+
+def drop_replayed(feed: DataFrame, uid: str = "seq", delay: str = "1 hour") -> DataFrame:
     """Drop records already seen within ``delay`` (a reconnect delivers some records twice)."""
-    timed = feed.withColumn(ts, F.col(ts).cast("timestamp"))
-    return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([uid])
+    return _timed(feed, delay).dropDuplicatesWithinWatermark([uid]).drop("ts")
 
 
-def live_rate(
-    feed: DataFrame, period: str = "1 day", period_sec: int = 86400, delay: str = "1 hour"
-) -> DataFrame:
-    """Events and bytes per closed period and entity type, from a stream with a ts column."""
-    timed = feed.withColumn("ts", F.col("ts").cast("timestamp"))
-    return feed_rate(timed.withWatermark("ts", delay), period, period_sec)
+def live_rate(feed: DataFrame, period_sec: int = 86400, delay: str = "1 hour") -> DataFrame:
+    """Events and bytes per period and entity type, from a stream with event_ts_ms."""
+    return feed_rate(_timed(feed, delay), period_sec)
 
 
-def live_lag(feed: DataFrame, period: str = "1 minute", delay: str = "1 hour") -> DataFrame:
-    """Largest and mean distance between event time and arrival, per period of event time.
+def live_lag(feed: DataFrame, period_sec: int = 60, delay: str = "1 hour") -> DataFrame:
+    """Distance between event time and arrival, per period of event time.
 
-    ``feed`` has ts and arrived_at.
+    ``feed`` has event_ts_ms and arrived_ms.
     """
-    timed = feed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    lag = F.unix_millis(F.col("arrived_at").cast("timestamp")) - F.unix_millis("ts")
+    lag = F.col("arrived_ms") - F.col("event_ts_ms")
     return (
-        timed.groupBy(F.window("ts", period).alias("w"))
-        .agg(F.count("*").alias("events"), F.max(lag).alias("max_lag_ms"), F.avg(lag).alias("mean_lag_ms"))
-        .select(F.col("w.start").alias("period_start"), "events", "max_lag_ms", "mean_lag_ms")
+        _timed(feed, delay)
+        .groupBy(F.window("ts", f"{period_sec} seconds").alias("w"))
+        .agg(F.count("*").alias("events"), F.min(lag).alias("min_lag_ms"), F.max(lag).alias("max_lag_ms"))
+        .select(F.unix_millis("w.start").alias("period_start_ms"), "events", "min_lag_ms", "max_lag_ms")
     )

@@ -129,20 +129,26 @@ def never_pending(ledger: DataFrame) -> DataFrame:
     return _per_item(ledger).where(F.col("persisted") > F.col("pending"))
 
 
+def _position_at(changes: DataFrame, pick, pick_by, prefix: str) -> DataFrame:
+    """Position at the extreme timestamp per type, ties decided by seq.
+
+    The extreme is found on numbers alone; whole positions are only compared among the rows that have it.
+    """
+    ts = f"{prefix}_event_ts_ms"
+    ends = changes.groupBy("entity_type").agg(pick("event_ts_ms").alias(ts))
+    # One row per entity type.
+    at_end = changes.join(F.broadcast(ends), "entity_type").where(F.col("event_ts_ms") == F.col(ts))
+    return at_end.groupBy("entity_type", ts).agg(pick_by("event_id", "seq").alias(f"{prefix}_event_id"))
+
+
 def last_position(changes: DataFrame) -> DataFrame:
     """Per type, the latest position among the changes (a batch that was applied)."""
-    return changes.groupBy("entity_type").agg(
-        F.max_by("event_id", F.struct("event_ts_ms", "seq")).alias("last_event_id"),
-        F.max("event_ts_ms").alias("last_event_ts_ms"),
-    )
+    return _position_at(changes, F.max, F.max_by, "last")
 
 
 def first_position(changes: DataFrame) -> DataFrame:
     """Per type, the earliest position: where a load that includes all of them has to start."""
-    return changes.groupBy("entity_type").agg(
-        F.min_by("event_id", F.struct("event_ts_ms", "seq")).alias("start_event_id"),
-        F.min("event_ts_ms").alias("start_event_ts_ms"),
-    )
+    return _position_at(changes, F.min, F.min_by, "start")
 
 
 def start_position(progress: DataFrame, offered: Column) -> DataFrame:

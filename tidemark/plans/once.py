@@ -2,7 +2,7 @@
 
 The optimizer inlines a projected expression into every later filter and projection that mentions it,
 and turns each access to a field of a parsed JSON value into a parse of its own. A one-element
-``inline`` is a boundary it does not move expressions across, and it stays in generated code.
+``inline`` is a boundary it does not move expressions across.
 """
 
 from __future__ import annotations

@@ -52,12 +52,17 @@ def decode_feed(feed: DataFrame, wiki: str, types: Sequence[str] = ALL_TYPES) ->
         "seq", "event_id_json", "data", "entity_type", unreadable.alias("unreadable")
     )
     parsed = evaluated_once(kept, event_id=decode_position(F.col("event_id_json")), p=payload(F.col("data")))
-    changes = parsed.select(
+    located = evaluated_once(
+        parsed,
+        event_ts_ms=position_ts_ms(F.col("event_id")),
+        entity_num=parse_title(F.col("entity_type"), F.col("p.title")),
+    )
+    changes = located.select(
         "seq",
         "event_id",
-        position_ts_ms(F.col("event_id")).alias("event_ts_ms"),
+        "event_ts_ms",
         "entity_type",
-        parse_title(F.col("entity_type"), F.col("p.title")).alias("entity_num"),
+        "entity_num",
         F.col("p.type").alias("kind"),
         F.col("p.revision.new").alias("revision"),
         is_redirect(F.col("p.comment")).alias("is_redirect"),

@@ -6,26 +6,42 @@
 
 A version rewrites only the volumes it touches, into a folder of its own; the manifest of the version
 names the folder of every volume. Nothing that a reader may be reading is ever overwritten, and an
-attempt that dies before its manifest leaves the previous version in place.
+attempt that dies before its manifest leaves the previous version in place. One writer at a time.
+
+The driver handles the manifest alone: one row per volume, 250 MiB of bodies each by default.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.merge import merge
-from tidemark.operators.volumes import MAX_VOLUME_BYTES, cut_volumes, raw_size, route
-from tidemark.operators.export import pinned
+from tidemark.operators.volumes import MAX_VOLUME_BYTES, ROUTE_BROADCAST_ROWS, cut_volumes, raw_size, route
 from tidemark.schemas import MANIFEST_SCHEMA, PROGRESS_SCHEMA, STORED_SCHEMA
 
-# Ids per file of a volume: a volume that outgrew its budget is still written by several tasks.
-FILE_BITS = 20
+# Upper end of the tasks that write one overgrown volume.
+MAX_PIECES = 10_000
 
 BODY = ("entity_type", "entity_num", "revision", "data")
+VOLUME_KEY = ("entity_type", "volume_id")
+
+
+class Volume(NamedTuple):
+    """A manifest row."""
+
+    entity_type: str
+    volume_id: int
+    lo: int
+    hi: int | None
+    rows: int
+    raw_bytes: int
+    last_num: int | None
+    path: str | None
 
 
 class EntityStore:
@@ -36,15 +52,15 @@ class EntityStore:
 
     # --- versions -------------------------------------------------------------------------------
 
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
     def _filesystem(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def versions(self) -> list[int]:
         """Published versions, oldest first."""
-        jvm, fs = self._filesystem()
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/version=*/*.parquet"))
+        found = self._filesystem().globStatus(self._path("manifest/version=*/*.parquet"))
         names = [status.getPath().getParent().getName() for status in (found or [])]
         return sorted({int(name.split("=")[1]) for name in names})
 
@@ -66,12 +82,17 @@ class EntityStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/version={version}")
 
+    def _volumes(self, version: int | None = None) -> list[Volume]:
+        return [Volume(*row) for row in self.manifest(version).collect()]
+
+    def _table(self, volumes: Iterable[Volume]) -> DataFrame:
+        return self.spark.createDataFrame([tuple(v) for v in volumes], MANIFEST_SCHEMA)
+
     def expire(self, keep: int) -> int:
         """Drop all but the newest ``keep`` versions; returns the number of volume folders removed."""
-        jvm, fs = self._filesystem()
         versions = self.versions()
         old, kept = versions[:-keep], versions[-keep:]
-        if not old or not kept:
+        if keep < 1 or not old:
             return 0
 
         def folders(of: Sequence[int]) -> DataFrame:
@@ -80,11 +101,12 @@ class EntityStore:
             return read.where(F.col("path").isNotNull()).select("path").distinct()
 
         unused = [row.path for row in folders(old).join(folders(kept), "path", "left_anti").collect()]
+        fs = self._filesystem()
         for version in old:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/version={version}"), True)
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/progress/version={version}"), True)
+            fs.delete(self._path(f"manifest/version={version}"), True)
+            fs.delete(self._path(f"progress/version={version}"), True)
         for path in unused:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/data/{path}"), True)
+            fs.delete(self._path(f"data/{path}"), True)
         return len(unused)
 
     # --- reading --------------------------------------------------------------------------------
@@ -101,23 +123,22 @@ class EntityStore:
         The version is pinned when this is called, so a long export sees one consistent state. The
         manifest picks the folders, so volumes outside the types or the id range are never listed.
         """
-        volumes = self.manifest(version)
-        if types is not None:
-            volumes = volumes.where(F.col("entity_type").isin(list(types)))
-        if lo is not None:
-            volumes = volumes.where(F.coalesce(F.col("hi") >= lo, F.lit(True)))
-        if hi is not None:
-            volumes = volumes.where(F.col("lo") <= hi)
-        rows = self._read_volumes(volumes)
+        wanted = [
+            v
+            for v in self._volumes(version)
+            if (types is None or v.entity_type in types)
+            and (lo is None or v.hi is None or v.hi >= lo)
+            and (hi is None or v.lo <= hi)
+        ]
+        rows = self._read_volumes(wanted)
         if lo is not None:
             rows = rows.where(F.col("entity_num") >= lo)
         if hi is not None:
             rows = rows.where(F.col("entity_num") <= hi)
         return rows
 
-    def _read_volumes(self, volumes: DataFrame) -> DataFrame:
-        paths = [row.path for row in volumes.where(F.col("path").isNotNull()).select("path").collect()]
-        return self._read_folders(sorted(paths))
+    def _read_volumes(self, volumes: Iterable[Volume]) -> DataFrame:
+        return self._read_folders(sorted(v.path for v in volumes if v.path is not None))
 
     def _read_folders(self, folders: Sequence[str]) -> DataFrame:
         schema = f"{STORED_SCHEMA}, volume_id INT"
@@ -130,62 +151,81 @@ class EntityStore:
 
     # --- writing --------------------------------------------------------------------------------
 
-    def _write_data(self, assigned: DataFrame, version: int) -> str:
-        """Write rows with a volume_id, sorted, into a new folder; returns its name."""
+    def _write_data(self, rows: DataFrame, volumes: Sequence[Volume], expected: dict, version: int) -> dict:
+        """Write rows to the volumes responsible for them; returns what each volume now holds.
+
+        ``expected`` has the likely bytes per (entity_type, volume_id) to be written. A volume is one
+        partition, written sorted by one task, unless it holds more than the budget; then its ids are
+        spread over several.
+        """
         folder = f"v={version}-{uuid.uuid4().hex}"
-        placed = ["entity_type", "volume_id", F.shiftright("entity_num", FILE_BITS)]
+        pieces, layout = 0, []
+        for key, size in expected.items():
+            count = min(max(1, -(-size // max(self.max_volume_bytes, 1))), MAX_PIECES)
+            layout.append((*key, pieces, count))
+            pieces += count
+        table = self.spark.createDataFrame(
+            layout, "entity_type STRING, volume_id INT, first_piece INT, pieces INT"
+        )
+        if len(layout) <= ROUTE_BROADCAST_ROWS:
+            table = F.broadcast(table)
+        piece = F.col("first_piece") + F.pmod(F.shiftright("entity_num", 6), F.col("pieces")).cast("int")
         (
-            assigned.select(*BODY, raw_size(F.col("data")).alias("raw_bytes"), "volume_id")
-            .repartition(*placed)
+            self._routed(rows, volumes)
+            .join(table, list(VOLUME_KEY))
+            .select(*BODY, raw_size(F.col("data")).alias("raw_bytes"), "volume_id", piece.alias("piece"))
+            .repartitionById(max(pieces, 1), F.col("piece"))
+            .drop("piece")
             .sortWithinPartitions("entity_type", "volume_id", "entity_num")
             .write.partitionBy("entity_type", "volume_id")
             .parquet(f"{self.root}/data/{folder}")
         )
-        return folder
-
-    def _folder_stats(self, folder: str) -> DataFrame:
-        """What a folder holds per volume, from the narrow columns of its files."""
-        volume = F.concat(
-            F.lit(f"{folder}/entity_type="), "entity_type", F.lit("/volume_id="), F.col("volume_id").cast("string")
-        )
-        stats = self._read_folders([folder]).groupBy("entity_type", "volume_id").agg(
-            F.count("*").alias("rows"),
-            F.sum("raw_bytes").alias("raw_bytes"),
-            F.max("entity_num").alias("last_num"),
+        held = self._read_folders([folder]).groupBy(*VOLUME_KEY).agg(
+            F.count("*"), F.sum("raw_bytes"), F.max("entity_num")
         )
-        return stats.withColumn("path", volume)
+        return {
+            (ty, vid): (n, size, last, f"{folder}/entity_type={ty}/volume_id={vid}")
+            for ty, vid, n, size, last in held.collect()
+        }
+
+    def _routed(self, rows: DataFrame, volumes: Sequence[Volume]) -> DataFrame:
+        return route(rows, self._table(volumes))
+
+    def _cut(self, sizes: DataFrame, first_id: int = 0, first_lo: int | None = None) -> list[Volume]:
+        """Volumes for (entity_type, entity_num, raw_bytes), not written yet."""
+        cut = cut_volumes(sizes, self.max_volume_bytes).orderBy("entity_type", "volume_id")
+        return [
+            Volume(
+                row.entity_type,
+                row.volume_id + first_id,
+                first_lo if first_lo is not None and row.volume_id == 0 else row.lo,
+                row.hi,
+                row.rows,
+                row.raw_bytes,
+                row.last_num,
+                None,
+            )
+            for row in cut.collect()
+        ]
 
-    def _publish(self, version: int, volumes: DataFrame, progress: DataFrame) -> None:
-        names = [field.split()[0] for field in MANIFEST_SCHEMA.split(", ")]
+    def _publish(self, version: int, volumes: Sequence[Volume], progress: DataFrame) -> None:
         progress.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/progress/version={version}")
-        table = volumes.select(*names).coalesce(1).sortWithinPartitions("entity_type", "volume_id")
-        table.write.mode("overwrite").parquet(f"{self.root}/manifest/version={version}")
+        ordered = sorted(volumes, key=lambda v: (v.entity_type, v.volume_id))
+        self._table(ordered).coalesce(1).write.mode("overwrite").parquet(
+            f"{self.root}/manifest/version={version}"
+        )
 
-    def _progress_rows(
-        self, positions: DataFrame | None, types: DataFrame, initialized: bool, stream_id: str, batch_id: int
+    def _progress(
+        self, positions: DataFrame | None, volumes: Sequence[Volume], stream_id: str, batch_id: int
     ) -> DataFrame:
         """Progress per type: the position of this version, or the stored one if it brings none."""
-        stored = self.progress().select(
-            "entity_type",
-            F.col("last_event_id").alias("stored_id"),
-            F.col("last_event_ts_ms").alias("stored_ts"),
-        )
-        rows = types.join(stored, "entity_type", "left")
-        if positions is None:
-            rows = rows.withColumns({"last_event_id": F.col("stored_id"), "last_event_ts_ms": F.col("stored_ts")})
-        else:
-            rows = rows.join(positions, "entity_type", "left")
-            rows = rows.withColumn("last_event_id", F.coalesce("last_event_id", "stored_id")).withColumn(
-                "last_event_ts_ms", F.coalesce("last_event_ts_ms", "stored_ts")
-            )
-        return rows.select(
-            "entity_type",
-            "last_event_id",
-            "last_event_ts_ms",
-            F.lit(initialized).alias("initialized"),
-            F.lit(stream_id).alias("stream_id"),
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-        )
+        at = {row.entity_type: (row.last_event_id, row.last_event_ts_ms) for row in self.progress().collect()}
+        if positions is not None:
+            for row in positions.select("entity_type", "last_event_id", "last_event_ts_ms").collect():
+                at[row.entity_type] = (row.last_event_id, row.last_event_ts_ms)
+        types = sorted({v.entity_type for v in volumes} | set(at))
+        rows = [(ty, *at.get(ty, (None, None)), True, stream_id, batch_id) for ty in types]
+        return self.spark.createDataFrame(rows, PROGRESS_SCHEMA)
 
     def load(self, entities: DataFrame, positions: DataFrame | None = None) -> int:
         """First load: cut the entities into volumes and publish them as a new version.
@@ -194,24 +234,25 @@ class EntityStore:
         has to be taken before the entities are read. The entities are written once before they are
         cut, so that an expensive reconcile does not run twice.
         """
-        version = (self.latest() or 0) + 1 if self.latest() is not None else 0
-        staged_at = f"{self.root}/staging/{uuid.uuid4().hex}"
-        entities.select(*BODY, raw_size(F.col("data")).alias("raw_bytes")).write.parquet(staged_at)
-        staged = self.spark.read.schema(STORED_SCHEMA).parquet(staged_at)
-        volumes = pinned(cut_volumes(staged, self.max_volume_bytes))
-        folder = self._write_data(route(staged, volumes), version)
-        paths = self._folder_stats(folder).select("entity_type", "volume_id", "path")
-        table = volumes.join(paths, ["entity_type", "volume_id"], "left")
-        types = volumes.select("entity_type").distinct()
-        self._publish(version, table, self._progress_rows(positions, types, True, "load", -1))
-        jvm, fs = self._filesystem()
-        fs.delete(jvm.org.apache.hadoop.fs.Path(staged_at), True)
+        latest = self.latest()
+        version = 0 if latest is None else latest + 1
+        staged_at = f"staging/{uuid.uuid4().hex}"
+        sized = entities.select(*BODY, raw_size(F.col("data")).alias("raw_bytes"))
+        sized.write.parquet(f"{self.root}/{staged_at}")
+        staged = self.spark.read.schema(STORED_SCHEMA).parquet(f"{self.root}/{staged_at}")
+        volumes = self._cut(staged)
+        expected = {(v.entity_type, v.volume_id): v.raw_bytes for v in volumes}
+        written = self._write_data(staged, volumes, expected, version)
+        volumes = [v._replace(path=written[v.entity_type, v.volume_id][3]) for v in volumes]
+        self._publish(version, volumes, self._progress(positions, volumes, "load", -1))
+        self._filesystem().delete(self._path(staged_at), True)
         return version
 
     def applied(self, stream_id: str, batch_id: int) -> bool:
         """Whether this batch of this stream is already published."""
-        done = self.progress().where(F.col("stream_id") == stream_id).agg(F.max("batch_id")).first()[0]
-        return done is not None and batch_id <= done
+        return any(
+            row.stream_id == stream_id and batch_id <= row.batch_id for row in self.progress().collect()
+        )
 
     def apply(
         self,
@@ -228,79 +269,47 @@ class EntityStore:
         """
         if batch_id is not None and self.applied(stream_id, batch_id):
             return None
-        current = self.latest()
-        version = 0 if current is None else current + 1
-        volumes = self._with_open_volumes(pinned(self.manifest(current)), commands)
-        touched = route(commands.select("entity_type", "entity_num"), volumes)
-        touched = pinned(touched.select("entity_type", "volume_id").distinct())
-        key = ["entity_type", "volume_id"]
-        state = self._read_volumes(volumes.join(touched, key)).select(*BODY)
+        latest = self.latest()
+        version = 0 if latest is None else latest + 1
+        volumes = self._volumes(latest)
+        known = {v.entity_type for v in volumes}
+        for (ty,) in commands.select("entity_type").distinct().collect():
+            if ty not in known:
+                volumes.append(Volume(ty, 0, 1, None, 0, 0, None, None))
+
+        incoming = F.coalesce(raw_size(F.col("data")), F.lit(0).cast("bigint"))
+        routed = self._routed(commands.select("entity_type", "entity_num", incoming.alias("incoming")), volumes)
+        touched = {
+            (ty, vid): size
+            for ty, vid, size in routed.groupBy(*VOLUME_KEY).agg(F.sum("incoming")).collect()
+        }
+        rewritten = [v for v in volumes if (v.entity_type, v.volume_id) in touched]
+        state = self._read_volumes(rewritten).select(*BODY)
         merged = merge(state, commands.select("seq", *BODY, "op"), mode)
-        folder = self._write_data(route(merged, volumes), version)
-
-        written = self._folder_stats(folder).select(
-            *key, F.col("rows").alias("n"), F.col("raw_bytes").alias("b"), F.col("last_num").alias("l"), "path"
-        )
-        untouched = volumes.join(touched, key, "left_anti")
-        rewritten = volumes.drop("path").join(touched, key).join(written, key, "left").select(
-            *key,
-            "lo",
-            "hi",
-            F.coalesce("n", F.lit(0).cast("bigint")).alias("rows"),
-            F.coalesce("b", F.lit(0).cast("bigint")).alias("raw_bytes"),
-            F.coalesce("l", "last_num").alias("last_num"),
-            "path",
-        )
-        table = pinned(untouched.unionByName(rewritten))
-        table = self._close_full_volumes(table, version)
-        types = table.select("entity_type").distinct()
+        expected = {
+            (v.entity_type, v.volume_id): v.raw_bytes + touched[v.entity_type, v.volume_id] for v in rewritten
+        }
+        written = self._write_data(merged, volumes, expected, version)
+
+        current = [v for v in volumes if (v.entity_type, v.volume_id) not in touched]
+        for v in rewritten:
+            rows, size, last, path = written.get((v.entity_type, v.volume_id), (0, 0, None, None))
+            v = v._replace(rows=rows, raw_bytes=size, last_num=last or v.last_num, path=path)
+            current.extend(self._closed_if_full(v, version))
         self._publish(
-            version,
-            table,
-            self._progress_rows(positions, types, True, stream_id, -1 if batch_id is None else batch_id),
+            version, current, self._progress(positions, current, stream_id, -1 if batch_id is None else batch_id)
         )
         return version
 
-    def _with_open_volumes(self, volumes: DataFrame, commands: DataFrame) -> DataFrame:
-        """Add an empty open volume for entity types the store does not have yet."""
-        new = commands.select("entity_type").distinct().join(
-            volumes.select("entity_type").distinct(), "entity_type", "left_anti"
-        )
-        zero, none = F.lit(0).cast("bigint"), F.lit(None)
-        opened = new.select(
-            "entity_type",
-            F.lit(0).cast("int").alias("volume_id"),
-            F.lit(1).cast("bigint").alias("lo"),
-            none.cast("bigint").alias("hi"),
-            zero.alias("rows"),
-            zero.alias("raw_bytes"),
-            none.cast("bigint").alias("last_num"),
-            none.cast("string").alias("path"),
-        )
-        return pinned(volumes.unionByName(opened))
-
-    def _close_full_volumes(self, table: DataFrame, version: int) -> DataFrame:
-        """Cut open volumes that outgrew the budget; closed ranges never move."""
-        full = table.where(F.col("hi").isNull() & (F.col("raw_bytes") > self.max_volume_bytes))
-        if full.isEmpty():
-            return table
-        rows = self._read_volumes(full).drop("volume_id")
-        start = full.select("entity_type", F.col("volume_id").alias("first_id"), F.col("lo").alias("first_lo"))
-        start = F.broadcast(start)
-        cut = cut_volumes(rows, self.max_volume_bytes).join(start, "entity_type")
-        cut = pinned(
-            cut.select(
-                "entity_type",
-                (F.col("volume_id") + F.col("first_id")).alias("volume_id"),
-                F.when(F.col("volume_id") == 0, F.col("first_lo")).otherwise(F.col("lo")).alias("lo"),
-                "hi",
-                "rows",
-                "raw_bytes",
-                "last_num",
-            )
-        )
-        folder = self._write_data(route(rows, cut), version)
-        paths = self._folder_stats(folder).select("entity_type", "volume_id", "path")
-        cut = cut.join(paths, ["entity_type", "volume_id"], "left")
-        rest = table.join(full.select("entity_type", "volume_id"), ["entity_type", "volume_id"], "left_anti")
-        return pinned(rest.unionByName(cut.select(*rest.columns)))
+    def _closed_if_full(self, volume: Volume, version: int) -> list[Volume]:
+        """The volume, or the volumes an open one is cut into once it outgrew the budget.
+
+        Closed ranges never move.
+        """
+        if volume.hi is not None or volume.raw_bytes <= self.max_volume_bytes:
+            return [volume]
+        rows = self._read_volumes([volume]).drop("volume_id")
+        cut = self._cut(rows, volume.volume_id, volume.lo)
+        expected = {(v.entity_type, v.volume_id): v.raw_bytes for v in cut}
+        written = self._write_data(rows, cut, expected, version)
+        return [v._replace(path=written[v.entity_type, v.volume_id][3]) for v in cut]

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.position import START_REWIND_MS
 from tidemark.operators.metrics import last_position
 from tidemark.operators.resolve import resolve
+from tidemark.schemas import KEY
 from tidemark.sources.feed import ALL_TYPES, decode_feed, feed_from
 from tidemark.sources.quarantine import accepted, rejected, write_quarantine
 from tidemark.sources.store import EntityStore
@@ -37,7 +38,10 @@ def apply_batch(
     decode_feed(feed, wiki, types).write.mode("overwrite").parquet(f"{at}/changes")
     decoded = spark.read.parquet(f"{at}/changes")
     changes = accepted(decoded)
-    resolve(changes, content).write.mode("overwrite").parquet(f"{at}/commands")
+    # The batch is small next to the content: only the content it asks for reaches the join.
+    asked = changes.select(*KEY, F.col("revision").alias("requested_revision")).distinct()
+    wanted = content.join(asked, [*KEY, "requested_revision"], "left_semi")
+    resolve(changes, wanted).write.mode("overwrite").parquet(f"{at}/commands")
     commands = spark.read.parquet(f"{at}/commands")
     write_quarantine(rejected(decoded, "feed"), f"{at}/quarantine")
     return store.apply(commands, last_position(changes), stream_id, batch_id)

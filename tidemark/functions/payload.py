@@ -11,31 +11,31 @@ from tidemark.schemas import REDIRECT_MARK
 # The change kinds a feed payload can carry.
 CHANGE_KINDS = ("edit", "new", "log")
 
-HINT_SCHEMA = "wiki STRING, namespace BIGINT"
-PAYLOAD_SCHEMA = "type STRING, title STRING, comment STRING, revision STRUCT<new: BIGINT>"
+HINT_FIELDS = "wiki: STRING, namespace: BIGINT"
+PAYLOAD_FIELDS = "type: STRING, title: STRING, comment: STRING, revision: STRUCT<new: BIGINT>"
+ENTITY_FIELDS = "id: STRING, lastrevid: BIGINT"
+RESPONSE_FIELDS = "entities: MAP<STRING, STRING>"
 
 
-def hint(data: Column) -> Column:
-    """The two fields that decide whether a payload concerns us."""
-    return F.from_json(data, HINT_SCHEMA)
+def parsed_objects(text: Column, fields: str) -> Column:
+    """The JSON objects of a text, as an array to be read with ``only_object``.
+
+    Parsed inside brackets, a text is rejected as a whole (null) when anything but objects is in it, so
+    text after the object does not go unnoticed. Evaluate it once, see ``plans.once``.
+    """
+    bracketed = F.concat(F.lit("["), text, F.lit("]"))
+    return F.from_json(bracketed, f"ARRAY<STRUCT<{fields}>>", {"allowSingleQuotes": "false"})
 
 
-def payload(data: Column) -> Column:
-    return F.from_json(data, PAYLOAD_SCHEMA)
+def only_object(objects: Column) -> Column:
+    """The object of a text that holds exactly one; null otherwise."""
+    return F.when(F.size(objects) == 1, F.get(objects, F.lit(0)))
 
 
 def is_redirect(comment: Column) -> Column:
     return F.coalesce(F.contains(comment, F.lit(REDIRECT_MARK)), F.lit(False))
 
 
-def requested_document(body: Column, id_text: Column) -> Column:
-    """JSON of the requested entity in a content response.
-
-    A response that only holds another id answers a redirect and gives null.
-    """
-    return F.from_json(body, "entities MAP<STRING, STRING>")["entities"][id_text]
-
-
 def document_revision(data: Column) -> Column:
     """The document's own revision; null unless it is an unsigned whole number."""
     return F.nullif(F.greatest(F.from_json(data, "lastrevid BIGINT")["lastrevid"], F.lit(-1)), F.lit(-1))

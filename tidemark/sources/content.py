@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import format_id
-from tidemark.functions.payload import document_revision, requested_document
+from tidemark.functions.payload import RESPONSE_FIELDS, document_revision, only_object, parsed_objects
 from tidemark.plans.once import evaluated_once
 
 CONTENT_SCHEMA = "entity_type STRING, entity_num BIGINT, requested_revision BIGINT, body STRING"
@@ -23,7 +23,9 @@ def extract_content(content: DataFrame) -> DataFrame:
     without a usable revision carries a reason.
     """
     asked = format_id(F.col("entity_type"), F.col("entity_num"))
-    found = evaluated_once(content, data=requested_document(F.col("body"), asked)).where(F.col("data").isNotNull())
+    answers = evaluated_once(content, answers=parsed_objects(F.col("body"), RESPONSE_FIELDS))
+    document = only_object(F.col("answers"))["entities"][asked]
+    found = evaluated_once(answers, data=document).where(F.col("data").isNotNull())
     read = evaluated_once(found, revision=document_revision(F.col("data")))
     return read.select(
         "entity_type",

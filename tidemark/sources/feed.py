@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import parse_title
-from tidemark.functions.payload import CHANGE_KINDS, hint, is_redirect, payload
+from tidemark.functions.payload import (
+    CHANGE_KINDS,
+    HINT_FIELDS,
+    PAYLOAD_FIELDS,
+    is_redirect,
+    only_object,
+    parsed_objects,
+)
 from tidemark.functions.position import decode_position, position_ts_ms
 from tidemark.plans.once import evaluated_once
 from tidemark.plans.prefix import number_rows
@@ -44,14 +51,19 @@ def decode_feed(feed: DataFrame, wiki: str, types: Sequence[str] = ALL_TYPES) ->
     The two deciding fields are read first, so other payloads are never parsed in full. Columns: seq,
     event_id, event_ts_ms, entity_type, entity_num, kind, revision, is_redirect, raw, reason.
     """
-    hinted = evaluated_once(feed, hint=hint(F.col("data")))
+    hinted = evaluated_once(feed, hints=parsed_objects(F.col("data"), HINT_FIELDS))
+    hinted = hinted.withColumn("hint", only_object(F.col("hints")))
     typed = hinted.withColumn("entity_type", type_of_namespace(F.col("hint.namespace")))
     unreadable = F.col("hint.wiki").isNull() | F.col("hint.namespace").isNull()
     ours = (F.col("hint.wiki") == wiki) & F.col("entity_type").isin(list(types))
     kept = typed.where(unreadable | ours).select(
         "seq", "event_id_json", "data", "entity_type", unreadable.alias("unreadable")
     )
-    parsed = evaluated_once(kept, event_id=decode_position(F.col("event_id_json")), p=payload(F.col("data")))
+    parsed = evaluated_once(
+        kept,
+        event_id=decode_position(F.col("event_id_json")),
+        payloads=parsed_objects(F.col("data"), PAYLOAD_FIELDS),
+    ).withColumn("p", only_object(F.col("payloads")))
     located = evaluated_once(
         parsed,
         event_ts_ms=position_ts_ms(F.col("event_id")),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import parse_id
+from tidemark.functions.payload import ENTITY_FIELDS, only_object, parsed_objects
 from tidemark.plans.once import evaluated_once
 from tidemark.schemas import ENTITY_TYPES, entity_type
 
@@ -41,8 +42,8 @@ def parse_entities(lines: DataFrame, types: Sequence[str] = ("Item",)) -> DataFr
     Only id and revision are read; the line itself is the body. Entities of a type that was not asked
     for are left out. Lines that are not entities carry a reason.
     """
-    head = F.from_json("value", "id STRING, lastrevid BIGINT")
-    read = evaluated_once(lines, head=head).withColumnRenamed("value", "data")
+    read = evaluated_once(lines, heads=parsed_objects(F.col("value"), ENTITY_FIELDS))
+    read = read.select(F.col("value").alias("data"), only_object(F.col("heads")).alias("head"))
     prefix = F.substring("head.id", 1, 1)
     named = None
     for ty in ENTITY_TYPES:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.volumes import MAX_VOLUME_BYTES, cut_volumes, raw_size, route
+from tidemark.plans.local import local_table
 from tidemark.plans.prefix import number_rows
 from tidemark.schemas import entity_type_by_export_name
 
@@ -14,8 +15,7 @@ COMPRESSIONS = ("none", "gzip", "bzip2")
 
 def pinned(table: DataFrame) -> DataFrame:
     """A volume table (one row per piece of the byte budget) computed once."""
-    spark: SparkSession = table.sparkSession
-    return spark.createDataFrame(table.collect(), table.schema)
+    return local_table(table.sparkSession, table.collect(), table.schema)
 
 
 def select_range(

@@ -68,37 +68,34 @@ def route(rows: DataFrame, volumes: DataFrame, broadcast_rows: int = ROUTE_BROAD
     An id in no closed range belongs to the open volume. Ranges are looked up by block of ids, an
     equi-join, so the cost per row does not grow with the number of volumes.
     """
-    key_block = F.shiftright("entity_num", ROUTE_BITS)
-    closed = volumes.where(F.col("hi").isNotNull())
-    covered = F.sequence(F.shiftright("lo", ROUTE_BITS), F.shiftright("hi", ROUTE_BITS))
+    first_block = F.shiftright("lo", ROUTE_BITS)
+    last_block = F.shiftright(F.coalesce("hi", "lo"), ROUTE_BITS)
+    is_open = F.col("hi").isNull()
+    # Two facts about the table itself: its size once spread over blocks, and the open volumes (one per type).
+    facts = volumes.agg(
+        F.sum(last_block - first_block + 1).alias("size"),
+        F.collect_list(F.when(is_open, F.struct("entity_type", "volume_id"))).alias("open"),
+    ).first()
+    closed = volumes.where(~is_open)
     lookup = closed.select(
-        "entity_type", "volume_id", "lo", "hi", F.explode(covered).alias("_block")
+        "entity_type", "volume_id", "lo", "hi", F.explode(F.sequence(first_block, last_block)).alias("_block")
     )
-    open_volume = volumes.where(F.col("hi").isNull()).select(
-        "entity_type", F.col("volume_id").alias("_open")
-    )
-    # A row for every block a volume touches: known from the table's own numbers.
-    size = volumes.agg(
-        F.sum(
-            F.shiftright(F.coalesce("hi", "lo"), ROUTE_BITS) - F.shiftright("lo", ROUTE_BITS) + 1
-        )
-    ).first()[0]
-    if (size or 0) <= broadcast_rows:
+    if (facts.size or 0) <= broadcast_rows:
         lookup = F.broadcast(lookup)
     # One candidate per range that touches the block; the range test is part of the join condition.
-    left, right = rows.withColumn("_block", key_block).alias("r"), lookup.alias("v")
+    left = rows.withColumn("_block", F.shiftright("entity_num", ROUTE_BITS)).alias("r")
+    right = lookup.alias("v")
     inside = (
         (F.col("r.entity_type") == F.col("v.entity_type"))
         & (F.col("r._block") == F.col("v._block"))
         & F.col("r.entity_num").between(F.col("v.lo"), F.col("v.hi"))
     )
-    matched = left.join(right, inside, "left").select(
-        *[F.col(f"r.{c}") for c in rows.columns], F.col("v.volume_id").alias("_closed")
-    )
-    return (
-        matched.join(F.broadcast(open_volume), "entity_type", "left")
-        .withColumn("volume_id", F.coalesce("_closed", "_open"))
-        .drop("_closed", "_open")
+    fallback = F.lit(None).cast("int")
+    for ty, volume_id in facts.open:
+        fallback = F.when(F.col("r.entity_type") == ty, volume_id).otherwise(fallback)
+    return left.join(right, inside, "left").select(
+        *[F.col(f"r.{c}") for c in rows.columns],
+        F.coalesce(F.col("v.volume_id"), fallback).alias("volume_id"),
     )
 
 

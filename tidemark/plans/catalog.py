@@ -19,8 +19,9 @@ from tidemark.operators import bootstrap, export, merge, metrics, ordering, qual
 from tidemark.operators.resolve import resolve
 from tidemark.plans import roles
 from tidemark.plans.fold import OUTCOMES, outcome_counts
+from tidemark.plans.local import entity_type_dimension, local_table
 from tidemark.plans.prefix import number_rows
-from tidemark.schemas import by_type, entity_type_dimension
+from tidemark.schemas import by_type
 from tidemark.session import fresh_path
 from tidemark.sources import content as content_source
 from tidemark.sources import feed as feed_source
@@ -257,8 +258,10 @@ def received_updates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def current_state(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole way: feed, decode, resolve, merge."""
-    merged = merge.merge(None, _resolved(spark, sf))
+    """The whole way: feed, decode, resolve, merge. The commands are written once and read twice."""
+    at = fresh_path(spark, "commands")
+    _resolved(spark, sf).write.parquet(at)
+    merged = merge.merge(None, spark.read.parquet(at))
     return merged.select("entity_type", "entity_num", "revision", "data")
 
 
@@ -306,8 +309,8 @@ def volume_route(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def initialized_up_to(spark: SparkSession, sf: str) -> DataFrame:
-    done = spark.createDataFrame(
-        [("Item", True), ("Property", False), ("Lexeme", True)], "entity_type STRING, initialized BOOLEAN"
+    done = local_table(
+        spark, [("Item", True), ("Property", False), ("Lexeme", True)], "entity_type STRING, initialized BOOLEAN"
     )
     return volumes.initialized_up_to(_order_volumes(spark, sf, typed=True), done)
 
@@ -374,7 +377,7 @@ def late_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def smallest_buffer(spark: SparkSession, sf: str) -> DataFrame:
     size = ordering.smallest_buffer(roles.arrivals(spark, sf), "event_id", "arrival", ["event_id"])
-    return spark.createDataFrame([(size,)], "smallest_buffer BIGINT")
+    return local_table(spark, [(size,)], "smallest_buffer BIGINT")
 
 
 def _reordered(spark: SparkSession, sf: str, size: int) -> DataFrame:
@@ -500,6 +503,46 @@ def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
     return store.read().select("entity_type", "entity_num", "revision", "data")
 
 
+def _loaded_store(spark: SparkSession, sf: str, budget: int) -> EntityStore:
+    """A store after its first load: line items as the dump, orders as the looked-up content."""
+    lo, hi = roles.order_keys(spark, sf)
+    spine = bootstrap.id_spine(spark, "Item", lo, bootstrap.bootstrap_end(hi))
+    loaded = bootstrap.reconcile(spine, roles.lineitem_dump(spark, sf), roles.order_content(spark, sf))
+    store = EntityStore(spark, fresh_path(spark, "store"), max_volume_bytes=budget)
+    store.load(loaded, metrics.first_position(_changes(spark, sf)).withColumnsRenamed(
+        {"start_event_id": "last_event_id", "start_event_ts_ms": "last_event_ts_ms"}
+    ))
+    return store
+
+
+def store_load(spark: SparkSession, sf: str) -> DataFrame:
+    loaded = _loaded_store(spark, sf, ORDER_VOLUME_BYTES).read()
+    return loaded.select("entity_num", "revision", "data", "raw_bytes", "volume_id")
+
+
+def store_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return _loaded_store(spark, sf, ORDER_VOLUME_BYTES).manifest().drop("path", "entity_type")
+
+
+def store_progress(spark: SparkSession, sf: str) -> DataFrame:
+    progress = _loaded_store(spark, sf, ORDER_VOLUME_BYTES).progress()
+    return progress.select(
+        "entity_type", encode_position(F.col("last_event_id")).alias("last_event_id"), "last_event_ts_ms", "initialized"
+    )
+
+
+def store_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """A first load, then every event as a command; the open volume is cut as it grows."""
+    store = _loaded_store(spark, sf, ORDER_VOLUME_BYTES)
+    at = fresh_path(spark, "commands")
+    commands = roles.commands(spark, sf).withColumns(
+        {"entity_num": F.col("entity_num") * 101, "revision": F.col("revision") * 200, "data": F.col("seq").cast("string")}
+    )
+    commands.drop("value").write.parquet(at)
+    store.apply(spark.read.parquet(at))
+    return store.read().select("entity_num", "revision", "data")
+
+
 def _drain(stream: DataFrame, at: str) -> DataFrame:
     """Run a stream over what is there and give its output."""
     sink = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint")
@@ -591,6 +634,10 @@ QUERIES: dict[str, Query] = {
         conservative_start,
         quality_checks,
         id_gaps,
+        store_load,
+        store_manifest,
+        store_progress,
+        store_apply,
         stream_merge,
         stream_dedupe,
         stream_rate,

@@ -338,6 +338,28 @@ ORACLES: dict[str, str] = {
     "id_gaps": """SELECT 'Item' AS entity_type, min(l_orderkey) AS first_num, max(l_orderkey) AS last_num,
           count(DISTINCT l_orderkey) AS entities, count(*) AS rows,
           max(l_orderkey) - min(l_orderkey) + 1 - count(DISTINCT l_orderkey) AS missing FROM lineitem""",
+    "store_load": f"""WITH loaded AS ({reconcile_sql("true")}),
+        {volume_rows(20_000, "SELECT 'Item' AS entity_type, entity_num, octet_length(encode(data)) + 1 AS sz FROM loaded")}
+        SELECT entity_num, revision, data, sz AS raw_bytes, volume_id FROM loaded JOIN assigned USING (entity_num)""",
+    "store_manifest": f"""WITH loaded AS ({reconcile_sql("true")}),
+        {volume_rows(20_000, "SELECT 'Item' AS entity_type, entity_num, octet_length(encode(data)) + 1 AS sz FROM loaded")}
+        SELECT volume_id, lo, hi, n AS rows, raw_bytes, last_num FROM volumes""",
+    "store_progress": f"""WITH {EVENT}, {CHANGES}, {POSITION},
+        p AS (SELECT ch.entity_type, ch.seq, ch.event_ts_ms, {position_text("pos.ms", "reversed_order")} AS j
+              FROM ch JOIN pos ON pos.event_id = ch.seq)
+        SELECT entity_type, arg_min(j, (event_ts_ms, seq)) AS last_event_id, min(event_ts_ms) AS last_event_ts_ms,
+          true AS initialized
+        FROM p GROUP BY 1""",
+    "store_apply": f"""WITH RECURSIVE
+        stored AS (SELECT 'Item' AS entity_type, entity_num, revision AS rev, data AS body FROM ({reconcile_sql("true")})),
+        cmd AS (
+          SELECT 'Item' AS entity_type, user_id * 101 AS entity_num, event_id AS seq,
+            CAST(json_extract_string(props, '$.k') AS BIGINT) * 200 AS rev,
+            CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op, CAST(event_id AS VARCHAR) AS body,
+            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+          FROM events),
+        {FOLD}
+        SELECT entity_num, rev AS revision, body AS data FROM ended""",
     "stream_merge": f"""WITH RECURSIVE {EVENT}, {CHANGES}, {CONTENT}, {RESOLVED}, {RESOLVED_COMMANDS},
         stored AS (
           SELECT 'Item' AS entity_type, c_custkey AS entity_num, CAST(10 AS BIGINT) AS rev,

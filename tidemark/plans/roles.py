@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import format_id
+from tidemark.plans.local import local_table
 from tidemark.plans.once import evaluated_once
 from tidemark.schemas import by_type
 
@@ -22,9 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def epoch_ms(ts: Column) -> Column:
     """Milliseconds of a zone-less timestamp, whatever the session's time zone is."""
-    days = F.datediff(ts, F.lit("1970-01-01").cast("date")).cast("bigint")
-    seconds = days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    return seconds * 1000 + (F.date_format(ts, "SSS").cast("bigint"))
+    since = ts - F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.floor(since.cast("interval second").cast("decimal(20,6)") * 1000).cast("bigint")
 
 
 def event_revision() -> Column:
@@ -65,7 +65,8 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def position_json(ms: Column, reversed_order: Column) -> Column:
-    timed = F.format_string('{"topic":"east.changes","partition":0,"timestamp":%d}', ms)
+    head = F.lit('{"topic":"east.changes","partition":0,"timestamp":')
+    timed = F.concat(head, ms.cast("string"), F.lit("}"))
     counted = F.lit('{"topic":"west.changes","partition":0,"offset":-1}')
     first = F.when(reversed_order, counted).otherwise(timed)
     second = F.when(reversed_order, timed).otherwise(counted)
@@ -162,7 +163,7 @@ def document_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     elements = lines.select(
         F.when(F.col("doc_id") == last, F.col("line")).otherwise(F.concat("line", F.lit(","))).alias("value")
     )
-    return elements.union(spark.createDataFrame([("[",), ("",), ("]",)], "value STRING"))
+    return elements.union(local_table(spark, [("[",), ("",), ("]",)], "value STRING"))
 
 
 def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,18 +27,23 @@ def local_session(cpus: int | str = 8, app: str = "tidemark", memory: str = "8g"
     return spark
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir).
+    """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Only a session without that setting (a local one) gets a temporary folder of its own, and the
-    folder is remembered in the session.
+    Only a local session without that setting gets a temporary folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    made = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _own_dirs[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

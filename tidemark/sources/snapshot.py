@@ -29,8 +29,9 @@ def dump_lines(text: DataFrame, layout: str = "json_array") -> DataFrame:
     if layout == "json_lines":
         lines = text.select("value")
     elif layout == "json_array":
-        bare = F.regexp_replace("value", r"\s*,?\s*\z", "")
-        lines = text.where(~F.trim("value").isin("[", "]")).select(bare.alias("value"))
+        line = F.rtrim("value", F.lit(" \t\r"))
+        element = F.when(F.endswith(line, F.lit(",")), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+        lines = text.where(~F.trim("value").isin("[", "]")).select(element.alias("value"))
     else:
         raise ValueError(f"unknown dump layout: {layout}")
     return lines.where(F.length("value") > 0)

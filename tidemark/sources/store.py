@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.merge import merge
 from tidemark.operators.volumes import MAX_VOLUME_BYTES, ROUTE_BROADCAST_ROWS, cut_volumes, raw_size, route
+from tidemark.plans.local import local_table
 from tidemark.schemas import MANIFEST_SCHEMA, PROGRESS_SCHEMA, STORED_SCHEMA
 
 # Upper end of the tasks that write one overgrown volume.
@@ -79,14 +80,14 @@ class EntityStore:
     def _metadata(self, kind: str, schema: str, version: int | None) -> DataFrame:
         version = self.latest() if version is None else version
         if version is None:
-            return self.spark.createDataFrame([], schema)
+            return local_table(self.spark, [], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/version={version}")
 
     def _volumes(self, version: int | None = None) -> list[Volume]:
         return [Volume(*row) for row in self.manifest(version).collect()]
 
     def _table(self, volumes: Iterable[Volume]) -> DataFrame:
-        return self.spark.createDataFrame([tuple(v) for v in volumes], MANIFEST_SCHEMA)
+        return local_table(self.spark, volumes, MANIFEST_SCHEMA)
 
     def expire(self, keep: int) -> int:
         """Drop all but the newest ``keep`` versions; returns the number of volume folders removed."""
@@ -143,7 +144,7 @@ class EntityStore:
     def _read_folders(self, folders: Sequence[str]) -> DataFrame:
         schema = f"{STORED_SCHEMA}, volume_id INT"
         if not folders:
-            return self.spark.createDataFrame([], schema)
+            return local_table(self.spark, [], schema)
         data = f"{self.root}/data"
         reader = self.spark.read.schema(schema).option("basePath", data)
         columns = [field.split()[0] for field in schema.split(", ")]
@@ -164,8 +165,8 @@ class EntityStore:
             count = min(max(1, -(-size // max(self.max_volume_bytes, 1))), MAX_PIECES)
             layout.append((*key, pieces, count))
             pieces += count
-        table = self.spark.createDataFrame(
-            layout, "entity_type STRING, volume_id INT, first_piece INT, pieces INT"
+        table = local_table(
+            self.spark, layout, "entity_type STRING, volume_id INT, first_piece INT, pieces INT"
         )
         if len(layout) <= ROUTE_BROADCAST_ROWS:
             table = F.broadcast(table)
@@ -225,7 +226,7 @@ class EntityStore:
                 at[row.entity_type] = (row.last_event_id, row.last_event_ts_ms)
         types = sorted({v.entity_type for v in volumes} | set(at))
         rows = [(ty, *at.get(ty, (None, None)), True, stream_id, batch_id) for ty in types]
-        return self.spark.createDataFrame(rows, PROGRESS_SCHEMA)
+        return local_table(self.spark, rows, PROGRESS_SCHEMA)
 
     def load(self, entities: DataFrame, positions: DataFrame | None = None) -> int:
         """First load: cut the entities into volumes and publish them as a new version.
@@ -272,17 +273,14 @@ class EntityStore:
         latest = self.latest()
         version = 0 if latest is None else latest + 1
         volumes = self._volumes(latest)
-        known = {v.entity_type for v in volumes}
-        for (ty,) in commands.select("entity_type").distinct().collect():
-            if ty not in known:
-                volumes.append(Volume(ty, 0, 1, None, 0, 0, None, None))
-
         incoming = F.coalesce(raw_size(F.col("data")), F.lit(0).cast("bigint"))
         routed = self._routed(commands.select("entity_type", "entity_num", incoming.alias("incoming")), volumes)
-        touched = {
-            (ty, vid): size
-            for ty, vid, size in routed.groupBy(*VOLUME_KEY).agg(F.sum("incoming")).collect()
-        }
+        touched = {}
+        for ty, volume_id, size in routed.groupBy(*VOLUME_KEY).agg(F.sum("incoming")).collect():
+            if volume_id is None:  # the first commands of an entity type open its first volume
+                volume_id = 0
+                volumes.append(Volume(ty, volume_id, 1, None, 0, 0, None, None))
+            touched[ty, volume_id] = size
         rewritten = [v for v in volumes if (v.entity_type, v.volume_id) in touched]
         state = self._read_volumes(rewritten).select(*BODY)
         merged = merge(state, commands.select("seq", *BODY, "op"), mode)

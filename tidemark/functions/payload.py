@@ -11,8 +11,9 @@ from tidemark.schemas import REDIRECT_MARK
 # The change kinds a feed payload can carry.
 CHANGE_KINDS = ("edit", "new", "log")
 
-HINT_FIELDS = "wiki: STRING, namespace: BIGINT"
-PAYLOAD_FIELDS = "type: STRING, title: STRING, comment: STRING, revision: STRUCT<new: BIGINT>"
+PAYLOAD_FIELDS = (
+    "wiki: STRING, namespace: BIGINT, type: STRING, title: STRING, comment: STRING, revision: STRUCT<new: BIGINT>"
+)
 ENTITY_FIELDS = "id: STRING, lastrevid: BIGINT"
 RESPONSE_FIELDS = "entities: MAP<STRING, STRING>"
 

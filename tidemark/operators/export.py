@@ -34,7 +34,7 @@ def export_lines(
     entities: DataFrame, export_name: str, lo: int | None = None, hi: int | None = None
 ) -> DataFrame:
     """The lines of an export with their position in it, as a table."""
-    chosen = select_range(entities, export_name, lo, hi).where(F.length("data") > 0)
+    chosen = select_range(entities, export_name, lo, hi).where(F.col("data") != "")
     return number_rows(chosen.select("entity_num", "revision", "data"), "entity_num", out="position")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.ids import parse_title
 from tidemark.functions.payload import (
     CHANGE_KINDS,
-    HINT_FIELDS,
     PAYLOAD_FIELDS,
     is_redirect,
     only_object,
@@ -48,22 +47,19 @@ def feed_from(feed: DataFrame, start_ts_ms: int, rewind_ms: int = 0) -> DataFram
 def decode_feed(feed: DataFrame, wiki: str, types: Sequence[str] = ALL_TYPES) -> DataFrame:
     """Changes of the wanted wiki and entity types, each with a reason when it cannot be used.
 
-    The two deciding fields are read first, so other payloads are never parsed in full. Columns: seq,
-    event_id, event_ts_ms, entity_type, entity_num, kind, revision, is_redirect, raw, reason.
+    A payload is parsed once, for the few fields that matter; records of other wikis and namespaces are
+    dropped on the parsed values, before anything else is looked at. Columns: seq, event_id,
+    event_ts_ms, entity_type, entity_num, kind, revision, is_redirect, raw, reason.
     """
-    hinted = evaluated_once(feed, hints=parsed_objects(F.col("data"), HINT_FIELDS))
-    hinted = hinted.withColumn("hint", only_object(F.col("hints")))
-    typed = hinted.withColumn("entity_type", type_of_namespace(F.col("hint.namespace")))
-    unreadable = F.col("hint.wiki").isNull() | F.col("hint.namespace").isNull()
-    ours = (F.col("hint.wiki") == wiki) & F.col("entity_type").isin(list(types))
+    read = evaluated_once(feed, payloads=parsed_objects(F.col("data"), PAYLOAD_FIELDS))
+    read = read.withColumn("p", only_object(F.col("payloads")))
+    typed = read.withColumn("entity_type", type_of_namespace(F.col("p.namespace")))
+    unreadable = F.col("p.wiki").isNull() | F.col("p.namespace").isNull()
+    ours = (F.col("p.wiki") == wiki) & F.col("entity_type").isin(list(types))
     kept = typed.where(unreadable | ours).select(
-        "seq", "event_id_json", "data", "entity_type", unreadable.alias("unreadable")
+        "seq", "event_id_json", "data", "p", "entity_type", unreadable.alias("unreadable")
     )
-    parsed = evaluated_once(
-        kept,
-        event_id=decode_position(F.col("event_id_json")),
-        payloads=parsed_objects(F.col("data"), PAYLOAD_FIELDS),
-    ).withColumn("p", only_object(F.col("payloads")))
+    parsed = evaluated_once(kept, event_id=decode_position(F.col("event_id_json")))
     located = evaluated_once(
         parsed,
         event_ts_ms=position_ts_ms(F.col("event_id")),

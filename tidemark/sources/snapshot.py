@@ -29,12 +29,15 @@ def dump_lines(text: DataFrame, layout: str = "json_array") -> DataFrame:
     if layout == "json_lines":
         lines = text.select("value")
     elif layout == "json_array":
-        line = F.rtrim("value", F.lit(" \t\r"))
-        element = F.when(F.endswith(line, F.lit(",")), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
-        lines = text.where(~F.trim("value").isin("[", "]")).select(element.alias("value"))
+        line = F.rtrim("value")
+        # The comma is one byte: cut bytes, so that long lines are not walked character by character.
+        shorter = F.substring(line.cast("binary"), F.lit(1), F.octet_length(line) - 1).cast("string")
+        element = F.when(F.endswith(line, F.lit(",")), shorter).otherwise(line)
+        inside = text.where(~F.trim("value").isin("[", "]"))
+        lines = evaluated_once(inside, element=element).select(F.col("element").alias("value"))
     else:
         raise ValueError(f"unknown dump layout: {layout}")
-    return lines.where(F.length("value") > 0)
+    return lines.where(F.col("value") != "")
 
 
 def parse_entities(lines: DataFrame, types: Sequence[str] = ("Item",)) -> DataFrame:

@@ -231,6 +231,7 @@ class EntityStore:
     def load(self, entities: DataFrame, positions: DataFrame | None = None) -> int:
         """First load: cut the entities into volumes and publish them as a new version.
 
+        Volumes of the entity types that are loaded are replaced, those of other types stay.
         ``positions`` (entity_type, last_event_id, last_event_ts_ms) says where the feed takes over; it
         has to be taken before the entities are read. The entities are written once before they are
         cut, so that an expensive reconcile does not run twice.
@@ -244,8 +245,10 @@ class EntityStore:
         volumes = self._cut(staged)
         expected = {(v.entity_type, v.volume_id): v.raw_bytes for v in volumes}
         written = self._write_data(staged, volumes, expected, version)
-        volumes = [v._replace(path=written[v.entity_type, v.volume_id][3]) for v in volumes]
-        self._publish(version, volumes, self._progress(positions, volumes, "load", -1))
+        loaded = {v.entity_type for v in volumes}
+        current = [v for v in self._volumes(latest) if v.entity_type not in loaded]
+        current += [v._replace(path=written[v.entity_type, v.volume_id][3]) for v in volumes]
+        self._publish(version, current, self._progress(positions, current, "load", -1))
         self._filesystem().delete(self._path(staged_at), True)
         return version
 

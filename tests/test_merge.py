@@ -52,14 +52,37 @@ def test_merge_equals_replay(spark, seed, bits):
     assert as_dict(got) == want
 
 
-@pytest.mark.parametrize("seed,bits", [(5, 12), (6, 3), (7, 1)])
-def test_outcomes_equal_replay(spark, seed, bits):
+def test_merge_when_nothing_is_small_enough_to_broadcast(spark, monkeypatch):
+    from tidemark.plans import fold, stored
+
+    monkeypatch.setattr(fold, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(stored, "BROADCAST_ROWS", 0)
+    state, cmds = random_case(12)
+    want, counts = replay(state, cmds)
+    df, base = spark.createDataFrame(cmds, COMMANDS), spark.createDataFrame(state, STATE)
+    assert as_dict(merge(base, df)) == want
+    got = outcome_counts(df, base, 3, 40)
+    assert {r.entity_num: {n: r[n] for n in OUTCOMES} for r in got.collect()} == counts
+
+
+@pytest.mark.parametrize("seed,bits,hot", [(5, 12, 10_000), (6, 3, 0), (7, 1, 48), (9, 12, 0)])
+def test_outcomes_equal_replay(spark, seed, bits, hot):
     state, cmds = random_case(seed)
     _, want = replay(state, cmds)
-    got = outcome_counts(spark.createDataFrame(cmds, COMMANDS), spark.createDataFrame(state, STATE), bits)
+    got = outcome_counts(spark.createDataFrame(cmds, COMMANDS), spark.createDataFrame(state, STATE), bits, hot)
     assert {r.entity_num: {n: r[n] for n in OUTCOMES} for r in got.collect()} == want
 
 
+def test_large_numbers(spark):
+    top = 2**62 - 1
+    cmds = [
+        (top - 2, "Item", 1, "U", 2**63 - 2, "a"), (top - 1, "Item", 1, "D", 2**63 - 1, None),
+        (top, "Item", 1, "U", 0, "b"), (0, "Item", 2, "U", 2**63 - 1, "c"), (1, "Item", 2, "U", 0, "d"),
+    ]
+    for mode, want in (("sequence", {1: (0, "b"), 2: (2**63 - 1, "c")}), ("lww", {2: (2**63 - 1, "c")})):
+        assert as_dict(merge(None, spark.createDataFrame(cmds, COMMANDS), mode=mode)) == want
+
+
 def test_merge_in_any_split_of_batches(spark):
     state, cmds = random_case(8)
     want, _ = replay(state, cmds)

@@ -13,10 +13,15 @@ from tidemark.schemas import KEY
 MODES = ("sequence", "lww")
 
 
-def summarize(commands: DataFrame, mode: str = "sequence", bits: Sequence[int] = CHUNK_BITS) -> DataFrame:
+def summarize(
+    commands: DataFrame,
+    mode: str = "sequence",
+    bits: Sequence[int] = CHUNK_BITS,
+    scratch: str | None = None,
+) -> DataFrame:
     """Fold the commands of each entity to (threshold, out_rev, out_seq); see ``plans.fold``."""
     if mode == "sequence":
-        return fold_sequence(commands, bits)
+        return fold_sequence(commands, bits, scratch)
     if mode == "lww":
         return fold_latest(commands)
     raise ValueError(f"unknown merge mode: {mode}")
@@ -27,6 +32,7 @@ def merge(
     commands: DataFrame,
     mode: str = "sequence",
     bits: Sequence[int] = CHUNK_BITS,
+    scratch: str | None = None,
 ) -> DataFrame:
     """The entities after the commands.
 
@@ -38,11 +44,12 @@ def merge(
       skipped; an equal or newer one replaces or deletes. A deleted or absent entity takes any update.
     * ``lww``: only the command with the highest revision (then seq) of an entity counts.
 
-    Only (seq, revision, op) are folded. Bodies are fetched for the winning commands alone, and stored
+    ``commands`` is read more than once and should be a stored table. Only (seq, revision, op) are folded,
+    through a small table below ``scratch`` (or the shared folder) in the first mode. Bodies are fetched for the winning commands alone, and stored
     bodies are never shuffled when the folded side is small enough for AQE to broadcast.
     """
     key = list(KEY)
-    folded = summarize(commands, mode, bits)
+    folded = summarize(commands, mode, bits, scratch)
     body = [c for c in commands.columns if c not in (*KEY, "seq", "op", "revision", "event_ts_ms", "reason")]
     winners = folded.where(F.col("out_seq").isNotNull())
     if state is not None:

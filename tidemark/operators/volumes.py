@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.prefix import running_before
+from tidemark.plans.stored import BROADCAST_ROWS
 
 # Fixed value: raw bytes after which a volume is closed.
 MAX_VOLUME_BYTES = 250 * 1024 * 1024
 
 ROUTE_BITS = 16
-# A routing table up to this many rows (some tens of megabytes) is broadcast, a longer one is shuffled.
-ROUTE_BROADCAST_ROWS = 200_000
 
 
 def raw_size(data: Column) -> Column:
@@ -62,7 +61,7 @@ def volume_sizes(entities: DataFrame) -> DataFrame:
     return entities.select("entity_type", "entity_num", raw_size(F.col("data")).alias("raw_bytes"))
 
 
-def route(rows: DataFrame, volumes: DataFrame, broadcast_rows: int = ROUTE_BROADCAST_ROWS) -> DataFrame:
+def route(rows: DataFrame, volumes: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add the volume_id that is responsible for each row's entity.
 
     An id in no closed range belongs to the open volume. Ranges are looked up by block of ids, an

@@ -3,23 +3,34 @@
 Applied to an entity at revision r, any run of commands does one of two things: it leaves the entity
 alone when r is above a threshold, and otherwise gives one fixed outcome. So a run is summed up by
 (threshold, outcome revision, outcome seq), an absent outcome meaning "deleted", and two adjacent runs
-combine into one such summary. Commands are folded in chunks of the arrival order first, then per
-entity, so no list holds more than one chunk of a hot entity, and nothing depends on where a feed is cut.
+combine into one such summary.
+
+The threshold is the highest revision of the run. If its last command with that revision is an update,
+nothing after it can apply, and it is the outcome. Only if it is a delete, the outcome is that of the
+commands after it, applied to nothing. The first case is a plain maximum per entity, with map-side
+combine; what is left is folded in chunks of the arrival order first and then per entity, so no list
+holds more than one chunk of a hot entity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.carry import exclusive_carry
+from tidemark.plans.stored import BROADCAST_ROWS, counted, stored
 from tidemark.schemas import KEY
 
 SUMMARY = "struct<threshold:bigint,out_rev:bigint,out_seq:bigint>"
 CHUNK_BITS = (18,)
 OUTCOME_CHUNK_BITS = 12
+HOT_COMMANDS = 2**14
+
+# Base of the packed (revision, seq, kind): more than any seq below 2**62 with its kind.
+_SHIFT = Decimal(10**19)
 OUTCOMES = ("inserted", "replaced", "deleted", "stale", "missing_delete")
 
 
@@ -55,12 +66,8 @@ def command_summaries(commands: DataFrame) -> DataFrame:
     )
 
 
-def fold_sequence(commands: DataFrame, bits: Sequence[int] = CHUNK_BITS) -> DataFrame:
-    """One summary per entity for commands applied in order of seq.
-
-    (entity, seq) must be unique. ``bits`` are the chunk sizes as powers of two of seq; a list holds at
-    most 2**bits[0] commands, then the chunks. Give more or wider levels when seq has large holes.
-    """
+def _fold_chunks(commands: DataFrame, bits: Sequence[int]) -> DataFrame:
+    """Summary per entity, by chunk of the arrival order first."""
     runs = command_summaries(commands)
     below = 0
     for width in bits:
@@ -71,37 +78,74 @@ def fold_sequence(commands: DataFrame, bits: Sequence[int] = CHUNK_BITS) -> Data
     return runs.groupBy(*KEY).agg(_fold().alias("run")).select(*KEY, "run.*")
 
 
-def fold_latest(commands: DataFrame) -> DataFrame:
-    """One summary per entity when arrival order is not trusted: highest revision, then highest seq."""
-    last = F.max(F.struct("revision", "seq", "op"))
-    winner = commands.groupBy(*KEY).agg(last.alias("last"))
-    update = F.col("last.op") == "U"
-    return winner.select(
+def _highest(commands: DataFrame) -> DataFrame:
+    """(entity, threshold, seq, is_update, last_seq): the last command with the highest revision.
+
+    Revision, seq and kind are packed into one number, which keeps the maximum a hash aggregate.
+    """
+    update = F.when(F.col("op") == "U", 1).otherwise(0)
+    low = F.shiftleft("seq", 1) + update
+    packed = F.col("revision").cast("decimal(19,0)") * F.lit(_SHIFT) + low.cast("decimal(19,0)")
+    best = commands.groupBy(*KEY).agg(F.max(packed).alias("best"), F.max("seq").alias("last_seq"))
+    rest = F.expr(f"CAST(best % {_SHIFT}BD AS BIGINT)")
+    return best.select(
         *KEY,
-        F.col("last.revision").alias("threshold"),
-        F.when(update, F.col("last.revision")).alias("out_rev"),
-        F.when(update, F.col("last.seq")).alias("out_seq"),
+        F.expr(f"best div {_SHIFT}BD").alias("threshold"),
+        F.shiftright(rest, 1).alias("seq"),
+        (rest.bitwiseAND(1) == 1).alias("is_update"),
+        "last_seq",
     )
 
 
-def outcome_counts(
-    commands: DataFrame, state: DataFrame | None = None, bits: int = OUTCOME_CHUNK_BITS
+def _settled(highest: DataFrame) -> DataFrame:
+    """Summaries when nothing after the highest command counts."""
+    update = F.col("is_update")
+    return highest.select(
+        *KEY,
+        "threshold",
+        F.when(update, F.col("threshold")).alias("out_rev"),
+        F.when(update, F.col("seq")).alias("out_seq"),
+    )
+
+
+def fold_latest(commands: DataFrame) -> DataFrame:
+    """One summary per entity when arrival order is not trusted: highest revision, then highest seq."""
+    return _settled(_highest(commands))
+
+
+def fold_sequence(
+    commands: DataFrame, bits: Sequence[int] = CHUNK_BITS, scratch: str | None = None
 ) -> DataFrame:
-    """Per entity, how many commands inserted, replaced, deleted, were stale, or deleted nothing.
+    """One summary per entity for commands applied in order of seq.
 
-    What a command did depends on the revision it met, so each chunk first gets the summary of the
-    chunks before it, applies it to the stored revision, and then counts its own commands.
+    (entity, seq) must be unique, revisions and seqs not negative, seqs below 2**62. Runs a job: the
+    highest commands are written below ``scratch`` (or the shared folder), and only entities with
+    commands after their highest one, a delete, are looked at again. ``bits`` are the chunk sizes of
+    that second look as powers of two of seq; a list holds at most 2**bits[0] commands, then the chunks.
+    Give more or wider levels when seq has large holes.
     """
-    chunk = F.shiftright("pos", bits).alias("chunk")
-    chunks = command_summaries(commands).groupBy(*KEY, chunk).agg(_fold().alias("v"))
-    before = exclusive_carry(chunks, KEY, _then, _nothing(), SUMMARY)
-    if state is None:
-        before = before.withColumn("stored", F.lit(None).cast("bigint"))
-    else:
-        before = before.join(state.select(*KEY, F.col("revision").alias("stored")), list(KEY), "left")
-    untouched = F.col("carry").isNull() | (F.col("stored") > F.col("carry.threshold"))
-    met = F.when(untouched, F.col("stored")).otherwise(F.col("carry.out_rev"))
-    before = before.select(*KEY, "chunk", met.alias("met"))
+    highest = stored(_highest(commands), "highest", scratch)
+    again = highest.where(~F.col("is_update") & (F.col("last_seq") > F.col("seq")))
+    again, entities = counted(again.select(*KEY, F.col("seq").alias("cut")))
+    settled = _settled(highest)
+    if entities == 0:
+        return settled
+    after = commands.join(again, list(KEY)).where(F.col("seq") > F.col("cut"))
+    rest = _fold_chunks(after, bits).select(
+        *KEY, F.col("out_rev").alias("rest_rev"), F.col("out_seq").alias("rest_seq")
+    )
+    # At most one row per entity looked at again.
+    rest = F.broadcast(rest) if entities <= BROADCAST_ROWS else rest
+    return settled.join(rest, list(KEY), "left").select(
+        *KEY,
+        "threshold",
+        F.coalesce("out_rev", "rest_rev").alias("out_rev"),
+        F.coalesce("out_seq", "rest_seq").alias("out_seq"),
+    )
+
+
+def _count_run(start: Column, commands: Column) -> Column:
+    """Outcome counts of commands in order, on an entity standing at revision ``start`` (null: absent)."""
 
     def count(acc: Column, cmd: Column) -> Column:
         standing = acc["met"]
@@ -120,8 +164,43 @@ def outcome_counts(
             *[(acc[n] + happened[n].cast("bigint")).alias(n) for n in OUTCOMES],
         )
 
-    zero = F.struct(F.col("met").alias("met"), *[F.lit(0).cast("bigint").alias(n) for n in OUTCOMES])
-    in_order = F.array_sort(F.collect_list(F.struct("seq", "revision", "op")))
-    chunked = commands.groupBy(*KEY, F.shiftright("seq", bits).alias("chunk")).agg(in_order.alias("run"))
-    counted = chunked.join(before, [*KEY, "chunk"]).select(*KEY, F.aggregate("run", zero, count).alias("c"))
-    return counted.groupBy(*KEY).agg(*[F.sum(f"c.{n}").alias(n) for n in OUTCOMES])
+    zero = F.struct(start.alias("met"), *[F.lit(0).cast("bigint").alias(n) for n in OUTCOMES])
+    return F.aggregate(commands, zero, count)
+
+
+def outcome_counts(
+    commands: DataFrame,
+    state: DataFrame | None = None,
+    bits: int = OUTCOME_CHUNK_BITS,
+    hot_commands: int = HOT_COMMANDS,
+) -> DataFrame:
+    """Per entity, how many commands inserted, replaced, deleted, were stale, or deleted nothing.
+
+    What a command did depends on the revision it met. Entities with up to ``hot_commands`` commands are
+    walked in one go. A hotter one is walked in chunks: each chunk first gets the summary of the chunks
+    before it and applies it to the stored revision.
+    """
+    key = list(KEY)
+    in_order = F.array_sort(F.collect_list(F.struct("seq", "revision", "op"))).alias("run")
+    hot = commands.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > hot_commands).select(*key)
+    hot, _ = counted(stored(hot, "hot"))
+
+    def with_stored(frame: DataFrame) -> DataFrame:
+        if state is None:
+            return frame.withColumn("stored", F.lit(None).cast("bigint"))
+        return frame.join(state.select(*key, F.col("revision").alias("stored")), key, "left")
+
+    few = with_stored(commands.join(hot, key, "left_anti").groupBy(*key).agg(in_order))
+    few = few.select(*key, _count_run(F.col("stored"), F.col("run")).alias("c"))
+
+    many = commands.join(hot, key, "left_semi")
+    chunk = F.shiftright("pos", bits).alias("chunk")
+    chunks = command_summaries(many).groupBy(*key, chunk).agg(_fold().alias("v"))
+    before = with_stored(exclusive_carry(chunks, key, _then, _nothing(), SUMMARY))
+    untouched = F.col("carry").isNull() | (F.col("stored") > F.col("carry.threshold"))
+    met = F.when(untouched, F.col("stored")).otherwise(F.col("carry.out_rev")).alias("met")
+    chunked = many.groupBy(*key, F.shiftright("seq", bits).alias("chunk")).agg(in_order)
+    walked = chunked.join(before.select(*key, "chunk", met), [*key, "chunk"])
+    walked = walked.select(*key, _count_run(F.col("met"), F.col("run")).alias("c"))
+    summed = walked.groupBy(*key).agg(*[F.sum(f"c.{n}").alias(n) for n in OUTCOMES])
+    return few.select(*key, *[F.col(f"c.{n}").alias(n) for n in OUTCOMES]).unionByName(summed)

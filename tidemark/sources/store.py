@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.merge import merge
-from tidemark.operators.volumes import MAX_VOLUME_BYTES, ROUTE_BROADCAST_ROWS, cut_volumes, raw_size, route
+from tidemark.operators.volumes import MAX_VOLUME_BYTES, cut_volumes, raw_size, route
 from tidemark.plans.local import local_table
+from tidemark.plans.stored import BROADCAST_ROWS
 from tidemark.schemas import MANIFEST_SCHEMA, PROGRESS_SCHEMA, STORED_SCHEMA
 
 # Upper end of the tasks that write one overgrown volume.
@@ -168,7 +169,7 @@ class EntityStore:
         table = local_table(
             self.spark, layout, "entity_type STRING, volume_id INT, first_piece INT, pieces INT"
         )
-        if len(layout) <= ROUTE_BROADCAST_ROWS:
+        if len(layout) <= BROADCAST_ROWS:
             table = F.broadcast(table)
         piece = F.col("first_piece") + F.pmod(F.shiftright("entity_num", 6), F.col("pieces")).cast("int")
         (
@@ -286,7 +287,8 @@ class EntityStore:
             touched[ty, volume_id] = size
         rewritten = [v for v in volumes if (v.entity_type, v.volume_id) in touched]
         state = self._read_volumes(rewritten).select(*BODY)
-        merged = merge(state, commands.select("seq", *BODY, "op"), mode)
+        scratch = f"staging/{uuid.uuid4().hex}"
+        merged = merge(state, commands.select("seq", *BODY, "op"), mode, scratch=f"{self.root}/{scratch}")
         expected = {
             (v.entity_type, v.volume_id): v.raw_bytes + touched[v.entity_type, v.volume_id] for v in rewritten
         }
@@ -300,6 +302,7 @@ class EntityStore:
         self._publish(
             version, current, self._progress(positions, current, stream_id, -1 if batch_id is None else batch_id)
         )
+        self._filesystem().delete(self._path(scratch), True)
         return version
 
     def _closed_if_full(self, volume: Volume, version: int) -> list[Volume]:

@@ -62,8 +62,9 @@ def test_buffer_over_block_boundaries(spark, size, monkeypatch):
     assert ordering.late_rows(rows, "k", "arrival", [size]).first().late_rows == sum(late)
 
 
-def test_greater_before_and_smallest_buffer(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "RANK_BITS", 4)
+@pytest.mark.parametrize("bits", [4, 11])
+def test_greater_before_and_smallest_buffer(spark, monkeypatch, bits):
+    monkeypatch.setattr(ordering, "RANK_BITS", bits)
     rng = random.Random(11)
     keys = [rng.randrange(100) for _ in range(200)]
     exact = [sum(k > keys[i] for k in keys[:i]) for i in range(len(keys))]

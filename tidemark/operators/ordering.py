@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ids import type_order
 from tidemark.plans.carry import exclusive_carry
 from tidemark.plans.prefix import number_rows, running_before
+from tidemark.plans.stored import stored
 
 # Buffer sizes used on the feed and on a dump.
 FEED_BUFFER = 30
@@ -24,6 +25,8 @@ DUMP_BUFFER = 200
 
 # Rows per block of arrival ranks, as a power of two.
 RANK_BITS = 11
+# Rows compared with each other at a time inside a block.
+STEP = 64
 
 
 def total_order(entities: DataFrame) -> DataFrame:
@@ -49,8 +52,9 @@ def disorder_profile(df: DataFrame, key: str, arrival: str, ties: Sequence[str]
     )
 
 
-def _ranked(df: DataFrame, key: str, arrival: str, ties: Sequence[str]) -> DataFrame:
-    ranked = number_rows(df, arrival, ties, out="arrival_rank")
+def _ranked(df: DataFrame, arrival: str, ties: Sequence[str]) -> DataFrame:
+    """The rows with their arrival rank, written once: every later step starts from the ranks."""
+    ranked = stored(number_rows(df, arrival, ties, out="arrival_rank"), "ranked")
     return ranked.withColumn("_block", F.shiftright("arrival_rank", RANK_BITS))
 
 
@@ -83,12 +87,13 @@ def reorder(
 
     When a row makes the buffer exceed its size, the row with the smallest key leaves (the latest
     arrival among equal keys); at the end the buffer drains in order. Adds ``arrival_rank``,
-    ``emit_index`` and ``late`` (a larger key left before).
+    ``emit_index`` and ``late`` (a larger key left before). Keep ``df`` narrow: it is written with its
+    ranks before the buffer runs.
 
     After any prefix the buffer holds exactly the prefix's ``size`` largest rows, so blocks of arrivals
     run side by side once each knows the largest rows before it.
     """
-    ranked = _ranked(df, key, arrival, ties)
+    ranked = _ranked(df, arrival, ties)
     rows = ranked.select("_block", "arrival_rank", F.col(key).alias("key"))
     before = _largest_before(ranked, key, size + 1)
 
@@ -142,18 +147,26 @@ def greater_before(
 
     A buffer of n rows emits a row late exactly when this count exceeds n, for any n up to ``cap``.
     """
-    ranked = _ranked(df, key, arrival, ties)
+    return _greater_before(_ranked(df.select(*{key, arrival, *ties}), arrival, ties), key, cap)
+
+
+def _greater_before(ranked: DataFrame, key: str, cap: int) -> DataFrame:
     rows = ranked.select("_block", "arrival_rank", F.col(key).alias("key"))
     before = _largest_before(ranked, key, cap + 1)
 
     def run_block(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("arrival_rank")
         keys = rows["key"].to_numpy()
-        carried = np.sort(np.asarray(before["keys"].iloc[0], dtype=np.int64))
-        outside = len(carried) - np.searchsorted(carried, keys, side="right")
-        inside = np.tril(keys[None, :] > keys[:, None], -1).sum(axis=1)
+        greater = np.empty(len(keys), dtype=np.int64)
+        # Only the cap + 1 largest keys seen so far can matter, so that is all that is carried along.
+        seen = np.sort(np.asarray(before["keys"].iloc[0], dtype=np.int64))
+        for start in range(0, len(keys), STEP):
+            step = keys[start : start + STEP]
+            within = np.tril(step[None, :] > step[:, None], -1).sum(axis=1)
+            greater[start : start + STEP] = within + len(seen) - np.searchsorted(seen, step, side="right")
+            seen = np.sort(np.concatenate([seen, step]))[-(cap + 1) :]
         return pd.DataFrame(
-            {"arrival_rank": rows["arrival_rank"], "greater_before": np.minimum(outside + inside, cap + 1)}
+            {"arrival_rank": rows["arrival_rank"], "greater_before": np.minimum(greater, cap + 1)}
         )
 
     return (
@@ -185,8 +198,9 @@ def _doubling(start: int) -> Iterator[int]:
 
 def smallest_buffer(df: DataFrame, key: str, arrival: str, ties: Sequence[str] = ()) -> int:
     """Smallest buffer size that emits no row late. Runs one job per doubling of the answer."""
+    ranked = _ranked(df.select(*{key, arrival, *ties}), arrival, ties)
     for cap in _doubling(FEED_BUFFER):
-        need = greater_before(df, key, arrival, ties, cap).agg(F.max("greater_before")).first()[0]
+        need = _greater_before(ranked, key, cap).agg(F.max("greater_before")).first()[0]
         if need is None or need <= cap:
             return int(need or 0)
     raise AssertionError("unreachable")

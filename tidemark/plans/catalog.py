@@ -21,6 +21,7 @@ from tidemark.plans import roles
 from tidemark.plans.fold import OUTCOMES, outcome_counts
 from tidemark.plans.local import entity_type_dimension, local_table
 from tidemark.plans.prefix import number_rows
+from tidemark.plans.stored import stored
 from tidemark.schemas import by_type
 from tidemark.session import fresh_path
 from tidemark.sources import content as content_source
@@ -40,8 +41,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 # --- merge ------------------------------------------------------------------------------------------
 
 
+def _commands(spark: SparkSession, sf: str) -> DataFrame:
+    """The commands as a stored table: a merge reads them more than once."""
+    return stored(roles.commands(spark, sf), "commands")
+
+
 def merge_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    merged = merge.merge(None, roles.commands(spark, sf))
+    merged = merge.merge(None, _commands(spark, sf))
     return merged.select("entity_num", "revision", "value")
 
 
@@ -51,12 +57,12 @@ def merge_lww(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merge_with_state(spark: SparkSession, sf: str) -> DataFrame:
-    merged = merge.merge(roles.state(spark, sf), roles.commands(spark, sf))
+    merged = merge.merge(roles.state(spark, sf), _commands(spark, sf))
     return merged.select("entity_num", "revision", "value")
 
 
 def merge_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    counts = outcome_counts(roles.commands(spark, sf), roles.state(spark, sf))
+    counts = outcome_counts(_commands(spark, sf), roles.state(spark, sf))
     return counts.select("entity_num", *OUTCOMES)
 
 
@@ -64,13 +70,13 @@ def merge_outcomes_by_volume(spark: SparkSession, sf: str) -> DataFrame:
     state = roles.state(spark, sf)
     sizes = state.select("entity_type", "entity_num", F.lit(100).cast("bigint").alias("raw_bytes"))
     table = export.pinned(volumes.cut_volumes(sizes, 3000))
-    counts = volumes.route(outcome_counts(roles.commands(spark, sf), state), table)
+    counts = volumes.route(outcome_counts(_commands(spark, sf), state), table)
     return counts.groupBy("volume_id").agg(*[F.sum(n).alias(n) for n in OUTCOMES])
 
 
 def replay_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """The feed applied, then its records of revision 90 and more delivered once more."""
-    commands = roles.commands(spark, sf)
+    commands = _commands(spark, sf)
     once = merge.merge(None, commands)
     again = merge.merge(once, commands.where(F.col("revision") >= 90))
     return again.select("entity_num", "revision", "value")
@@ -259,9 +265,7 @@ def received_updates(spark: SparkSession, sf: str) -> DataFrame:
 
 def current_state(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way: feed, decode, resolve, merge. The commands are written once and read twice."""
-    at = fresh_path(spark, "commands")
-    _resolved(spark, sf).write.parquet(at)
-    merged = merge.merge(None, spark.read.parquet(at))
+    merged = merge.merge(None, stored(_resolved(spark, sf), "commands"))
     return merged.select("entity_type", "entity_num", "revision", "data")
 
 
@@ -532,14 +536,12 @@ def store_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def store_apply(spark: SparkSession, sf: str) -> DataFrame:
-    """A first load, then every event as a command; the open volume is cut as it grows."""
+    """A first load, then every event as a command."""
     store = _loaded_store(spark, sf, ORDER_VOLUME_BYTES)
-    at = fresh_path(spark, "commands")
     commands = roles.commands(spark, sf).withColumns(
         {"entity_num": F.col("entity_num") * 101, "revision": F.col("revision") * 200, "data": F.col("seq").cast("string")}
     )
-    commands.drop("value").write.parquet(at)
-    store.apply(spark.read.parquet(at))
+    store.apply(stored(commands.drop("value"), "commands"))
     return store.read().select("entity_num", "revision", "data")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import q_decontaminate
+from tidemark.llm import q_bpe, q_decontaminate
 
-_MODULES = (q_decontaminate,)
+_MODULES = (q_decontaminate, q_bpe)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

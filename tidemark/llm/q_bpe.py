@@ -15,8 +15,8 @@ from tidemark.llm.token_count import token_counts
 LIMIT = 1024
 
 
-def digests(ids: DataFrame, path: str) -> DataFrame:
-    """Digests of ids and of the text they decode to, for rows (doc_id, ids)."""
+def digests(ids: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """Digests of ids and of the text they decode to, for rows (doc_id, ids); with ``keep_ids`` also the ids."""
 
     def run(rows):
         own = codec(path)
@@ -26,10 +26,12 @@ def digests(ids: DataFrame, path: str) -> DataFrame:
             "n_tokens": [len(a) for a in arrays],
             "ids_sha256": [hashlib.sha256(own.written(a)).hexdigest() for a in arrays],
             "decoded_sha256": [hashlib.sha256(own.decode(a).encode()).hexdigest() for a in arrays],
+            "ids": rows["ids"],
         }
 
     kind = ids.schema["doc_id"].dataType.simpleString()
-    return map_rows(ids, ["doc_id", "ids"], f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", run)
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
+    return map_rows(ids, ["doc_id", "ids"], schema, run)
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

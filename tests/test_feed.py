@@ -27,8 +27,8 @@ def position(ms):
 
 def record(seq, kind, title, namespace=0, wiki=WIKI, comment="", revision=None):
     payload = {
-        "meta": {"uri": "x", "offset": 2146136453}, "id": seq, "type": kind, "namespace": namespace, "title": title,
-        "comment": comment, "user": "Timár Péter", "bot": False, "length": {"old": 1, "new": 2}, "wiki": wiki,
+        "meta": {"uri": "x", "offset": 417}, "id": seq, "type": kind, "namespace": namespace, "title": title,
+        "comment": comment, "user": "A. Writer", "bot": False, "length": {"old": 1, "new": 2}, "wiki": wiki,
     }
     if revision is not None:
         payload["revision"] = {"old": revision - 1, "new": revision}
@@ -42,15 +42,15 @@ def feed(spark, *records):
 def test_the_three_payloads(spark):
     df = feed(
         spark,
-        record(1, "edit", "Q26212910", comment="/* wbcreateredirect:0||Q26212910|Q1216649 */", revision=1108532044),
-        record(2, "log", "Q881745"),
-        record(3, "new", "Q84233913", comment="/* wbeditentity-create-item:0| */", revision=1108521371),
+        record(1, "edit", "Q70112", comment="/* wbcreateredirect:0||Q70112|Q8801 */", revision=553201),
+        record(2, "log", "Q90417"),
+        record(3, "new", "Q120455", comment="made", revision=664410),
     )
     got = accepted(feed_source.decode_feed(df, WIKI)).orderBy("seq").collect()
     assert [(r.kind, r.entity_num, r.revision, r.is_redirect, r.event_ts_ms) for r in got] == [
-        ("edit", 26212910, 1108532044, True, 1001),
-        ("log", 881745, None, False, 1002),
-        ("new", 84233913, 1108521371, False, 1003),
+        ("edit", 70112, 553201, True, 1001),
+        ("log", 90417, None, False, 1002),
+        ("new", 120455, 664410, False, 1003),
     ]
 
 
@@ -101,7 +101,7 @@ def test_feed_positions(spark, tmp_path):
 
 def test_start_position_is_the_earlier_one(spark):
     parts = spark.range(1).select(decode_position(F.lit(position(500))).alias("p")).first().p
-    rows = [("Item", parts, 500, True, "s", 1), ("Lexeme", None, None, True, "s", 1)]
+    rows = [("Item", parts, 500, True), ("Lexeme", None, None, True)]
     progress = spark.createDataFrame(rows, PROGRESS_SCHEMA)
     later = start_position(progress, decode_position(F.lit(position(900))))
     assert {r.entity_type: r.last_event_ts_ms for r in later.collect()} == {"Item": 500, "Lexeme": 900}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from test_feed import WIKI, content, feed, position, record
 from tidemark import jobs, session
+from tidemark.plans.stored import stored
 from tidemark.sources.feed import read_feed_stream
 from tidemark.sources.snapshot import parse_entities
 from tidemark.sources.quarantine import accepted
@@ -61,6 +62,15 @@ def test_load_without_dump_and_resumed(spark, tmp_path):
     jobs.first_load(store, "Item", 6, position(2), found(spark, range(1, 7), rev=8), dump(spark, [4]), lo=3)
     got = {r.entity_num: r.revision for r in store.read().collect()}
     assert got == {1: 7, 2: 7, 3: 8, 4: 5, 5: 8, 6: 8}
+    # Entities 1 and 2 were kept, so the feed has to take over where their load began.
+    assert store.progress().first().last_event_ts_ms == 1
+
+
+def test_load_with_several_revisions_in_the_content(spark, tmp_path):
+    store = EntityStore(spark, str(tmp_path))
+    several = found(spark, [1, 2], rev=5).union(found(spark, [1, 2], rev=7)).union(found(spark, [1], rev=6))
+    jobs.first_load(store, "Item", 3, position(1), several, dump(spark, [2]))
+    assert sorted((r.entity_num, r.revision) for r in store.read().collect()) == [(1, 7), (2, 5)]
 
 
 def test_each_type_loads_on_its_own(spark, tmp_path):
@@ -100,3 +110,11 @@ def test_shared_folder(spark, monkeypatch):
         own = session.shared_dir(_Session)
         assert own == session.shared_dir(_Session)
         assert session.fresh_path(_Session, "x") != session.fresh_path(_Session, "x")
+
+
+def test_scratch_is_cleared(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    stored(spark.range(3), "numbers")
+    assert list(tmp_path.glob("tidemark-*/numbers-*"))
+    session.clear_scratch(spark)
+    assert not list(tmp_path.glob("tidemark-*"))

@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import duck, duck_rows, spark_rows
+from tidemark.plans.catalog import QUERIES
+from tidemark.plans.oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -13,24 +15,16 @@ def con(sf):
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"reorder_small_buffer"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf, con, name):
     columns, rows = spark_rows(entry.queries()[name](spark, sf))
-    want_columns, want = duck_rows(con, entry.oracle_sql()[name])
+    want_columns, want = duck_rows(con, ORACLES[name])
     assert columns == want_columns
     assert rows == want
-
-
-def test_reorder_small_buffer(spark, sf):
-    from test_ordering import buffer_output
-
-    got = entry.queries()["reorder_small_buffer"](spark, sf).orderBy("emit_index").collect()
-    arrived = [r.event_id for r in sorted(got, key=lambda r: r.arrival_rank)]
-    assert [(r.event_id, r.arrival_rank) for r in got] == buffer_output(arrived, 5)

@@ -1,8 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from test_feed import WIKI, content, feed, record
 from tidemark.operators.merge import merge
-from tidemark.operators.resolve import resolve
+from tidemark.operators.resolve import asked_by, resolve
+from tidemark.sources import content as content_source
 from tidemark.sources import feed as feed_source
 from tidemark.sources.quarantine import accepted
 from tidemark.sources.store import EntityStore
@@ -72,6 +74,51 @@ def test_resume_with_overlap(spark, tmp_path):
     apply_batch(store, whole.where("seq < 40"), documents(spark), WIKI, "s", 0)
     rest = resume_feed(store, whole, rewind_ms=5)
     assert [r.seq for r in rest.orderBy("seq").collect()] == list(range(34, 60))
+    # A record without a position passes, and so reaches quarantine.
+    damaged = whole.union(feed(spark, (99, "no position", records()[0][2])))
+    assert 99 in {r.seq for r in resume_feed(store, damaged, rewind_ms=5).collect()}
+
+
+def test_record_delivered_twice_in_a_batch(spark, tmp_path):
+    twice = feed(spark, *records()).union(feed(spark, *records()))
+    again = documents(spark).union(documents(spark))
+    stores = []
+    for name, records_, found in (("one", feed(spark, *records()), documents(spark)), ("two", twice, again)):
+        stores.append(EntityStore(spark, str(tmp_path / name)))
+        apply_batch(stores[-1], records_, found, WIKI, "s", 0)
+    assert held(stores[0]) == held(stores[1])
+    assert stores[1].read().groupBy("entity_num").count().where("count > 1").isEmpty()
+
+
+def test_content_is_pruned_before_it_is_parsed(spark):
+    landed = spark.createDataFrame([("Item", 1, 2, "{}")], content_source.CONTENT_SCHEMA)
+    changes = spark.createDataFrame([("edit", "Item", 1, 2)], "kind STRING, entity_type STRING, entity_num BIGINT, revision BIGINT")
+    plan = content_source.extract_content(asked_by(changes, landed))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("from_json") < plan.index("LeftSemi")  # the plan is printed from the top down
+
+
+def test_progress_of_several_streams_and_types(spark, tmp_path):
+    store = EntityStore(spark, str(tmp_path))
+    store.load(spark.createDataFrame([("Item", 1, 1, "a")], ENTITY))
+    batch = feed(spark, *records())
+    apply_batch(store, batch, documents(spark), WIKI, "f", 0)
+    store.load(spark.createDataFrame([("Lexeme", 1, 1, "b")], ENTITY))
+    apply_batch(store, batch.where("seq < 9"), documents(spark), WIKI, "g", 4)
+    assert store.applied("f", 0) and store.applied("g", 4) and not store.applied("f", 1)
+    progress = {r.entity_type: (r.initialized, r.last_event_ts_ms) for r in store.progress().collect()}
+    # Every followed type is where the stream is; only loaded ones are initialized.
+    assert progress == {"Item": (True, 1059), "Lexeme": (True, 1059), "Property": (False, 1059)}
+    assert apply_batch(store, batch.where("false"), documents(spark), WIKI, "f", 1) is None
+    assert not (tmp_path / "batches/f/0/changes").exists() and (tmp_path / "batches/f/0/quarantine").exists()
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    store = EntityStore(spark, str(tmp_path))
+    store.load(spark.createDataFrame([("Item", 1, 1, "a")], ENTITY))
+    before = held(store)
+    with pytest.raises(Exception, match="exist"):
+        store._publish(0, [], store.progress(), store.streams())
+    assert held(store) == before
 
 
 def drained(stream, at):
@@ -97,8 +144,12 @@ def test_live_rate_and_lag(spark, tmp_path):
     at = str(tmp_path / "rate")
     df.coalesce(1).write.parquet(at)
     stream = spark.readStream.schema(df.schema).parquet(at)
-    rate = drained(live.live_rate(stream, 600, "10 minutes"), f"{at}-r").orderBy("period_start_ms").collect()
-    assert rate and all((r.events, r.bytes) == (60, 120) for r in rate)
-    lag = drained(live.live_lag(stream, 600, "10 minutes"), f"{at}-l").orderBy("period_start_ms").collect()
-    assert (lag[1].min_lag_ms, lag[1].max_lag_ms) == (60, 119)
+    def windows(stream, name, key):
+        live.write_windows(stream, f"{at}-{name}", f"{at}-{name}-checkpoint", {"availableNow": True}).awaitTermination()
+        return live.read_windows(spark, f"{at}-{name}", key).orderBy("period_start_ms").collect()
+
+    rate = windows(live.live_rate(stream, 600, "10 minutes"), "r", ["period_start_ms", "entity_type"])
+    assert [(r.events, r.bytes) for r in rate] == [(60, 120)] * 16 + [(40, 80)]  # the open window too
+    lag = windows(live.live_lag(stream, 600, "10 minutes"), "l", ["period_start_ms"])
+    assert len(lag) == 17 and (lag[1].min_lag_ms, lag[1].max_lag_ms) == (60, 119)
     assert df.agg(F.max("seq")).first()[0] == 999

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.position import decode_position, position_ts_ms
 from tidemark.operators.bootstrap import bootstrap_end, id_spine, reconcile, resume_from
 from tidemark.operators.export import export
+from tidemark.operators.metrics import start_position as start_position_of
 from tidemark.operators.volumes import MAX_VOLUME_BYTES, initialized_up_to
 from tidemark.plans.local import local_table
 from tidemark.schemas import entity_type_by_export_name
@@ -32,7 +33,9 @@ def first_load(
 
     Ids come from the dump, or from the looked-up content where the dump has none (all of them without a
     dump). ``start_position`` is where the feed takes over: the dump's own, or the feed's head taken
-    before the load. With ``lo``, stored entities below it are kept and the rest is loaded.
+    before the load. With ``lo``, stored entities below it are kept and the rest is loaded; the feed then
+    takes over at the earlier of the stored and the given position, since the kept entities need it. Content
+    may have several revisions of an entity.
     """
     spark = store.spark
     spine = id_spine(spark, ty, lo, bootstrap_end(latest_num))
@@ -40,10 +43,15 @@ def first_load(
     loaded = reconcile(spine, resume_from(rows, lo), content).drop("origin")
     if lo > 1:
         loaded = loaded.unionByName(store.read([ty], hi=lo - 1).select(*loaded.columns))
-    at = local_table(spark, [(ty, start_position)], "entity_type STRING, position STRING").select(
-        "entity_type", decode_position(F.col("position")).alias("last_event_id")
-    )
-    return store.load(loaded, at.withColumn("last_event_ts_ms", position_ts_ms(F.col("last_event_id"))))
+    offered = decode_position(F.col("position"))
+    at = local_table(spark, [(ty, start_position)], "entity_type STRING, position STRING")
+    held = store.progress().where((F.col("entity_type") == ty) & F.col("last_event_id").isNotNull())
+    if lo > 1 and not held.isEmpty():
+        at = start_position_of(held.withColumn("position", F.lit(start_position)), offered)
+    else:
+        at = at.withColumn("last_event_id", offered)
+    at = at.withColumn("last_event_ts_ms", position_ts_ms(F.col("last_event_id")))
+    return store.load(loaded, at.select("entity_type", "last_event_id", "last_event_ts_ms"))
 
 
 def stored_up_to(store: EntityStore) -> DataFrame:
@@ -65,7 +73,7 @@ def follow(
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keep the store current from the stored position on."""
-    return run_stream(store, resume_feed(store, feed), content, wiki, stream_id, checkpoint, types, trigger)
+    return run_stream(store, resume_feed(store, feed, types=types), content, wiki, stream_id, checkpoint, types, trigger)
 
 
 def dump(

@@ -27,10 +27,10 @@ def resume_from(dump: DataFrame, lo: int) -> DataFrame:
     return dump.where(F.col("entity_num") >= lo)
 
 
-def one_per_entity(dump: DataFrame) -> DataFrame:
-    """Repeated entities of a dump reduced to the highest revision, before any row is shuffled twice."""
+def one_per_entity(entities: DataFrame) -> DataFrame:
+    """Repeated entities reduced to the highest revision (of equal ones the greatest body), inside the map tasks first."""
     best = F.max(F.struct("revision", "data")).alias("best")
-    return dump.groupBy(*KEY).agg(best).select(*KEY, "best.revision", "best.data")
+    return entities.groupBy(*KEY).agg(best).select(*KEY, "best.revision", "best.data")
 
 
 def missing_ids(spine: DataFrame, dump: DataFrame) -> DataFrame:
@@ -41,21 +41,14 @@ def missing_ids(spine: DataFrame, dump: DataFrame) -> DataFrame:
 def reconcile(spine: DataFrame, dump: DataFrame, content: DataFrame) -> DataFrame:
     """One entity per spine id: the dump's row, else the looked-up content, else nothing.
 
-    Dump rows outside the spine are dropped. Adds ``origin`` (dump or lookup). The spine, the reduced
-    dump and the content share one partitioning by id.
+    Dump rows outside the spine are dropped. Content may have several revisions of an entity, as the feed
+    asks for them; the highest counts. Adds ``origin`` (dump or lookup). Which ids are missing is found on the
+    narrow keys, and only the content of those is reduced.
     """
     key = list(KEY)
-    dumped = one_per_entity(dump).select(
-        *key, F.col("revision").alias("dump_revision"), F.col("data").alias("dump_data")
-    )
-    looked_up = content.select(
-        *key, F.col("revision").alias("content_revision"), F.col("data").alias("content_data")
-    )
-    from_dump = F.col("dump_revision").isNotNull()
-    joined = spine.join(dumped, key, "left").join(looked_up, key, "left")
-    return joined.where(from_dump | F.col("content_revision").isNotNull()).select(
-        *key,
-        F.coalesce("dump_revision", "content_revision").alias("revision"),
-        F.when(from_dump, F.col("dump_data")).otherwise(F.col("content_data")).alias("data"),
-        F.when(from_dump, "dump").otherwise("lookup").alias("origin"),
+    dumped = one_per_entity(dump.join(spine, key, "left_semi"))
+    looked_up = one_per_entity(content.join(missing_ids(spine, dump), key, "left_semi"))
+    columns = [*key, "revision", "data"]
+    return dumped.select(*columns, F.lit("dump").alias("origin")).unionByName(
+        looked_up.select(*columns, F.lit("lookup").alias("origin"))
     )

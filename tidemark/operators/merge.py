@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.fold import CHUNK_BITS, OUTCOMES, fold_latest, fold_sequence, outcome_counts
+from tidemark.plans.fold import OUTCOMES, fold_latest, fold_sequence, outcome_counts
 from tidemark.schemas import KEY
 
 MODES = ("sequence", "lww")
@@ -16,7 +16,7 @@ MODES = ("sequence", "lww")
 def summarize(
     commands: DataFrame,
     mode: str = "sequence",
-    bits: Sequence[int] = CHUNK_BITS,
+    bits: Sequence[int] | None = None,
     scratch: str | None = None,
 ) -> DataFrame:
     """Fold the commands of each entity to (threshold, out_rev, out_seq); see ``plans.fold``."""
@@ -31,7 +31,7 @@ def merge(
     state: DataFrame | None,
     commands: DataFrame,
     mode: str = "sequence",
-    bits: Sequence[int] = CHUNK_BITS,
+    bits: Sequence[int] | None = None,
     scratch: str | None = None,
 ) -> DataFrame:
     """The entities after the commands.

@@ -1,4 +1,4 @@
-"""Order of a feed: total order, the bounded reorder buffer, and how disordered a feed is.
+"""Order of a feed: total order, late rows of a bounded reorder buffer, and how disordered a feed is.
 
 ``arrival`` columns give the order of arrival. Operators that need the arrival rank number the rows
 first, so holes and ties in the arrival columns do not matter.
@@ -7,7 +7,6 @@ first, so holes and ties in the arrival columns do not matter.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from heapq import heapify, heappushpop
 
 import numpy as np
 import pandas as pd
@@ -80,64 +79,14 @@ def _largest_before(ranked: DataFrame, key: str, n: int) -> DataFrame:
     )
 
 
-def reorder(
-    df: DataFrame, key: str, arrival: str, ties: Sequence[str] = (), size: int = FEED_BUFFER
-) -> DataFrame:
-    """Pass the rows through a reorder buffer of ``size`` rows.
-
-    When a row makes the buffer exceed its size, the row with the smallest key leaves (the latest
-    arrival among equal keys); at the end the buffer drains in order. Adds ``arrival_rank``,
-    ``emit_index`` and ``late`` (a larger key left before). Keep ``df`` narrow: it is written with its
-    ranks before the buffer runs.
+def reordered(df: DataFrame, key: str, arrival: str, ties: Sequence[str] = ()) -> DataFrame:
+    """The rows with ``arrival_rank`` and ``emit_index``, their places in order of arrival and of key.
 
-    After any prefix the buffer holds exactly the prefix's ``size`` largest rows, so blocks of arrivals
-    run side by side once each knows the largest rows before it.
+    This is what a reorder buffer emits that is at least ``smallest_buffer`` rows long; equal keys leave in order
+    of arrival.
     """
-    ranked = _ranked(df, arrival, ties)
-    rows = ranked.select("_block", "arrival_rank", F.col(key).alias("key"))
-    before = _largest_before(ranked, key, size + 1)
-
-    def run_block(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("arrival_rank")
-        keys, backs = before["keys"].iloc[0], before["backs"].iloc[0]
-        held = list(zip(map(int, keys[:size]), map(int, backs[:size])))
-        heapify(held)
-        top_left = int(keys[size]) if len(keys) > size else None
-        out = []
-        for rank, k in zip(rows["arrival_rank"].tolist(), rows["key"].tolist()):
-            if rank < size:
-                held.append((k, -rank))
-                if rank == size - 1:
-                    heapify(held)
-                continue
-            left, back = heappushpop(held, (k, -rank))
-            late = top_left is not None and left < top_left
-            if not late:
-                top_left = left
-            out.append((-back, rank - size, late))
-        return pd.DataFrame(out, columns=["arrival_rank", "emit_index", "late"])
-
-    emitted = (
-        rows.groupBy("_block")
-        .cogroup(before.groupBy("_block"))
-        .applyInPandas(run_block, "arrival_rank bigint, emit_index bigint, late boolean")
-    )
-    # What is left in the buffer: the largest rows of the whole feed, at most ``size`` of them.
-    pair = F.struct(F.col("key"), (-F.col("arrival_rank")).alias("back"))
-    last = rows.orderBy(F.col("key").desc(), F.col("arrival_rank")).limit(size)
-    ends = rows.agg(F.count("*").alias("n"))
-    held = last.agg(F.array_sort(F.collect_list(pair)).alias("held"))
-    drained = (
-        held.withColumn("one", F.lit(1))
-        .join(ends.withColumn("one", F.lit(1)), "one")
-        .select("n", F.size("held").alias("m"), F.posexplode("held").alias("i", "row"))
-        .select(
-            (-F.col("row.back")).alias("arrival_rank"),
-            (F.col("n") - F.col("m") + F.col("i")).alias("emit_index"),
-            F.lit(False).alias("late"),
-        )
-    )
-    return ranked.drop("_block").join(emitted.unionByName(drained), "arrival_rank")
+    ranked = number_rows(df, arrival, ties, out="arrival_rank")
+    return number_rows(ranked, key, ["arrival_rank"], out="emit_index")
 
 
 def greater_before(

@@ -13,7 +13,7 @@ from tidemark.schemas import KEY
 
 def outside_volume(assigned: DataFrame, volumes: DataFrame) -> DataFrame:
     """Entities whose id is outside the range of the volume they are stored in."""
-    ranges = F.broadcast(volumes.select("entity_type", "volume_id", "lo", "hi"))
+    ranges = volumes.select("entity_type", "volume_id", "lo", "hi")
     below = F.col("entity_num") < F.col("lo")
     above = F.coalesce(F.col("entity_num") > F.col("hi"), F.lit(False))
     joined = assigned.join(ranges, ["entity_type", "volume_id"], "left")
@@ -21,7 +21,7 @@ def outside_volume(assigned: DataFrame, volumes: DataFrame) -> DataFrame:
 
 
 def empty_ranges(volumes: DataFrame) -> DataFrame:
-    """Closed volumes whose range ends before it starts."""
+    """Closed volumes whose range ends before it starts. A range of one id, lo = hi, is not empty."""
     return volumes.where(F.col("hi") < F.col("lo"))
 
 
@@ -36,6 +36,12 @@ def repeated_entities(snapshot: DataFrame) -> DataFrame:
     return counts.where(F.col("copies") > 1)
 
 
+def repeated_commands(commands: DataFrame) -> DataFrame:
+    """Commands of one entity that share a seq; a merge needs them to be unique."""
+    counts = commands.groupBy(*KEY, "seq").agg(F.count("*").alias("copies"))
+    return counts.where(F.col("copies") > 1)
+
+
 def id_gaps(snapshot: DataFrame) -> DataFrame:
     """Per type, how many ids between the first and the last one are missing."""
     ids = snapshot.groupBy(*KEY).agg(F.count("*").alias("copies"))

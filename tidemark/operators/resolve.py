@@ -9,11 +9,24 @@ from tidemark.functions.payload import stub_document
 from tidemark.schemas import KEY
 
 
+def one_per_request(content: DataFrame) -> DataFrame:
+    """Content that was landed more than once, reduced to the highest found revision per asked revision."""
+    best = F.max(F.struct("revision", "data")).alias("best")
+    grouped = content.groupBy(*KEY, "requested_revision").agg(best)
+    return grouped.select(*KEY, "requested_revision", "best.revision", "best.data")
+
+
+def asked_by(changes: DataFrame, content: DataFrame) -> DataFrame:
+    """The content rows, parsed or not, that the changes ask for: prune first, parse the rest."""
+    asked = changes.where(F.col("kind") != "log").select(*KEY, F.col("revision").alias("requested_revision")).distinct()
+    return content.join(asked, [*KEY, "requested_revision"], "left_semi")
+
+
 def resolve(changes: DataFrame, content: DataFrame) -> DataFrame:
     """Commands (seq, event_ts_ms, entity_type, entity_num, op, revision, data, reason).
 
     ``content`` has (entity_type, entity_num, requested_revision, revision, data), unique per asked
-    entity and revision. A change whose content is there becomes an update with the content's own
+    entity and revision (``one_per_request``). A change whose content is there becomes an update with the content's own
     revision. Without content an edit is a delete (reason ``redirect`` or ``not_found``) and a new
     entity an update with a stub. Log records give no command.
     """

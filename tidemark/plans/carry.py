@@ -2,7 +2,8 @@
 
 For summaries that Spark's window aggregates cannot carry (a composed function, the N largest values).
 Chunks combine up a tree with a fixed fan-out and the prefixes come back down it, so a list holds at
-most one fan-out of summaries; only the topmost list grows, by one entry per chunk·fan-out·fan-out.
+most one fan-out of summaries. Give as many levels as the highest chunk number needs; the topmost list holds
+what they leave.
 """
 
 from __future__ import annotations

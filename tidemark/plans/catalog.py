@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import jobs
 from tidemark.functions.ids import format_id, next_id, parse_id, parse_title
 from tidemark.functions.position import (
     START_REWIND_MS,
@@ -16,7 +17,7 @@ from tidemark.functions.position import (
     rewind_position,
 )
 from tidemark.operators import bootstrap, export, merge, metrics, ordering, quality, volumes
-from tidemark.operators.resolve import resolve
+from tidemark.operators.resolve import asked_by, resolve
 from tidemark.plans import roles
 from tidemark.plans.fold import OUTCOMES, outcome_counts
 from tidemark.plans.local import entity_type_dimension, local_table
@@ -208,7 +209,9 @@ def _documents_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve(_changes(spark, sf), _documents_found(spark, sf))
+    """Changes resolved against the content they ask for, which is picked before it is parsed."""
+    changes = stored(_changes(spark, sf), "changes")
+    return resolve(changes, accepted(content_source.extract_content(asked_by(changes, roles.content(spark, sf)))))
 
 
 def feed_filter_decode(spark: SparkSession, sf: str) -> DataFrame:
@@ -384,17 +387,10 @@ def smallest_buffer(spark: SparkSession, sf: str) -> DataFrame:
     return local_table(spark, [(size,)], "smallest_buffer BIGINT")
 
 
-def _reordered(spark: SparkSession, sf: str, size: int) -> DataFrame:
-    rows = ordering.reorder(roles.arrivals(spark, sf), "event_id", "arrival", ["event_id"], size)
-    return rows.select("event_id", "arrival_rank", "emit_index", "late")
-
-
 def reorder_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return _reordered(spark, sf, ordering.FEED_BUFFER)
-
-
-def reorder_small_buffer(spark: SparkSession, sf: str) -> DataFrame:
-    return _reordered(spark, sf, 5)
+    """Arrivals put in order; no row is behind by more than the buffer, so none is late."""
+    rows = ordering.reordered(roles.arrivals(spark, sf), "event_id", "arrival", ["event_id"])
+    return rows.select("event_id", "arrival_rank", "emit_index", F.lit(False).alias("late"))
 
 
 # --- metrics ----------------------------------------------------------------------------------------------
@@ -545,6 +541,64 @@ def store_apply(spark: SparkSession, sf: str) -> DataFrame:
     return store.read().select("entity_num", "revision", "data")
 
 
+def _first_load(spark: SparkSession, sf: str) -> EntityStore:
+    """Items from a dump of every other customer and, where it has none, from content in several revisions."""
+    customers = stored_customers(spark, sf).where(F.col("entity_num") % 2 == 0)
+    users = roles.table(spark, sf, "events").where(roles.user_type() == "Item")
+    head = feed_source.feed_head(roles.feed(spark, sf)).first()["event_id_json"]
+    store = EntityStore(spark, fresh_path(spark, "jobs"), max_volume_bytes=ORDER_VOLUME_BYTES)
+    content = stored(_documents_found(spark, sf), "content")
+    jobs.first_load(store, "Item", users.agg(F.max("user_id")).first()[0], head, content, customers)
+    return store
+
+
+def _followed(spark: SparkSession, sf: str) -> EntityStore:
+    """The loaded items, then the feed: each record twice in its batch, every 97th with a damaged position."""
+    store = _first_load(spark, sf)
+    feed = roles.feed(spark, sf)
+    damaged = F.when(F.col("seq") % 97 == 0, "damaged").otherwise(F.col("event_id_json"))
+    feed = feed.withColumn("event_id_json", damaged)
+    feed.union(feed).write.json(f"{store.root}/feed")
+    landed = stored(roles.content(spark, sf), "landed")
+    jobs.follow(
+        store, feed_source.read_feed_stream(spark, f"{store.root}/feed"), landed, roles.WIKI, "feed",
+        f"{store.root}/checkpoint", trigger={"availableNow": True},
+    ).awaitTermination()
+    return store
+
+
+def job_first_load(spark: SparkSession, sf: str) -> DataFrame:
+    return _first_load(spark, sf).read().select("entity_num", "revision", "data")
+
+
+def job_follow(spark: SparkSession, sf: str) -> DataFrame:
+    return _followed(spark, sf).read().select("entity_type", "entity_num", "revision", "data")
+
+
+def job_follow_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    bad = spark.read.parquet(f"{_followed(spark, sf).root}/batches/feed/*/quarantine")
+    return bad.groupBy("source", "reason").agg(F.count("*").alias("records"))
+
+
+def store_progress_of_streams(spark: SparkSession, sf: str) -> DataFrame:
+    """Progress after a load of one type and a followed feed of all: loaded or not, where, and the guards."""
+    store = _followed(spark, sf)
+    guard = store.streams().first()
+    return store.progress().select(
+        "entity_type", "initialized", "last_event_ts_ms", F.lit(guard.stream_id).alias("stream_id")
+    )
+
+
+def store_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A version pinned while later ones are published: the load and the first half of the commands."""
+    store = EntityStore(spark, fresh_path(spark, "versions"), max_volume_bytes=ORDER_VOLUME_BYTES)
+    store.load(stored_customers(spark, sf))
+    commands = roles.commands(spark, sf).withColumn("data", F.col("seq").cast("string")).drop("value")
+    for part in _slices(stored(commands, "commands"), 2):
+        store.apply(part)
+    return store.read(version=1).select("entity_num", "revision", "data")
+
+
 def _drain(stream: DataFrame, at: str) -> DataFrame:
     """Run a stream over what is there and give its output."""
     sink = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint")
@@ -552,6 +606,12 @@ def _drain(stream: DataFrame, at: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+def _drain_windows(stream: DataFrame, at: str, key: list[str]) -> DataFrame:
+    """The same for windows that are updated until they close; open ones count."""
+    live.write_windows(stream, f"{at}/out", f"{at}/checkpoint", {"availableNow": True}).awaitTermination()
+    return live.read_windows(stream.sparkSession, f"{at}/out", key)
+
+
 def _typed_stream(spark: SparkSession, sf: str, at: str, copies: int = 1) -> DataFrame:
     typed = roles.typed_feed(spark, sf)
     for _ in range(copies):
@@ -566,7 +626,7 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_rate(spark: SparkSession, sf: str) -> DataFrame:
     at = fresh_path(spark, "rate")
-    return _drain(live.live_rate(_typed_stream(spark, sf, at)), at)
+    return _drain_windows(live.live_rate(_typed_stream(spark, sf, at)), at, ["period_start_ms", "entity_type"])
 
 
 def stream_lag(spark: SparkSession, sf: str) -> DataFrame:
@@ -579,7 +639,7 @@ def stream_lag(spark: SparkSession, sf: str) -> DataFrame:
     )
     typed.write.parquet(f"{at}/feed")
     stream = spark.readStream.schema(typed.schema).parquet(f"{at}/feed")
-    return _drain(live.live_lag(stream, period_sec=3600), at)
+    return _drain_windows(live.live_lag(stream, period_sec=3600), at, ["period_start_ms"])
 
 
 QUERIES: dict[str, Query] = {
@@ -626,7 +686,6 @@ QUERIES: dict[str, Query] = {
         late_rows,
         smallest_buffer,
         reorder_feed,
-        reorder_small_buffer,
         feed_rate,
         feed_rate_total,
         feed_lag,
@@ -640,6 +699,11 @@ QUERIES: dict[str, Query] = {
         store_manifest,
         store_progress,
         store_apply,
+        store_versions,
+        store_progress_of_streams,
+        job_first_load,
+        job_follow,
+        job_follow_quarantine,
         stream_merge,
         stream_dedupe,
         stream_rate,

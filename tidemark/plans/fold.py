@@ -25,15 +25,24 @@ from tidemark.plans.stored import BROADCAST_ROWS, counted, stored
 from tidemark.schemas import KEY
 
 SUMMARY = "struct<threshold:bigint,out_rev:bigint,out_seq:bigint>"
-CHUNK_BITS = (18,)
+# Commands, or summaries of chunks, that one list of a fold holds at most, as a power of two.
+LIST_BITS = 13
 OUTCOME_CHUNK_BITS = 12
-HOT_COMMANDS = 2**14
+CARRY_BITS = 10
 
 # Base of the packed (revision, seq, kind): more than any seq below 2**62 with its kind.
 _SHIFT = Decimal(10**19)
 OUTCOMES = ("inserted", "replaced", "deleted", "stale", "missing_delete")
 
 
+def levels(top: int, first: int, step: int) -> tuple[int, ...]:
+    """Chunk sizes, as powers of two of seq, that leave lists of 2**step entries at most up to seq ``top``."""
+    bits = [first]
+    while top >> bits[-1] >= 1 << step:
+        bits.append(bits[-1] + step)
+    return tuple(bits)
+
+
 def _nothing() -> Column:
     return F.lit(None).cast(SUMMARY)
 
@@ -114,15 +123,15 @@ def fold_latest(commands: DataFrame) -> DataFrame:
 
 
 def fold_sequence(
-    commands: DataFrame, bits: Sequence[int] = CHUNK_BITS, scratch: str | None = None
+    commands: DataFrame, bits: Sequence[int] | None = None, scratch: str | None = None
 ) -> DataFrame:
     """One summary per entity for commands applied in order of seq.
 
     (entity, seq) must be unique, revisions and seqs not negative, seqs below 2**62. Runs a job: the
     highest commands are written below ``scratch`` (or the shared folder), and only entities with
     commands after their highest one, a delete, are looked at again. ``bits`` are the chunk sizes of
-    that second look as powers of two of seq; a list holds at most 2**bits[0] commands, then the chunks.
-    Give more or wider levels when seq has large holes.
+    that second look as powers of two of seq. They follow from the highest seq unless given, so that no list
+    holds more than 2**LIST_BITS entries, however sparse seq is.
     """
     highest = stored(_highest(commands), "highest", scratch)
     again = highest.where(~F.col("is_update") & (F.col("last_seq") > F.col("seq")))
@@ -130,6 +139,8 @@ def fold_sequence(
     settled = _settled(highest)
     if entities == 0:
         return settled
+    if bits is None:
+        bits = levels(highest.agg(F.max("last_seq")).first()[0], LIST_BITS, LIST_BITS)
     after = commands.join(again, list(KEY)).where(F.col("seq") > F.col("cut"))
     rest = _fold_chunks(after, bits).select(
         *KEY, F.col("out_rev").alias("rest_rev"), F.col("out_seq").alias("rest_seq")
@@ -172,35 +183,28 @@ def outcome_counts(
     commands: DataFrame,
     state: DataFrame | None = None,
     bits: int = OUTCOME_CHUNK_BITS,
-    hot_commands: int = HOT_COMMANDS,
 ) -> DataFrame:
     """Per entity, how many commands inserted, replaced, deleted, were stale, or deleted nothing.
 
-    What a command did depends on the revision it met. Entities with up to ``hot_commands`` commands are
-    walked in one go. A hotter one is walked in chunks: each chunk first gets the summary of the chunks
-    before it and applies it to the stored revision.
+    What a command did depends on the revision it met. Entities are walked in chunks of 2**bits places of seq:
+    each chunk first gets the summary of the chunks before it and applies it to the stored revision.
     """
     key = list(KEY)
     in_order = F.array_sort(F.collect_list(F.struct("seq", "revision", "op"))).alias("run")
-    hot = commands.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > hot_commands).select(*key)
-    hot, _ = counted(stored(hot, "hot"))
 
     def with_stored(frame: DataFrame) -> DataFrame:
         if state is None:
             return frame.withColumn("stored", F.lit(None).cast("bigint"))
         return frame.join(state.select(*key, F.col("revision").alias("stored")), key, "left")
 
-    few = with_stored(commands.join(hot, key, "left_anti").groupBy(*key).agg(in_order))
-    few = few.select(*key, _count_run(F.col("stored"), F.col("run")).alias("c"))
-
-    many = commands.join(hot, key, "left_semi")
     chunk = F.shiftright("pos", bits).alias("chunk")
-    chunks = command_summaries(many).groupBy(*key, chunk).agg(_fold().alias("v"))
-    before = with_stored(exclusive_carry(chunks, key, _then, _nothing(), SUMMARY))
+    chunks = command_summaries(commands).groupBy(*key, chunk).agg(_fold().alias("v"))
+    top = (commands.agg(F.max("seq")).first()[0] or 0) >> bits
+    fan_bits = (CARRY_BITS,) * (max(0, top.bit_length() - 1) // CARRY_BITS)
+    before = with_stored(exclusive_carry(chunks, key, _then, _nothing(), SUMMARY, fan_bits))
     untouched = F.col("carry").isNull() | (F.col("stored") > F.col("carry.threshold"))
     met = F.when(untouched, F.col("stored")).otherwise(F.col("carry.out_rev")).alias("met")
-    chunked = many.groupBy(*key, F.shiftright("seq", bits).alias("chunk")).agg(in_order)
+    chunked = commands.groupBy(*key, F.shiftright("seq", bits).alias("chunk")).agg(in_order)
     walked = chunked.join(before.select(*key, "chunk", met), [*key, "chunk"])
     walked = walked.select(*key, _count_run(F.col("met"), F.col("run")).alias("c"))
-    summed = walked.groupBy(*key).agg(*[F.sum(f"c.{n}").alias(n) for n in OUTCOMES])
-    return few.select(*key, *[F.col(f"c.{n}").alias(n) for n in OUTCOMES]).unionByName(summed)
+    return walked.groupBy(*key).agg(*[F.sum(f"c.{n}").alias(n) for n in OUTCOMES])

@@ -82,6 +82,25 @@ cmd AS (
     row_number() OVER (PARTITION BY entity_type, entity_num ORDER BY seq) AS rn
   FROM res)"""
 
+# The same where every 97th record has no readable position.
+DAMAGED_CHANGES = CHANGES.replace("WHERE value <= 300", "WHERE event_id % 97 <> 0 AND value <= 300")
+
+CUSTOMER_BODIES = """
+SELECT 'Item' AS entity_type, c_custkey AS entity_num, CAST(10 AS BIGINT) AS rev,
+  '{"id":"Q' || c_custkey || '","lastrevid":10,"label":"' || c_name || '"}' AS body FROM customer"""
+
+# Every other customer, else the content's highest revision.
+FIRST_LOAD = f"""
+spine AS (SELECT unnest(range(1, max(user_id) + 101)) AS entity_num FROM ev WHERE entity_type = 'Item'),
+best AS (
+  SELECT entity_num, max((revision, '{{"id":"Q' || entity_num || '","lastrevid":' || revision || ',"label":"' || label || '"}}')) AS b
+  FROM con WHERE entity_type = 'Item' GROUP BY 1),
+dumped AS (SELECT * FROM ({CUSTOMER_BODIES}) WHERE entity_num % 2 = 0),
+stored AS (
+  SELECT 'Item' AS entity_type, spine.entity_num, coalesce(d.rev, b[1]) AS rev, coalesce(d.body, b[2]) AS body
+  FROM spine LEFT JOIN dumped d ON d.entity_num = spine.entity_num LEFT JOIN best ON best.entity_num = spine.entity_num
+  WHERE d.rev IS NOT NULL OR b IS NOT NULL)"""
+
 POSITION = """
 pos AS (
   SELECT *, '{"topic":"east.changes","partition":0,"timestamp":' AS timed,
@@ -360,6 +379,29 @@ ORACLES: dict[str, str] = {
           FROM events),
         {FOLD}
         SELECT entity_num, rev AS revision, body AS data FROM ended""",
+    "store_versions": f"""WITH RECURSIVE
+        stored AS ({CUSTOMER_BODIES}),
+        half AS (SELECT min(event_id) + (max(event_id) - min(event_id)) // 2 + 1 AS at FROM events),
+        cmd AS (
+          SELECT 'Item' AS entity_type, user_id AS entity_num, event_id AS seq, CAST(json_extract_string(props, '$.k') AS BIGINT) AS rev,
+            CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op, CAST(event_id AS VARCHAR) AS body,
+            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+          FROM events, half WHERE event_id < half.at),
+        {FOLD}
+        SELECT entity_num, rev AS revision, body AS data FROM ended""",
+    "store_progress_of_streams": f"""WITH {EVENT}, {DAMAGED_CHANGES}
+        SELECT ty AS entity_type, ty = 'Item' AS initialized, (SELECT max(event_ts_ms) FROM ch) AS last_event_ts_ms, 'feed' AS stream_id
+        FROM (VALUES ('Item'), ('Property'), ('Lexeme')) t(ty)""",
+    "job_first_load": f"""WITH {EVENT}, {CONTENT}, {FIRST_LOAD}
+        SELECT entity_num, rev AS revision, body AS data FROM stored""",
+    "job_follow": f"""WITH RECURSIVE {EVENT}, {DAMAGED_CHANGES}, {CONTENT}, {RESOLVED}, {RESOLVED_COMMANDS}, {FIRST_LOAD}, {FOLD}
+        SELECT entity_type, entity_num, rev AS revision, body AS data FROM ended""",
+    "job_follow_quarantine": f"""WITH {EVENT}
+        SELECT 'feed' AS source, CASE WHEN value > 300 THEN 'bad_payload' WHEN event_id % 97 = 0 THEN 'bad_position'
+            WHEN value < 0.5 THEN 'unknown_kind' ELSE 'bad_title' END AS reason, count(*) AS records
+        FROM ev
+        WHERE value > 300 OR (event_type <> 'click' AND (event_id % 97 = 0 OR value < 0.5 OR (kind <> 'log' AND k = 13)))
+        GROUP BY ALL""",
     "stream_merge": f"""WITH RECURSIVE {EVENT}, {CHANGES}, {CONTENT}, {RESOLVED}, {RESOLVED_COMMANDS},
         stored AS (
           SELECT 'Item' AS entity_type, c_custkey AS entity_num, CAST(10 AS BIGINT) AS rev,
@@ -370,11 +412,9 @@ ORACLES: dict[str, str] = {
         SELECT event_id AS seq, ms AS event_ts_ms, entity_type, props AS data FROM ev""",
     "stream_rate": f"""WITH {EVENT}, {TYPED_FEED}
         SELECT event_ts_ms // 86400000 * 86400000 AS period_start_ms, entity_type, count(*) AS events,
-          CAST(sum(sz) AS BIGINT) AS bytes, count(*) / 86400.0::DOUBLE AS events_per_sec FROM tf
-        WHERE event_ts_ms // 86400000 * 86400000 + 86400000 <= (SELECT max(ms) - 3600000 FROM ev) GROUP BY 1, 2""",
+          CAST(sum(sz) AS BIGINT) AS bytes, count(*) / 86400.0::DOUBLE AS events_per_sec FROM tf GROUP BY 1, 2""",
     "stream_lag": f"""WITH {EVENT}
         SELECT ms // 3600000 * 3600000 AS period_start_ms, count(*) AS events,
           min(CAST(round(value * 1000) AS BIGINT)) AS min_lag_ms, max(CAST(round(value * 1000) AS BIGINT)) AS max_lag_ms
-        FROM ev
-        WHERE ms // 3600000 * 3600000 + 3600000 <= (SELECT max(ms) - 3600000 FROM ev) GROUP BY 1""",
+        FROM ev GROUP BY 1""",
 }

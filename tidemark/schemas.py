@@ -39,9 +39,9 @@ MANIFEST_SCHEMA = (
     "last_num BIGINT, path STRING"
 )
 PROGRESS_SCHEMA = (
-    f"entity_type STRING, last_event_id {POSITION_SCHEMA}, last_event_ts_ms BIGINT, "
-    "initialized BOOLEAN, stream_id STRING, batch_id BIGINT"
+    f"entity_type STRING, last_event_id {POSITION_SCHEMA}, last_event_ts_ms BIGINT, initialized BOOLEAN"
 )
+STREAMS_SCHEMA = "stream_id STRING, batch_id BIGINT"
 
 
 def entity_type(name: str) -> EntityType:

@@ -46,6 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[context.applicationId]
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables, below the shared folder."""
+    return os.path.join(shared_dir(spark), f"tidemark-{spark.sparkContext.applicationId}")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; for the end of a job, when no result is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

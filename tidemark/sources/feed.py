@@ -39,9 +39,23 @@ def read_feed_stream(
 
 
 def feed_from(feed: DataFrame, start_ts_ms: int, rewind_ms: int = 0) -> DataFrame:
-    """Records at or after a start position, moved back by ``rewind_ms``."""
+    """Records at or after a start position, moved back by ``rewind_ms``.
+
+    Records whose position cannot be read stay, so that they reach quarantine.
+    """
     ts = position_ts_ms(decode_position(F.col("event_id_json")))
-    return feed.where(ts >= start_ts_ms - rewind_ms)
+    return feed.where(ts.isNull() | (ts >= start_ts_ms - rewind_ms))
+
+
+def sequenced(landed: DataFrame, landing: Sequence[str], above: int = -1) -> DataFrame:
+    """Landed records (event_id_json, data, landing columns) with the dense ``seq`` that feeds need.
+
+    Records are numbered by position, then by landing order, from ``above`` + 1 on; give the highest seq so
+    far and numbers go on from batch to batch. Records without a readable position come first.
+    """
+    ts = F.coalesce(position_ts_ms(decode_position(F.col("event_id_json"))), F.lit(-1).cast("bigint"))
+    numbered = number_rows(landed.withColumn("_ts", ts), "_ts", list(landing), out="seq")
+    return numbered.select((F.col("seq") + above + 1).alias("seq"), "event_id_json", "data")
 
 
 def decode_feed(feed: DataFrame, wiki: str, types: Sequence[str] = ALL_TYPES) -> DataFrame:

@@ -1,12 +1,15 @@
 """The stored entities: volumes in Parquet, and a manifest per published version.
 
     data/v=<version>-<attempt>/entity_type=<t>/volume_id=<n>/*.parquet
-    progress/version=<version>/   one row per entity type
-    manifest/version=<version>/   one row per volume; its single file is the commit
+    meta/<attempt>/manifest/   one row per volume
+    meta/<attempt>/progress/   one row per entity type
+    meta/<attempt>/streams/    one row per stream: its last applied batch
+    commits/<version>          a small file that names the attempt; creating it publishes the version
 
 A version rewrites only the volumes it touches, into a folder of its own; the manifest of the version
-names the folder of every volume. Nothing that a reader may be reading is ever overwritten, and an
-attempt that dies before its manifest leaves the previous version in place. One writer at a time.
+names the folder of every volume. Nothing that a reader may be reading is ever overwritten. The commit file
+is created only if it does not exist, so of two writers of one version the second fails and changes nothing,
+and an attempt that dies before it leaves the previous version in place.
 
 The driver handles the manifest alone: one row per volume, 250 MiB of bodies each by default.
 """
@@ -24,10 +27,7 @@ from tidemark.operators.merge import merge
 from tidemark.operators.volumes import MAX_VOLUME_BYTES, cut_volumes, raw_size, route
 from tidemark.plans.local import local_table
 from tidemark.plans.stored import BROADCAST_ROWS
-from tidemark.schemas import MANIFEST_SCHEMA, PROGRESS_SCHEMA, STORED_SCHEMA
-
-# Upper end of the tasks that write one overgrown volume.
-MAX_PIECES = 10_000
+from tidemark.schemas import MANIFEST_SCHEMA, PROGRESS_SCHEMA, STORED_SCHEMA, STREAMS_SCHEMA
 
 BODY = ("entity_type", "entity_num", "revision", "data")
 VOLUME_KEY = ("entity_type", "volume_id")
@@ -62,9 +62,8 @@ class EntityStore:
 
     def versions(self) -> list[int]:
         """Published versions, oldest first."""
-        found = self._filesystem().globStatus(self._path("manifest/version=*/*.parquet"))
-        names = [status.getPath().getParent().getName() for status in (found or [])]
-        return sorted({int(name.split("=")[1]) for name in names})
+        found = self._filesystem().globStatus(self._path("commits/[0-9]*"))
+        return sorted(int(status.getPath().getName()) for status in (found or []))
 
     def latest(self) -> int | None:
         versions = self.versions()
@@ -75,14 +74,25 @@ class EntityStore:
         return self._metadata("manifest", MANIFEST_SCHEMA, version)
 
     def progress(self, version: int | None = None) -> DataFrame:
-        """One row per entity type: last position, whether the first load is complete, last batch."""
+        """One row per entity type: last position, and whether its first load is complete."""
         return self._metadata("progress", PROGRESS_SCHEMA, version)
 
+    def streams(self, version: int | None = None) -> DataFrame:
+        """The last applied batch of every stream."""
+        return self._metadata("streams", STREAMS_SCHEMA, version)
+
+    def _attempt(self, version: int) -> str:
+        opened = self._filesystem().open(self._path(f"commits/{version}"))
+        try:
+            return opened.readUTF()
+        finally:
+            opened.close()
+
     def _metadata(self, kind: str, schema: str, version: int | None) -> DataFrame:
         version = self.latest() if version is None else version
         if version is None:
             return local_table(self.spark, [], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/version={version}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/meta/{self._attempt(version)}/{kind}")
 
     def _volumes(self, version: int | None = None) -> list[Volume]:
         return [Volume(*row) for row in self.manifest(version).collect()]
@@ -98,15 +108,16 @@ class EntityStore:
             return 0
 
         def folders(of: Sequence[int]) -> DataFrame:
-            paths = [f"{self.root}/manifest/version={v}" for v in of]
+            paths = [f"{self.root}/meta/{self._attempt(v)}/manifest" for v in of]
             read = self.spark.read.schema(MANIFEST_SCHEMA).parquet(*paths)
             return read.where(F.col("path").isNotNull()).select("path").distinct()
 
         unused = [row.path for row in folders(old).join(folders(kept), "path", "left_anti").collect()]
         fs = self._filesystem()
         for version in old:
-            fs.delete(self._path(f"manifest/version={version}"), True)
-            fs.delete(self._path(f"progress/version={version}"), True)
+            attempt = self._attempt(version)
+            fs.delete(self._path(f"commits/{version}"), True)
+            fs.delete(self._path(f"meta/{attempt}"), True)
         for path in unused:
             fs.delete(self._path(f"data/{path}"), True)
         return len(unused)
@@ -146,10 +157,16 @@ class EntityStore:
         schema = f"{STORED_SCHEMA}, volume_id INT"
         if not folders:
             return local_table(self.spark, [], schema)
+        # Few paths, one per version that still holds volumes; its unwanted volumes are pruned as partitions.
         data = f"{self.root}/data"
-        reader = self.spark.read.schema(schema).option("basePath", data)
+        reader = self.spark.read.schema(f"{schema}, v STRING").option("basePath", data)
         columns = [field.split()[0] for field in schema.split(", ")]
-        return reader.parquet(*[f"{data}/{folder}" for folder in folders]).select(*columns)
+        rows = reader.parquet(*sorted({f"{data}/{folder.split('/')[0]}" for folder in folders}))
+        volumes = [folder for folder in folders if "/" in folder]
+        if volumes:
+            own = F.concat(F.lit("v="), "v", F.lit("/entity_type="), "entity_type", F.lit("/volume_id="), F.col("volume_id").cast("string"))
+            rows = rows.where(own.isin(volumes))
+        return rows.select(*columns)
 
     # --- writing --------------------------------------------------------------------------------
 
@@ -163,7 +180,7 @@ class EntityStore:
         folder = f"v={version}-{uuid.uuid4().hex}"
         pieces, layout = 0, []
         for key, size in expected.items():
-            count = min(max(1, -(-size // max(self.max_volume_bytes, 1))), MAX_PIECES)
+            count = max(1, -(-size // max(self.max_volume_bytes, 1)))
             layout.append((*key, pieces, count))
             pieces += count
         table = local_table(
@@ -210,24 +227,38 @@ class EntityStore:
             for row in cut.collect()
         ]
 
-    def _publish(self, version: int, volumes: Sequence[Volume], progress: DataFrame) -> None:
-        progress.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/progress/version={version}")
+    def _publish(self, version: int, volumes: Sequence[Volume], progress: DataFrame, streams: DataFrame) -> None:
+        """Write the metadata aside, then create the commit file; fails if the version exists by then."""
+        attempt = f"{version}-{uuid.uuid4().hex}"
         ordered = sorted(volumes, key=lambda v: (v.entity_type, v.volume_id))
-        self._table(ordered).coalesce(1).write.mode("overwrite").parquet(
-            f"{self.root}/manifest/version={version}"
-        )
+        for kind, rows in (("progress", progress), ("streams", streams), ("manifest", self._table(ordered))):
+            rows.coalesce(1).write.parquet(f"{self.root}/meta/{attempt}/{kind}")
+        marker = self._filesystem().create(self._path(f"commits/{version}"), False)
+        marker.writeUTF(attempt)
+        marker.close()
 
     def _progress(
-        self, positions: DataFrame | None, volumes: Sequence[Volume], stream_id: str, batch_id: int
+        self, positions: DataFrame | None, volumes: Sequence[Volume], loaded: set[str] = frozenset()
     ) -> DataFrame:
-        """Progress per type: the position of this version, or the stored one if it brings none."""
-        at = {row.entity_type: (row.last_event_id, row.last_event_ts_ms) for row in self.progress().collect()}
+        """Progress per type: the position of this version, or the stored one if it brings none.
+
+        A type counts as initialized from the load of it on; changes alone do not make it so.
+        """
+        known = {row.entity_type: row for row in self.progress().collect()}
+        at = {ty: (row.last_event_id, row.last_event_ts_ms) for ty, row in known.items()}
         if positions is not None:
             for row in positions.select("entity_type", "last_event_id", "last_event_ts_ms").collect():
                 at[row.entity_type] = (row.last_event_id, row.last_event_ts_ms)
-        types = sorted({v.entity_type for v in volumes} | set(at))
-        rows = [(ty, *at.get(ty, (None, None)), True, stream_id, batch_id) for ty in types]
-        return local_table(self.spark, rows, PROGRESS_SCHEMA)
+        types = sorted({v.entity_type for v in volumes} | set(at) | set(loaded))
+        done = set(loaded) | {ty for ty, row in known.items() if row.initialized}
+        return local_table(self.spark, [(ty, *at.get(ty, (None, None)), ty in done) for ty in types], PROGRESS_SCHEMA)
+
+    def _streams(self, stream_id: str | None = None, batch_id: int | None = None) -> DataFrame:
+        """The last batch of every stream, carried on, with this one's."""
+        last = {row.stream_id: row.batch_id for row in self.streams().collect()}
+        if batch_id is not None:
+            last[stream_id] = batch_id
+        return local_table(self.spark, sorted(last.items()), STREAMS_SCHEMA)
 
     def load(self, entities: DataFrame, positions: DataFrame | None = None) -> int:
         """First load: cut the entities into volumes and publish them as a new version.
@@ -241,23 +272,25 @@ class EntityStore:
         version = 0 if latest is None else latest + 1
         staged_at = f"staging/{uuid.uuid4().hex}"
         sized = entities.select(*BODY, raw_size(F.col("data")).alias("raw_bytes"))
-        sized.write.parquet(f"{self.root}/{staged_at}")
-        staged = self.spark.read.schema(STORED_SCHEMA).parquet(f"{self.root}/{staged_at}")
-        volumes = self._cut(staged)
-        expected = {(v.entity_type, v.volume_id): v.raw_bytes for v in volumes}
-        written = self._write_data(staged, volumes, expected, version)
-        loaded = {v.entity_type for v in volumes}
-        current = [v for v in self._volumes(latest) if v.entity_type not in loaded]
-        current += [v._replace(path=written[v.entity_type, v.volume_id][3]) for v in volumes]
-        self._publish(version, current, self._progress(positions, current, "load", -1))
-        self._filesystem().delete(self._path(staged_at), True)
+        try:
+            sized.write.parquet(f"{self.root}/{staged_at}")
+            staged = self.spark.read.schema(STORED_SCHEMA).parquet(f"{self.root}/{staged_at}")
+            volumes = self._cut(staged)
+            expected = {(v.entity_type, v.volume_id): v.raw_bytes for v in volumes}
+            written = self._write_data(staged, volumes, expected, version)
+            loaded = {v.entity_type for v in volumes}
+            current = [v for v in self._volumes(latest) if v.entity_type not in loaded]
+            current += [v._replace(path=written[v.entity_type, v.volume_id][3]) for v in volumes]
+            if positions is not None:  # also a type that has nothing to load is then loaded
+                loaded |= {row.entity_type for row in positions.select("entity_type").collect()}
+            self._publish(version, current, self._progress(positions, current, loaded), self._streams())
+        finally:
+            self._filesystem().delete(self._path(staged_at), True)
         return version
 
     def applied(self, stream_id: str, batch_id: int) -> bool:
         """Whether this batch of this stream is already published."""
-        return any(
-            row.stream_id == stream_id and batch_id <= row.batch_id for row in self.progress().collect()
-        )
+        return any(row.stream_id == stream_id and batch_id <= row.batch_id for row in self.streams().collect())
 
     def apply(
         self,
@@ -269,8 +302,8 @@ class EntityStore:
     ) -> int | None:
         """Merge commands into the touched volumes and publish a new version.
 
-        Returns None, and changes nothing, when the batch is already published. ``commands`` is read
-        several times and should be a stored table.
+        Returns None, and changes nothing, when the batch is already published or has no commands.
+        ``commands`` is read several times and should be a stored table.
         """
         if batch_id is not None and self.applied(stream_id, batch_id):
             return None
@@ -285,6 +318,8 @@ class EntityStore:
                 volume_id = 0
                 volumes.append(Volume(ty, volume_id, 1, None, 0, 0, None, None))
             touched[ty, volume_id] = size
+        if not touched:
+            return None
         rewritten = [v for v in volumes if (v.entity_type, v.volume_id) in touched]
         state = self._read_volumes(rewritten).select(*BODY)
         scratch = f"staging/{uuid.uuid4().hex}"
@@ -292,19 +327,23 @@ class EntityStore:
         expected = {
             (v.entity_type, v.volume_id): v.raw_bytes + touched[v.entity_type, v.volume_id] for v in rewritten
         }
-        written = self._write_data(merged, volumes, expected, version)
+        try:
+            written = self._write_data(merged, volumes, expected, version)
+        finally:
+            self._filesystem().delete(self._path(scratch), True)
 
         current = [v for v in volumes if (v.entity_type, v.volume_id) not in touched]
         for v in rewritten:
             rows, size, last, path = written.get((v.entity_type, v.volume_id), (0, 0, None, None))
             v = v._replace(rows=rows, raw_bytes=size, last_num=last or v.last_num, path=path)
             current.extend(self._closed_if_full(v, version))
-        self._publish(
-            version, current, self._progress(positions, current, stream_id, -1 if batch_id is None else batch_id)
-        )
-        self._filesystem().delete(self._path(scratch), True)
+        self._publish(version, current, self._progress(positions, current), self._streams(stream_id, batch_id))
         return version
 
+    def forget(self, folder: str) -> None:
+        """Delete a folder below the store that nothing reads any more."""
+        self._filesystem().delete(self._path(folder), True)
+
     def _closed_if_full(self, volume: Volume, version: int) -> list[Volume]:
         """The volume, or the volumes an open one is cut into once it outgrew the budget.
 

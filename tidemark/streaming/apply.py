@@ -10,8 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.position import START_REWIND_MS
 from tidemark.operators.metrics import last_position
-from tidemark.operators.resolve import resolve
-from tidemark.schemas import KEY
+from tidemark.operators.resolve import asked_by, one_per_request, resolve
+from tidemark.plans.local import local_table
+from tidemark.schemas import POSITION_SCHEMA
+from tidemark.sources.content import extract_content
 from tidemark.sources.feed import ALL_TYPES, decode_feed, feed_from
 from tidemark.sources.quarantine import accepted, rejected, write_quarantine
 from tidemark.sources.store import EntityStore
@@ -28,23 +30,42 @@ def apply_batch(
 ) -> int | None:
     """Apply one batch of feed records; a batch that is already published is skipped.
 
-    Changes and commands are written below the store first: the following steps read them several
-    times, and a lost executor then costs no second decode or join.
+    A record delivered more than once counts once. ``content`` is the landed table (with ``body``) or a parsed
+    one; the rows the batch asks for are picked first, and only they are parsed. Every followed type moves
+    on to the batch's last position, also one that had no change. Changes and commands are written below the
+    store first: the following steps read them several times, and a lost executor then costs no second decode
+    or join. They go once the batch is published; rejected rows stay.
     """
     if store.applied(stream_id, batch_id):
         return None
     spark = store.spark
     at = f"{store.root}/batches/{stream_id}/{batch_id}"
-    decode_feed(feed, wiki, types).write.mode("overwrite").parquet(f"{at}/changes")
+    once = decode_feed(feed, wiki, types).dropDuplicates(["seq"])
+    once.write.mode("overwrite").parquet(f"{at}/changes")
     decoded = spark.read.parquet(f"{at}/changes")
     changes = accepted(decoded)
-    # The batch is small next to the content: only the content it asks for reaches the join.
-    asked = changes.select(*KEY, F.col("revision").alias("requested_revision")).distinct()
-    wanted = content.join(asked, [*KEY, "requested_revision"], "left_semi")
-    resolve(changes, wanted).write.mode("overwrite").parquet(f"{at}/commands")
+    wanted = asked_by(changes, content)
+    if "body" in content.columns:
+        wanted = accepted(extract_content(wanted))
+    resolve(changes, one_per_request(wanted)).write.mode("overwrite").parquet(f"{at}/commands")
     commands = spark.read.parquet(f"{at}/commands")
     write_quarantine(rejected(decoded, "feed"), f"{at}/quarantine")
-    return store.apply(commands, last_position(changes), stream_id, batch_id)
+    version = store.apply(commands, batch_position(store, changes, types), stream_id, batch_id)
+    for used in ("changes", "commands"):
+        store.forget(f"batches/{stream_id}/{batch_id}/{used}")
+    return version
+
+
+def batch_position(store: EntityStore, changes: DataFrame, types: Sequence[str]) -> DataFrame:
+    """The batch's last position for every followed type, unless the stored one is later."""
+    last = last_position(changes.withColumn("entity_type", F.lit("any"))).first()
+    stored = {row.entity_type: row for row in store.progress().collect()}
+    rows = []
+    for ty in types:
+        held = stored.get(ty)
+        if last is not None and (held is None or held.last_event_ts_ms is None or held.last_event_ts_ms < last.last_event_ts_ms):
+            rows.append((ty, last.last_event_id, last.last_event_ts_ms))
+    return local_table(store.spark, rows, f"entity_type STRING, last_event_id {POSITION_SCHEMA}, last_event_ts_ms BIGINT")
 
 
 def run_stream(
@@ -76,12 +97,16 @@ def run_stream(
     )
 
 
-def resume_feed(store: EntityStore, feed: DataFrame, rewind_ms: int = START_REWIND_MS) -> DataFrame:
+def resume_feed(
+    store: EntityStore, feed: DataFrame, rewind_ms: int = START_REWIND_MS, types: Sequence[str] = ALL_TYPES
+) -> DataFrame:
     """The part of a feed a job that starts now still needs: from the stored position, minus an overlap.
 
+    The earliest position of the followed types counts.
+
     Records of the overlap were applied before. The revision rule skips the ones that are older than the
     stored entity; a deleted entity keeps no revision, so an overlap can bring one back until its delete
     is replayed as well.
     """
-    at = store.progress().agg(F.min("last_event_ts_ms")).first()[0]
+    at = store.progress().where(F.col("entity_type").isin(list(types))).agg(F.min("last_event_ts_ms")).first()[0]
     return feed if at is None else feed_from(feed, at, rewind_ms)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.metrics import feed_rate
 
@@ -12,6 +15,33 @@ def _timed(feed: DataFrame, delay: str) -> DataFrame:
     return feed.withColumn("ts", F.timestamp_millis("event_ts_ms")).withWatermark("ts", delay)
 
 
+def write_windows(windows: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Write the windows that a batch changed below ``out``, one folder a batch; a repeated batch replaces its own.
+
+    Windows that are still open are written as they stand, so nothing is missing at the end.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        windows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "2 seconds"})).start()
+    )
+
+
+def read_windows(spark: SparkSession, out: str, key: Sequence[str]) -> DataFrame:
+    """The windows as they stand: of each the row of the latest batch."""
+    rows = spark.read.parquet(out)
+    columns = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*columns), "batch").alias("row")).select("row.*")
+
+
+def late_records(query: StreamingQuery) -> int:
+    """Records that came more than the delay late and are in no window, over the progress the query reports."""
+    return sum(int(s.numRowsDroppedByWatermark) for p in query.recentProgress for s in p.stateOperators)
+
+
 def drop_replayed(feed: DataFrame, uid: str = "seq", delay: str = "1 hour") -> DataFrame:
     """Drop records already seen within ``delay`` (a reconnect delivers some records twice)."""
     return _timed(feed, delay).dropDuplicatesWithinWatermark([uid]).drop("ts")

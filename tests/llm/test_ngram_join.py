@@ -88,6 +88,7 @@ def test_components_against_brute_force(spark, monkeypatch, small):
         monkeypatch.setattr(j, "FLUSH", 20_000)
         monkeypatch.setattr(j, "BUCKET_ENTRIES", 10_000)
         monkeypatch.setattr(j, "HOT", 2)
+        monkeypatch.setattr(j, "BLOCK_NODES", 7)
     rows = hard_rows()
     docs = spark.createDataFrame([(i, t, "c", 0.5) for i, t in rows], "doc_id long, text string, node string, label double")
     got = j.joined_components(docs.repartition(5)).collect()

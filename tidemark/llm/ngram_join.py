@@ -17,11 +17,11 @@ sets. Of what one flush of a map task has for one signature, all but ``HOT`` ent
 they are known to repeat, so no group of near copies meets in one task. Exact copies share a fingerprint, are
 one node and never form pairs.
 
-**Pairs.** Only components matter, so a bucket whose sets have one label is done. Each round takes a few
-pivots from every other bucket (twice as many as in the round before), pairs them with the sets of other
-labels, drops pairs whose parity sketches prove too many differences, checks the rest on their whole texts, and
-joins the labels. A pivot has then met its whole bucket and leaves it. Rounds end when no bucket is left.
-No cap drops a set or a pair.
+**Pairs.** Only components matter. In the first round a bucket compares its sets' parity sketches, which
+bound their difference from below, and gives just the likely pairs that join what is not joined yet, fewer
+than it has sets; these are checked on their whole texts and join labels. Later rounds look at buckets that
+still hold different labels and check all their likely, untested pairs, until there are none. Buckets of over
+``BLOCK_NODES`` sets are compared block by block. No cap drops a set or a pair.
 
 Null texts and texts without words have empty sets, linked with nothing; such rows, like all others, keep
 one result row each. Rows that repeat a doc_id with its text are copies; a doc_id should name one text. Only
@@ -37,7 +37,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.common import map_rows, per_process, slices
 from tidemark.plans.stored import stored
@@ -47,6 +46,7 @@ NUMERATOR = 80
 FLUSH = 1 << 20
 BUCKET_ENTRIES = 500_000
 HOT = 8
+BLOCK_NODES = 1024
 REMEMBERED = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -101,15 +101,18 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def folded(cells: bytes, size: int) -> bytes:
+    """A sketch with fewer cells: neighbouring ones fold together."""
+    while len(cells) > size:
+        bits = np.unpackbits(np.frombuffer(cells, np.uint8)).reshape(-1, 2)
+        cells = np.packbits(bits[:, 0] ^ bits[:, 1]).tobytes()
+    return cells
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the symmetric difference, from sketches."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) != len(y):  # neighbouring cells of the finer one fold together
-        if len(x) < len(y):
-            x, y = y, x
-        bits = np.unpackbits(x).reshape(-1, 2)
-        x = np.packbits(bits[:, 0] ^ bits[:, 1])
-    return int(np.bitwise_count(x ^ y).sum())
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(np.frombuffer(folded(a, size), np.uint8) ^ np.frombuffer(folded(b, size), np.uint8)).sum())
 
 
 def most_difference(a: int, b: int) -> int:
@@ -253,7 +256,7 @@ def repeated_signatures(docs: DataFrame, total_shingles: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, fp, fp48, sketch) of every row."""
+    """(doc_id, n_shingles, fp, fp48) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(rows):
@@ -261,10 +264,10 @@ def sets_of(docs: DataFrame) -> DataFrame:
         prints = [fingerprint(s) for s in sets]
         return {
             "doc_id": rows["doc_id"], "n_shingles": [len(s) for s in sets], "fp": prints,
-            "fp48": [int.from_bytes(p[:6], "little") for p in prints], "sketch": [sketch(s) for s in sets],
+            "fp48": [int.from_bytes(p[:6], "little") for p in prints],
         }
 
-    return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, n_shingles bigint, fp binary, fp48 bigint, sketch binary", run)
+    return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, n_shingles bigint, fp binary, fp48 bigint", run)
 
 
 def components(edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -290,19 +293,78 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     return labels
 
 
-def linked_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes those that link: sketches first, then whole texts."""
+def likely_pairs(members: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of one bucket, with different labels, whose sketches allow a link.
+
+    ``members`` has (sig, n, node, label, n_shingles, sketch), n being the bucket's size. Of a bucket with more
+    than ``BLOCK_NODES`` nodes, every two blocks are compared in a group of their own. With ``forest`` a group gives
+    only pairs that join what its pairs so far have not joined, fewer than it has nodes, and blocks meet
+    themselves and the first block alone, which is linear in the bucket. Nothing is emitted for pairs that the
+    sketches rule out.
+    """
+    kind = members.schema["node"].dataType.simpleString()
+    blocks = F.ceil(F.col("n") / BLOCK_NODES).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    others = F.when(F.col("block") == 0, every).otherwise(F.array(F.lit(0), "block")) if forest else every
+    rows = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(others))
+    rows = rows.select(
+        F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")).alias("group"),
+        F.signum(F.col("block") - F.col("other")).cast("int").alias("side"), "node", "label", "n_shingles", "sketch",
+    )
+    # Small buckets share a call.
+    calls = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    rows = rows.repartition(int(calls), "group").sortWithinPartitions("group", "node")
+
+    def run(batches):
+        schema = pa.schema([("a", out_type), ("b", out_type)])
+        held = None
+        for batch in slices(batches, 4096):
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            group = table.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist()]
+            held = table.slice(cuts[-1])  # the last group may go on
+            yield found(table.slice(0, cuts[-1]), cuts, schema)
+        if held is not None:
+            yield found(held, [0, held.num_rows], schema)
+
+    def found(table, cuts, schema):
+        nodes, side, labels, sizes = (table.column(i).to_numpy() for i in (2, 1, 3, 4))
+        sketches, pairs = table.column(5).to_pylist(), []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            pairs += [(nodes[lo + i], nodes[lo + k]) for i, k in within(labels[lo:hi], side[lo:hi], sizes[lo:hi], sketches[lo:hi], forest)]
+        columns = [pa.array([min(p) if c == "a" else max(p) for p in pairs], out_type) for c in "ab"]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    out_type = pa.int64() if kind == "bigint" else pa.int32()
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def within(labels: np.ndarray, side: np.ndarray, sizes: np.ndarray, sketches: list[bytes], forest: bool) -> list[tuple[int, int]]:
+    """Positions of the likely pairs of one group."""
+    if len(labels) < 2 or (labels == labels[0]).all():
+        return []
+    cells = np.stack([np.frombuffer(folded(s, min(map(len, sketches))), np.uint64) for s in sketches])
+    label, out = labels.copy(), []
+    for i in range(len(label) - 1):
+        rest = np.flatnonzero((label[i + 1 :] != label[i]) & (side[i + 1 :] == -side[i])) + i + 1
+        rest = rest[100 * np.minimum(sizes[rest], sizes[i]) >= NUMERATOR * np.maximum(sizes[rest], sizes[i])]
+        if not len(rest):
+            continue
+        least = np.bitwise_count(cells[rest] ^ cells[i]).sum(1, dtype=np.int64)
+        rest = rest[least <= most_difference(sizes[rest], sizes[i])]
+        if forest and len(rest):
+            new, at = np.unique(label[rest], return_index=True)
+            rest = rest[at]
+            label[np.isin(label, new)] = label[i]
+        out += [(i, int(k)) for k in rest]
+    return out
+
+
+def linked_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of nodes those that link, by their whole texts."""
     kind = pairs.schema["a"].dataType.simpleString()
-    size = [nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
     text = [texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab"]
 
-    def likely(rows):
-        ok = [
-            least_difference(x, y) <= most_difference(m, n)
-            for m, n, x, y in zip(rows["na"], rows["nb"], rows["sa"], rows["sb"], strict=True)
-        ]
-        return {c: [v for v, keep in zip(rows[c], ok, strict=True) if keep] for c in "ab"}
-
     def sure(rows):
         ok = []
         for x, y in zip(rows["ta"], rows["tb"], strict=True):
@@ -311,20 +373,13 @@ def linked_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFr
             ok.append(100 * both >= NUMERATOR * (len(x) + len(y) - both))
         return {c: [v for v, keep in zip(rows[c], ok, strict=True) if keep] for c in "ab"}
 
-    near = pairs.join(size[0], "a").join(size[1], "b").where(
-        (100 * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb"))
-    )
-    near = map_rows(near, ["a", "b", "na", "nb", "sa", "sb"], f"a {kind}, b {kind}", likely)
-    return map_rows(near.join(text[0], "a").join(text[1], "b"), ["a", "b", "ta", "tb"], f"a {kind}, b {kind}", sure)
+    return map_rows(pairs.join(text[0], "a").join(text[1], "b"), ["a", "b", "ta", "tb"], f"a {kind}, b {kind}", sure)
 
 
 def _links(docs: DataFrame, sets: DataFrame, total: int) -> DataFrame | None:
     """Links (a, b) between nodes whose components are those of all links; None if there is none."""
-    nodes = stored(
-        sets.where("n_shingles > 0").groupBy("fp").agg(
-            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("fp48").alias("fp48"), F.first("sketch").alias("sketch")
-        ), "nodes",
-    )
+    nodes = sets.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("fp48").alias("fp48"))
+    nodes = stored(nodes, "nodes")
     found = stored(repeated_signatures(docs, total), "repeated")
     members = found.join(nodes.select("fp48", "node"), "fp48").select("sig", "node").distinct()
     members = stored(members, "members")
@@ -332,39 +387,41 @@ def _links(docs: DataFrame, sets: DataFrame, total: int) -> DataFrame | None:
     kinds = members.groupBy("sig").agg(
         F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (1, 2))
     )
-    chosen = kinds.where("n > 1").groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
+    chosen = kinds.where("n > 1").groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig", "n")
     left = stored(members.join(chosen, "sig"), "buckets")
     if left.isEmpty():
         return None
-    own = left.select("node").distinct()
-    nodes = stored(nodes.join(own, "node"), "candidates")
     # One text per node; rows that repeat a doc_id with another text are told apart by their fingerprint.
-    text = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id")
+    own = nodes.join(left.select("node").distinct(), "node").select("node", "fp")
+    text = docs.select("doc_id", "text").join(own.select(F.col("node").alias("doc_id")), "doc_id")
     kind = text.schema["doc_id"].dataType.simpleString()
 
-    def marked(rows):
-        return {"node": rows["doc_id"], "fp": [fingerprint(hashed(t)) for t in rows["text"]], "text": rows["text"]}
+    def described(rows):
+        found = [hashed(t) for t in rows["text"]]
+        return {
+            "node": rows["doc_id"], "fp": [fingerprint(s) for s in found], "n_shingles": [len(s) for s in found],
+            "sketch": [sketch(s) for s in found], "text": rows["text"],
+        }
 
-    text = map_rows(text, ["doc_id", "text"], f"node {kind}, fp binary, text string", marked)
-    texts = stored(text.join(nodes.select("node", "fp"), ["node", "fp"], "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    text = map_rows(text, ["doc_id", "text"], f"node {kind}, fp binary, n_shingles bigint, sketch binary, text string", described)
+    texts = stored(text.join(own, ["node", "fp"], "left_semi").dropDuplicates(["node"]).drop("fp"), "texts")
+    sketches = texts.select("node", "n_shingles", "sketch")
 
-    labels, links, tested, pivots = None, None, None, 1
+    labels, links, tested = None, None, None
     while True:
         now = left.withColumn("label", F.col("node")) if labels is None else left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = now.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-        now = stored(now.join(open_, "sig"), "open")
-        if now.isEmpty():
-            break
-        order = Window.partitionBy("sig").orderBy(F.xxhash64("node"), "node")
-        first = stored(now.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).select("sig", F.col("node").alias("pivot"), F.col("label").alias("theirs")), "pivots")
-        met = now.join(first, "sig").where("label <> theirs").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        if labels is not None:
+            open_ = now.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+            now = stored(now.join(open_, "sig"), "open")
+        met = likely_pairs(now.join(sketches, "node"), forest=labels is None)
         met = stored(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if met.isEmpty():
+            break
         tested = met if tested is None else tested.union(met)
-        found = stored(linked_pairs(met, nodes, texts), "linked")
+        found = stored(linked_pairs(met, texts), "linked")
         links = found if links is None else links.union(found)
         labels = components(links, 3)
-        left = stored(now.select("sig", "node").join(first.select("sig", F.col("pivot").alias("node")), ["sig", "node"], "left_anti"), "buckets")
-        pivots = min(2 * pivots, 64)
+        left = now.select("sig", "n", "node")
     return links
 
 

@@ -74,31 +74,37 @@ class Model:
                 for gram in grams(word, length):
                     if gram != "_":
                         own.setdefault(gram, [0] * size)[at[lang]] += n
-        self.words = self._logs(words)
-        self.pieces = [self._logs(p) for p in pieces]
+        self.table = np.zeros((0, size), np.float32)  # one row per word or n-gram, found by its place
+        self.words = self._places(words)
+        self.pieces = [self._places(p) for p in pieces]
 
-    @staticmethod
-    def _logs(counts: dict[str, list]) -> dict[str, np.ndarray]:
+    def _places(self, counts: dict[str, list]) -> dict[str, int]:
         if not counts:
             return {}
-        table = np.array(list(counts.values()), float)
-        table = np.log((table + 0.5) / (table.sum(0) + 0.5 * len(table)))
-        return dict(zip(counts, table.astype(np.float32), strict=True))
+        first = len(self.table)
+        logs = np.array(list(counts.values()), float)
+        logs = np.log((logs + 0.5) / (logs.sum(0) + 0.5 * len(logs)))
+        self.table = np.concatenate([self.table, logs.astype(np.float32)])
+        return dict(zip(counts, range(first, len(self.table)), strict=True))
 
     def word(self, word: str) -> np.ndarray:
         """Log scores of a word; nothing but zeros says nothing."""
         known = self.words.get(word)
         if known is not None:
-            return known
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            found = [s for g in grams(word, n) if (s := self.pieces[n].get(g)) is not None]
+            return self.table[known]
+        marked = f"_{word}_"
+        for n in range(min(LONGEST, len(marked)), 0, -1):
+            get = self.pieces[n].get
+            found = [at for i in range(len(marked) - n + 1) if (at := get(marked[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.table[found].sum(0) / len(found)
         return np.zeros(len(self.langs), np.float32)
 
     def chunk(self, chunk: str) -> np.ndarray | None:
         """Log scores of a run of visible characters; None without letters."""
         found = _WORD.findall(chunk.lower())
+        if len(found) == 1:
+            return self.word(found[0])
         return np.sum([self.word(w) for w in found], axis=0, dtype=np.float32) if found else None
 
 
@@ -120,7 +126,8 @@ class Predictor:
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             place, self.used = self.used, self.used + 1
             self.table[place] = scores
-        self.at[chunk] = place
+        if len(chunk) < 64:
+            self.at[chunk] = place
         return place
 
     def predict(self, texts: list) -> list[tuple[str, float]]:

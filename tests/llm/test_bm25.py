@@ -49,9 +49,9 @@ def test_against_brute_force(spark, shard, passes):
 
 
 def test_empty_and_repeated(spark):
-    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a"), (None, "b")], "doc_id long, text string")
     ask = spark.createDataFrame([(7, "b a a")], "query_id long, text string")
-    assert [r.doc_id for r in bm25.searched(docs, ask, 3).orderBy("rank").collect()] == [1, 1, 2]
+    assert [r.doc_id for r in bm25.searched(docs, ask, 9).orderBy("rank").collect()] == [1, 1, 2]
     assert bm25.searched(docs.where("false"), ask).count() == 0
     assert bm25.searched(docs, ask.where("false")).count() == 0
 

@@ -13,8 +13,8 @@ scores is a threshold; the remaining lists only add up to their block maxima, so
 reach the threshold are skipped, and the others are completed from the remaining lists. Shard results merge
 exactly, since all shards use the global statistics.
 
-Queries without words have no results; null and empty texts are never results; repeated rows are results
-each; an empty index gives none. The work is queries times documents by nature, less what pruning saves.
+Queries without words have no results; null and empty texts are never results; rows without a doc_id are not
+indexed; repeated rows are results each; an empty index gives none. The work is queries times documents by nature, less what pruning saves.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def build(docs: DataFrame, shard: int = SHARD) -> DataFrame:
         if held:
             yield row(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
 
 
 class Index:

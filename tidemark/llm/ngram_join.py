@@ -19,8 +19,9 @@ one node and never form pairs.
 
 **Pairs.** Only components matter. In the first round a bucket compares its sets' parity sketches, which
 bound their difference from below, and gives just the likely pairs that join what is not joined yet, fewer
-than it has sets; these are checked on their whole texts and join labels. Later rounds look at buckets that
-still hold different labels and check all their likely, untested pairs, until there are none. Buckets of over
+than it has sets; these are checked on their whole texts and join labels. Later rounds look at buckets of which
+a pair failed and that still hold different labels, and check all their likely, untested pairs, until there
+are none. Buckets of over
 ``BLOCK_NODES`` sets are compared block by block. No cap drops a set or a pair.
 
 Null texts and texts without words have empty sets, linked with nothing; such rows, like all others, keep
@@ -35,6 +36,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,26 +70,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text."""
-    row = words(text)
-    if not row:
-        return np.zeros(0, np.uint64)
-    known = per_process(("ngram_join", "words"), dict)
+class WordHashes(dict):
+    """Hashes of words, kept as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def hashed(texts: list) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles."""
+    known = per_process(("ngram_join", "words"), WordHashes)
     if len(known) > REMEMBERED:
         known.clear()
-    get, one = known.get, xxhash.xxh64_intdigest
-    ids = []
-    for word in row:
-        value = get(word)
-        if value is None:
-            value = known[word] = one(word)
-        ids.append(value)
-    ids = np.array(ids, np.uint64)
-    if len(ids) < WORDS:
-        return mixed(np.array([np.bitwise_xor.reduce(mixed(ids + _STEP[: len(ids)])) + np.uint64(len(ids))], np.uint64))
-    n = len(ids) - WORDS + 1
-    return np.unique(mixed(sum(ids[i : i + n] * _STEP[i] for i in range(WORDS))))
+    flat, sizes = [], []
+    for text in texts:
+        row = words(text)
+        flat.extend(map(known.__getitem__, row))
+        sizes.append(len(row))
+    ids = np.array(flat, np.uint64)
+    ends = np.cumsum(sizes)
+    n = max(0, len(ids) - WORDS + 1)
+    rolled = mixed(sum(ids[i : i + n] * _STEP[i] for i in range(WORDS))) if n else ids
+    out = []
+    for size, end in zip(sizes, ends, strict=True):
+        if size >= WORDS:
+            out.append(np.unique(rolled[end - size : end - WORDS + 1]))
+        elif size:
+            few = mixed(ids[end - size : end] + _STEP[:size])
+            out.append(mixed(np.bitwise_xor.reduce(few, keepdims=True) + np.uint64(size)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:
@@ -95,8 +109,8 @@ def fingerprint(hashes: np.ndarray) -> bytes:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Parities of the shingles in 2**b >= 4 * size cells. Sets that differ in d shingles differ in at most d cells."""
-    bits = max(10, int(4 * len(hashes)).bit_length())
+    """Parities of the shingles in at least twice as many cells, a power of two. Sets that differ in d shingles differ in at most d cells."""
+    bits = max(10, int(2 * len(hashes)).bit_length())
     odd = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -208,21 +222,40 @@ def _flushed(signature: np.ndarray, owner: np.ndarray, buckets: int):
     return out
 
 
-def repeated_signatures(docs: DataFrame, total_shingles: int) -> DataFrame:
-    """(sig, fp48) of all signatures that occur in different sets."""
-    buckets = max(1, total_shingles // BUCKET_ENTRIES)
+def signed_sets(docs: DataFrame) -> DataFrame:
+    """Two kinds of rows: (doc_id, n_shingles, fp, fp48) of every row of ``docs``, and with ``sig`` alone besides
+    ``fp48`` all signatures that occur in different sets. To be stored, then split by ``sig`` being null."""
+    # Words take about six characters; a bucket gets as many signatures at any size of the input.
+    characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, characters // 6 // BUCKET_ENTRIES)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_type = pa.int32() if kind == "int" else pa.int64()
+    own_columns = f"doc_id {kind}, n_shingles bigint, fp binary, fp48 bigint"
 
     def emit(batches):
         held, size = [], 0
-        schema = pa.schema([("bucket", pa.int64()), ("entries", pa.binary())])
+        schema = pa.schema([
+            ("bucket", pa.int64()), ("entries", pa.binary()), ("doc_id", id_type), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("fp48", pa.int64()),
+        ])
+
+        def filled(columns):
+            n = len(columns["bucket"])
+            return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
 
         def flush():
             rows = _flushed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), buckets)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
-
-        for part in slices(batches, 256):
-            sets = [hashed(t) for t in part.column(0).to_pylist()]
-            short = np.array([int.from_bytes(fingerprint(s)[:6], "little") for s in sets], np.uint64)
+            return filled({"bucket": [r[0] for r in rows], "entries": [r[1] for r in rows]})
+
+        for number, part in enumerate(slices(batches, 256)):
+            sets = hashed(part.column(1).to_pylist())
+            prints = [fingerprint(s) for s in sets]
+            short = np.array([int.from_bytes(p[:6], "little") for p in prints], np.uint64)
+            # Rows about documents pass through in groups of their own, of one slice each.
+            group = -(1 << 40) - TaskContext.get().partitionId() * (1 << 20) - number
+            yield filled({
+                "bucket": [group] * len(sets), "doc_id": part.column(0).to_pylist(), "n_shingles": [len(s) for s in sets],
+                "fp": prints, "fp48": short.astype(np.int64).tolist(),
+            })
             found, owner = signatures(sets)
             if len(found):
                 held.append((found, short[owner]))
@@ -235,6 +268,8 @@ def repeated_signatures(docs: DataFrame, total_shingles: int) -> DataFrame:
 
     def look(table):
         bucket = table.column("bucket")[0].as_py()
+        if bucket <= -(1 << 40):
+            return table.select(["doc_id", "n_shingles", "fp", "fp48"]).append_column("sig", pa.nulls(len(table), pa.int64()))
         raw = b"".join(table.column("entries").to_pylist())
         if bucket < 0:
             both = np.frombuffer(raw, "<u8").reshape(-1, 2)
@@ -249,25 +284,14 @@ def repeated_signatures(docs: DataFrame, total_shingles: int) -> DataFrame:
             count = np.diff(np.concatenate([np.flatnonzero(new), [len(short)]]))
             several = np.repeat(count > 1, count)
             sig, owner = short[several] | np.uint64(bucket << 40), owner[several]
-        return pa.table({"sig": pa.array(sig.astype(np.int64)), "fp48": pa.array(owner.astype(np.int64))})
-
-    rows = docs.select("text").mapInArrow(emit, "bucket bigint, entries binary")
-    return rows.groupBy("bucket").applyInArrow(look, "sig bigint, fp48 bigint")
-
-
-def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, fp, fp48) of every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(rows):
-        sets = [hashed(t) for t in rows["text"]]
-        prints = [fingerprint(s) for s in sets]
-        return {
-            "doc_id": rows["doc_id"], "n_shingles": [len(s) for s in sets], "fp": prints,
-            "fp48": [int.from_bytes(p[:6], "little") for p in prints],
-        }
+        n = len(sig)
+        return pa.table({
+            "doc_id": pa.nulls(n, id_type), "n_shingles": pa.nulls(n, pa.int64()), "fp": pa.nulls(n, pa.binary()),
+            "fp48": pa.array(owner.astype(np.int64)), "sig": pa.array(sig.astype(np.int64)),
+        })
 
-    return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, n_shingles bigint, fp binary, fp48 bigint", run)
+    rows = docs.select("doc_id", "text").mapInArrow(emit, f"bucket bigint, entries binary, {own_columns}")
+    return rows.groupBy("bucket").applyInArrow(look, f"{own_columns}, sig bigint")
 
 
 def components(edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -294,7 +318,7 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def likely_pairs(members: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket, with different labels, whose sketches allow a link.
+    """Pairs (sig, a, b) of nodes of one bucket, with different labels, whose sketches allow a link.
 
     ``members`` has (sig, n, node, label, n_shingles, sketch), n being the bucket's size. Of a bucket with more
     than ``BLOCK_NODES`` nodes, every two blocks are compared in a group of their own. With ``forest`` a group gives
@@ -309,14 +333,14 @@ def likely_pairs(members: DataFrame, forest: bool) -> DataFrame:
     rows = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(others))
     rows = rows.select(
         F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")).alias("group"),
-        F.signum(F.col("block") - F.col("other")).cast("int").alias("side"), "node", "label", "n_shingles", "sketch",
+        F.signum(F.col("block") - F.col("other")).cast("int").alias("side"), "node", "label", "n_shingles", "sketch", "sig",
     )
     # Small buckets share a call.
     calls = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = rows.repartition(int(calls), "group").sortWithinPartitions("group", "node")
 
     def run(batches):
-        schema = pa.schema([("a", out_type), ("b", out_type)])
+        schema = pa.schema([("sig", pa.int64()), ("a", out_type), ("b", out_type)])
         held = None
         for batch in slices(batches, 4096):
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -329,14 +353,15 @@ def likely_pairs(members: DataFrame, forest: bool) -> DataFrame:
 
     def found(table, cuts, schema):
         nodes, side, labels, sizes = (table.column(i).to_numpy() for i in (2, 1, 3, 4))
-        sketches, pairs = table.column(5).to_pylist(), []
+        sigs, sketches, pairs = table.column(6).to_numpy(), table.column(5).to_pylist(), []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            pairs += [(nodes[lo + i], nodes[lo + k]) for i, k in within(labels[lo:hi], side[lo:hi], sizes[lo:hi], sketches[lo:hi], forest)]
-        columns = [pa.array([min(p) if c == "a" else max(p) for p in pairs], out_type) for c in "ab"]
+            pairs += [(sigs[lo], nodes[lo + i], nodes[lo + k]) for i, k in within(labels[lo:hi], side[lo:hi], sizes[lo:hi], sketches[lo:hi], forest)]
+        columns = [pa.array([p[0] for p in pairs], pa.int64())]
+        columns += [pa.array([pick(p[1:]) for p in pairs], out_type) for pick in (min, max)]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     out_type = pa.int64() if kind == "bigint" else pa.int32()
-    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return rows.mapInArrow(run, f"sig bigint, a {kind}, b {kind}")
 
 
 def within(labels: np.ndarray, side: np.ndarray, sizes: np.ndarray, sketches: list[bytes], forest: bool) -> list[tuple[int, int]]:
@@ -376,12 +401,11 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(pairs.join(text[0], "a").join(text[1], "b"), ["a", "b", "ta", "tb"], f"a {kind}, b {kind}", sure)
 
 
-def _links(docs: DataFrame, sets: DataFrame, total: int) -> DataFrame | None:
+def _links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
     """Links (a, b) between nodes whose components are those of all links; None if there is none."""
-    nodes = sets.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("fp48").alias("fp48"))
+    nodes = signed.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("fp48").alias("fp48"))
     nodes = stored(nodes, "nodes")
-    found = stored(repeated_signatures(docs, total), "repeated")
-    members = found.join(nodes.select("fp48", "node"), "fp48").select("sig", "node").distinct()
+    members = signed.where("sig is not null").select("sig", "fp48").join(nodes.select("fp48", "node"), "fp48").select("sig", "node").distinct()
     members = stored(members, "members")
     # Signatures with the same members say the same; one of them stays. Equal sets have equal counts and hashes.
     kinds = members.groupBy("sig").agg(
@@ -397,7 +421,7 @@ def _links(docs: DataFrame, sets: DataFrame, total: int) -> DataFrame | None:
     kind = text.schema["doc_id"].dataType.simpleString()
 
     def described(rows):
-        found = [hashed(t) for t in rows["text"]]
+        found = hashed(rows["text"])
         return {
             "node": rows["doc_id"], "fp": [fingerprint(s) for s in found], "n_shingles": [len(s) for s in found],
             "sketch": [sketch(s) for s in found], "text": rows["text"],
@@ -413,37 +437,39 @@ def _links(docs: DataFrame, sets: DataFrame, total: int) -> DataFrame | None:
         if labels is not None:
             open_ = now.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
             now = stored(now.join(open_, "sig"), "open")
-        met = likely_pairs(now.join(sketches, "node"), forest=labels is None)
-        met = stored(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if met.isEmpty():
+        met = stored(likely_pairs(now.join(sketches, "node"), forest=labels is None), "likely")
+        new = met.select("a", "b").distinct()
+        new = stored(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
             break
-        tested = met if tested is None else tested.union(met)
-        found = stored(linked_pairs(met, texts), "linked")
+        tested = new if tested is None else tested.union(new)
+        found = stored(linked_pairs(new, texts), "linked")
         links = found if links is None else links.union(found)
         labels = components(links, 3)
-        left = now.select("sig", "n", "node")
+        # A bucket all of whose likely pairs link, or that has none, is done: its likely pairs have one label each.
+        failed = met.join(found, ["a", "b"], "left_anti").select("sig").distinct()
+        left = now.select("sig", "n", "node").join(failed.union(now.where(F.col("n") > BLOCK_NODES).select("sig")).distinct(), "sig")
     return links
 
 
 def joined_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; the component is named by its smallest doc_id."""
-    return _components(docs, stored(sets_of(docs), "sets"))
+    return _components(docs, stored(signed_sets(docs), "sets"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, one row of each component: that with the smallest doc_id."""
-    sets = stored(sets_of(docs), "sets")
-    gone = stored(_components(docs, sets).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    signed = stored(signed_sets(docs), "sets")
+    gone = stored(_components(docs, signed).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeats = sets.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    repeats = signed.where("sig is null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
-def _components(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    links = _links(docs, sets, total)
+def _components(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    links = _links(docs, signed)
     # All rows with one fingerprint are one node, named by the smallest doc_id; empty sets stay alone.
-    whole = sets.select("doc_id", "n_shingles", "fp")
+    whole = signed.where("sig is null").select("doc_id", "n_shingles", "fp")
     names = whole.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1").select("fp", "node")
     rows = whole.join(names, "fp", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
     if links is not None:

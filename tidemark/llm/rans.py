@@ -18,8 +18,8 @@ import zlib
 import numpy as np
 
 SCALE = 20  # frequencies add up to 2**20
-LANES = 32
-SEGMENTS = 16
+LANES = 64
+SEGMENTS = 32
 LOWEST = np.uint64(1 << 31)
 _HEAD = "<4sBHIIIQI"
 _MASK, _WORD, _LOW = np.uint64((1 << SCALE) - 1), np.uint64(32), np.uint64(0xFFFFFFFF)
@@ -44,6 +44,22 @@ class Table:
         self.symbol = np.repeat(np.arange(len(ids), dtype=np.int32), freq)
         self.crc = zlib.crc32(self.ids.astype("<u4").tobytes() + self.freq.astype("<u4").tobytes())
         self.common = int(self.freq.argmax())
+        self.place = None
+        if len(ids) and ids[-1] < 1 << 22:  # a direct lookup for vocabularies; wider ids are searched
+            self.place = np.full(int(ids[-1]) + 1, -1, np.int32)
+            self.place[ids] = np.arange(len(ids))
+
+    def symbols(self, ids: np.ndarray) -> np.ndarray:
+        """Places of ids in the table; a ValueError if one is missing."""
+        if self.place is not None and (not len(ids) or ids.max() < len(self.place)):
+            found = self.place[ids]
+            missing = len(found) and found.min() < 0
+        else:
+            found = np.minimum(np.searchsorted(self.ids, ids), max(0, len(self.ids) - 1))
+            missing = len(found) and (not len(self.ids) or (self.ids[found] != ids).any())
+        if missing:
+            raise ValueError("an id is missing from the table")
+        return found
 
     @classmethod
     def of(cls, ids, freq) -> Table:
@@ -55,9 +71,7 @@ class Table:
 def encode_block(documents: list[tuple[int, np.ndarray]], table: Table, start: int = 0, segments: int = SEGMENTS) -> bytes:
     """``documents``: (doc_id, ids) in order; every id must be in the table."""
     ids = np.concatenate([i for _, i in documents]) if documents else np.zeros(0, np.uint32)
-    symbols = np.searchsorted(table.ids, ids)
-    if len(ids) and not (symbols < len(table.ids)).all() or not (table.ids[symbols] == ids).all():
-        raise ValueError("an id is missing from the table")
+    symbols = table.symbols(ids)
     segments = min(segments, -(-len(ids) // LANES) or 1)
     steps = -(-len(ids) // (segments * LANES))
     padded = np.full(segments * steps * LANES, table.common, np.int64)

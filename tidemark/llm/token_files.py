@@ -1,18 +1,20 @@
 """Token files: whole texts as ids, written as entropy-coded blocks in ascending doc_id order, and read back.
 
-The tokenizers library encodes; words between spaces are remembered, since none of this vocabulary's pieces
-crosses white space. Every document ends with ``end_id``. Ids are stored once, counted, and written under one
+The tokenizers library encodes; words are remembered, since no piece of this kind of vocabulary crosses white
+space and runs of letters are pieces of their own. Every document ends with ``end_id``. Ids are stored once, counted, and written under one
 frequency table: a range partitioning by doc_id orders them, and each partition writes its blocks with the
 number of ids before them in the partition. The container is Parquet (a binary column per block, uncompressed),
 so that Spark's writers commit the files and a lost task leaves nothing half written.
 
 Null counts as the empty text, which has the end id alone. Rows that repeat a doc_id stand side by side, ordered
-by their ids' hash. A null doc_id is refused. An empty table gives no blocks. Other columns are not read.
+by their ids' hash. A null doc_id comes first and is kept in the format as the smallest 64-bit number. An empty table gives no blocks. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,55 +28,80 @@ from tidemark.llm.rans import Block, Table, encode_block
 from tidemark.plans.stored import stored
 from tidemark.session import fresh_path
 
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 18
+NO_ID = -(1 << 63)
 REMEMBERED = 500_000
 
 
+# A single stop or comma after a letter is a piece of its own, so it can stand apart.
+_MARK = re.compile(r"(?<=[^\W\d_])([.,])(?= |\Z)")
+
+
 class Encoder:
-    """Texts to ids by the library, by words."""
+    """Texts to ids by the library, word by word."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = 0):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list) -> list[np.ndarray]:
-        known = self.words
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        split = [(t or "").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        own = {}
-        for word, code in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            packed = np.array(code.ids, "<u4").tobytes()
-            (known if len(word) < 64 else own)[word] = packed
-        if own:  # long words serve this call only
-            return [np.frombuffer(b"".join([known[w] if w in known else own[w] for w in words]), "<u4") for words in split]
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        self.kind = id_kind(path, end_id)
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _each(self, texts: list[str]) -> dict[str, bytes]:
+        codes = self.library.encode_batch(texts, add_special_tokens=False)
+        return {t: np.array(c.ids, self.kind).tobytes() for t, c in zip(texts, codes, strict=True)}
+
+    def _runs_of_letters(self, new: list[str]) -> dict[str, bytes]:
+        """Encoded in one go; the library tells which ids belong to which."""
+        code = self.library.encode(" ".join(new), add_special_tokens=False)
+        owner = np.array(code.word_ids)
+        if not len(owner) or owner[-1] + 1 != len(new):  # one of them is more than one piece after all
+            return self._each(new)
+        ids = np.array(code.ids, self.kind).tobytes()
+        cuts = [0, *((np.flatnonzero(np.diff(owner)) + 1) * (len(ids) // len(owner))).tolist(), len(ids)]
+        return {w: ids[i:j] for w, i, j in zip(new, cuts[:-1], cuts[1:], strict=True)}
+
+    def encode(self, texts: list) -> list[bytes]:
+        """Packed ids of every text."""
+        split = [_MARK.sub(r" \1", (t or "").replace("\n", " ")).split(" ") for t in texts]
+        known = self.known
+        new = set(chain.from_iterable(split)).difference(known)
+        letters = [c for c in new if c.isalpha()]
+        own = self._runs_of_letters(letters) if letters else {}
+        own.update(self._each(list(new.difference(letters))))
+        full = len(known) > REMEMBERED
+        known.update(own)
+        packed = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        for chunk in own:
+            if full or len(chunk) > 64:
+                del known[chunk]
+        return packed
+
+
+def id_kind(path: str, end_id: int) -> str:
+    """How ids are stored until they are coded: two bytes if that is enough for the vocabulary."""
+    most = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) - 1, end_id)
+    return "<u2" if most < 1 << 16 else "<u4"
 
 
 def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids) of every row, the end id included; ids as little-endian unsigned 32-bit integers."""
+    """(doc_id, ids) of every row, the end id included, packed as ``id_kind`` says."""
 
     def run(rows):
-        encoder = per_process(("token_files", path), lambda: Encoder(path))
-        end = np.array([end_id], "<u4").tobytes()
-        packed = [ids.tobytes() + end for ids in encoder.encode(rows["text"])]
-        return {"doc_id": rows["doc_id"], "n": [len(p) // 4 for p in packed], "ids": packed}
+        encoder = per_process(("token_files", path), lambda: Encoder(path, end_id))
+        end = np.array([end_id], encoder.kind).tobytes()
+        return {"doc_id": rows["doc_id"], "ids": [ids + end for ids in encoder.encode(rows["text"])]}
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, n bigint, ids binary", run)
+    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, ids binary", run)
 
 
-def frequency_table(rows: DataFrame) -> Table | None:
+def frequency_table(rows: DataFrame, kind: str) -> Table | None:
     """The table over the ids of rows (ids); its length is bounded by the vocabulary."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for part in slices(batches):
-            flat = np.frombuffer(b"".join(part.column(0).to_pylist()), "<u4")
+            flat = np.frombuffer(b"".join(part.column(0).to_pylist()), kind)
             counts = np.bincount(flat, minlength=len(total))
             counts[: len(total)] += total
             total = counts
@@ -85,10 +112,10 @@ def frequency_table(rows: DataFrame) -> Table | None:
     return Table(np.array([r.id for r in counts]), np.array([r.n for r in counts])) if counts else None
 
 
-def write(rows: DataFrame, at: str, block_ids: int = BLOCK_IDS) -> None:
-    """Rows (doc_id, ids) as blocks below ``at``: the table in ``at/table``, blocks in ``at/blocks``."""
+def write(rows: DataFrame, at: str, kind: str, block_ids: int = BLOCK_IDS) -> None:
+    """Rows (doc_id, ids packed as ``kind``) as blocks below ``at``: the table in ``at/table``, blocks in ``at/blocks``."""
     spark = rows.sparkSession
-    table = frequency_table(rows)
+    table = frequency_table(rows, kind)
     schema = "id bigint, freq bigint"
     entries = [(int(i), int(f)) for i, f in zip(table.ids, table.freq, strict=True)] if table else []
     spark.createDataFrame(entries, schema).coalesce(1).write.parquet(f"{at}/table")
@@ -106,8 +133,8 @@ def write(rows: DataFrame, at: str, block_ids: int = BLOCK_IDS) -> None:
 
         for batch in slices(batches, 256):
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((doc_id, np.frombuffer(ids, "<u4")))
-                size += len(ids) // 4
+                held.append((NO_ID if doc_id is None else doc_id, np.frombuffer(ids, kind)))
+                size += len(held[-1][1])
                 if size >= block_ids:
                     yield row()
                     held, size, start, block = [], 0, start + size, block + 1
@@ -140,7 +167,7 @@ def read(spark: SparkSession, at: str) -> DataFrame:
             ids = block.ids(table).astype("<u4")
             ends = np.cumsum(block.lengths.astype(np.int64))
             starts = ends - block.lengths
-            out["doc_id"] += block.doc_ids.tolist()
+            out["doc_id"] += [None if i == NO_ID else i for i in block.doc_ids.tolist()]
             out["start"] += (starts + base[part] + block.start).tolist()
             out["n_tokens"] += block.lengths.tolist()
             out["ids"] += [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
@@ -153,7 +180,7 @@ def written(docs: DataFrame, path: str, end_id: int) -> str:
     """Writes the token files of ``docs`` below the shared folder; returns where."""
     spark = docs.sparkSession
     at = fresh_path(spark, "token-files")
-    write(stored(tokens(docs, path, end_id), "tokens"), at)
+    write(stored(tokens(docs, path, end_id), "tokens"), at, id_kind(path, end_id))
     return at
 
 

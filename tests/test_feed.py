@@ -12,6 +12,7 @@ from tidemark.operators.metrics import (
     safe_frontier,
     start_position,
 )
+from tidemark.operators.quality import repeated_commands
 from tidemark.operators.resolve import resolve
 from tidemark.schemas import PROGRESS_SCHEMA
 from tidemark.sources import content as content_source
@@ -188,3 +189,18 @@ def test_never_pending(spark):
     df = spark.createDataFrame([("Item", 1, "persisted"), ("Item", 2, "pending"), ("Item", 2, "persisted")],
                                "entity_type STRING, item_id BIGINT, state STRING")
     assert [r.item_id for r in never_pending(df).collect()] == [1]
+
+
+def test_landed_records_get_their_sequence(spark):
+    landed = spark.createDataFrame(
+        [(3, position(50), "c"), (1, position(70), "d"), (2, position(50), "b"), (0, "no position", "a")], "place LONG, event_id_json STRING, data STRING"
+    )
+    first = feed_source.sequenced(landed, ["place"]).orderBy("seq").collect()
+    assert [(r.seq, r.data) for r in first] == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    assert feed_source.sequenced(landed, ["place"], above=9).agg({"seq": "min"}).first()[0] == 10
+
+
+def test_repeated_commands(spark):
+    rows = [(1, "Item", 7), (1, "Item", 7), (2, "Item", 7), (1, "Lexeme", 7)]
+    found = repeated_commands(spark.createDataFrame(rows, "seq LONG, entity_type STRING, entity_num LONG")).collect()
+    assert [(r.entity_type, r.entity_num, r.seq, r.copies) for r in found] == [("Item", 7, 1, 2)]

@@ -16,7 +16,7 @@ import regex
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 # Words and pieces that a worker process remembers; the rest is computed each time.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_characters() -> list[str]:

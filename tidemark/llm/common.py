@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # Rows handled at a time inside a task; whole texts of this many rows are in memory together.
 SLICE_ROWS = 512
+OPENED = ("opened",)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def per_process(key: tuple, make: Callable):
-    """``make()``, once in a worker process. Workers are reused, so models and word caches outlive a task."""
+    """``make()``, once in a worker process. Workers are reused, so models and word caches outlive a task.
+
+    A worker keeps the state of one operator: what another one left goes first.
+    """
     store = sys.modules.setdefault("_tidemark_llm_state", types.ModuleType("_tidemark_llm_state")).__dict__
     if key not in store:
+        for other in [k for k in store if isinstance(k, tuple) and OPENED not in (k, key)]:
+            del store[other]
         store[key] = make()
     return store[key]
 
@@ -38,11 +44,14 @@ class Shared:
 
     @property
     def value(self):
-        opened = per_process(("opened",), dict)
+        opened = per_process(OPENED, dict)
         if self.key not in opened:
             if len(opened) > 1:  # a worker holds two models at most
                 opened.pop(next(iter(opened)))
             opened[self.key] = cloudpickle.loads(self.packed.value)
+            store = sys.modules["_tidemark_llm_state"].__dict__
+            for other in [k for k in store if isinstance(k, tuple) and k != OPENED]:
+                del store[other]
         return opened[self.key]
 
 

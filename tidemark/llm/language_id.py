@@ -30,7 +30,7 @@ from tidemark.llm.common import Shared, keep_rows, map_rows, per_process
 TRAIN_ROWS = 1500
 LONGEST = 5
 LEAST_COUNT = 2
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 UNDETERMINED = "und"
 _WORD = regex.compile(r"\p{L}+")
 
@@ -163,10 +163,11 @@ def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
 
 
 def _predictor(shared: Shared) -> Predictor:
+    model = shared.value
     held = per_process(("language_id",), dict)
     if shared.key not in held:
         held.clear()
-        held[shared.key] = Predictor(shared.value)
+        held[shared.key] = Predictor(model)
     return held[shared.key]
 
 

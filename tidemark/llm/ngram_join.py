@@ -45,11 +45,11 @@ from tidemark.plans.stored import stored
 
 WORDS = 5
 NUMERATOR = 80
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 BUCKET_ENTRIES = 500_000
 HOT = 8
 BLOCK_NODES = 1024
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 

@@ -58,3 +58,19 @@ def test_nulls_repeats_and_further_columns(spark):
     assert p.tokens(spark, docs, SF).count() == 8
     # Of copies with one doc_id one row stays.
     assert [r.doc_id for r in p.near_duplicates(spark, docs.where("doc_id = 4"), SF).collect()] == [4]
+
+
+def test_null_and_equal_ids_with_different_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [
+        (1, a, 0), (1, a, 0), (7, b, 0), (7, c, 0), (8, f"{a} near", 0), (8, d, 0), (9, f"{c} near", 0), (10, b, 0),
+        (None, f"{a} none", 0), (None, "one text without id", 0), (None, "one text without id", 0), (None, "two texts without id", 0),
+        (None, f"{a} {b}", 0), (None, f"{a} {b} near", 0), (None, " ", 0), (None, None, 0), (11, None, 0), (11, "", 0), (12, "alone with its id", 0),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    key = lambda r: (str(r[0]), str(r[1]))
+    out = sorted((tuple(r) for r in p.near_duplicates(spark, docs.repartition(3), SF).collect()), key=key)
+    near = [r for r in out if r[1] in (f"{a} {b}", f"{a} {b} near")]
+    assert len(near) == 1 and near[0][0] is None
+    want = [(1, a), (7, b), (7, c), (8, d), (None, "one text without id"), (None, "two texts without id"), (None, " "), (None, None), (11, None), (11, ""), (12, "alone with its id")]
+    assert [r[:2] for r in out if r not in near] == sorted(want, key=key)

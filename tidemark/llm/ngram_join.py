@@ -25,8 +25,10 @@ are none. Buckets of over
 ``BLOCK_NODES`` sets are compared block by block. No cap drops a set or a pair.
 
 Null texts and texts without words have empty sets, linked with nothing; such rows, like all others, keep
-one result row each. Rows that repeat a doc_id with its text are copies; a doc_id should name one text. Only
-doc_id and text are read, so other columns cannot clash.
+one result row each. Rows that repeat a doc_id with its text are copies. Nodes are numbered sets and not
+doc_ids, so a doc_id may be null or name several texts: each text is judged for itself. Components are named by
+doc_ids all the same, null if none of their rows has one. Only doc_id and text are read, so other columns cannot
+clash.
 """
 
 from __future__ import annotations
@@ -401,10 +403,14 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(pairs.join(text[0], "a").join(text[1], "b"), ["a", "b", "ta", "tb"], f"a {kind}, b {kind}", sure)
 
 
-def _links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
+def _nodes(signed: DataFrame) -> DataFrame:
+    """(node, fp, fp48, first, n) of every set with shingles: its number, the smallest doc_id and the count of its rows."""
+    sets = signed.where("n_shingles > 0").groupBy("fp").agg(F.first("fp48").alias("fp48"), F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    return stored(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def _links(docs: DataFrame, nodes: DataFrame, signed: DataFrame) -> DataFrame | None:
     """Links (a, b) between nodes whose components are those of all links; None if there is none."""
-    nodes = signed.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("fp48").alias("fp48"))
-    nodes = stored(nodes, "nodes")
     members = signed.where("sig is not null").select("sig", "fp48").join(nodes.select("fp48", "node"), "fp48").select("sig", "node").distinct()
     members = stored(members, "members")
     # Signatures with the same members say the same; one of them stays. Equal sets have equal counts and hashes.
@@ -415,20 +421,22 @@ def _links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
     left = stored(members.join(chosen, "sig"), "buckets")
     if left.isEmpty():
         return None
-    # One text per node; rows that repeat a doc_id with another text are told apart by their fingerprint.
-    own = nodes.join(left.select("node").distinct(), "node").select("node", "fp")
-    text = docs.select("doc_id", "text").join(own.select(F.col("node").alias("doc_id")), "doc_id")
-    kind = text.schema["doc_id"].dataType.simpleString()
+    # One text per node, found by the smallest doc_id of its rows and told from others of that doc_id by its fingerprint.
+    own = nodes.join(left.select("node").distinct(), "node").select("node", "fp", "first")
+    every = docs.select("doc_id", "text")
+    text = every.join(own.where("first is not null").select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    if not nodes.where("first is null").isEmpty():
+        text = text.union(every.where("doc_id is null"))
 
     def described(rows):
         found = hashed(rows["text"])
         return {
-            "node": rows["doc_id"], "fp": [fingerprint(s) for s in found], "n_shingles": [len(s) for s in found],
+            "fp": [fingerprint(s) for s in found], "n_shingles": [len(s) for s in found],
             "sketch": [sketch(s) for s in found], "text": rows["text"],
         }
 
-    text = map_rows(text, ["doc_id", "text"], f"node {kind}, fp binary, n_shingles bigint, sketch binary, text string", described)
-    texts = stored(text.join(own, ["node", "fp"], "left_semi").dropDuplicates(["node"]).drop("fp"), "texts")
+    text = map_rows(text, ["text"], "fp binary, n_shingles bigint, sketch binary, text string", described)
+    texts = stored(text.dropDuplicates(["fp"]).join(own.select("node", "fp"), "fp").drop("fp"), "texts")
     sketches = texts.select("node", "n_shingles", "sketch")
 
     labels, links, tested = None, None, None
@@ -454,24 +462,45 @@ def _links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
 
 def joined_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; the component is named by its smallest doc_id."""
-    return _components(docs, stored(signed_sets(docs), "sets"))
+    signed = stored(signed_sets(docs), "sets")
+    names = _components(docs, signed).select("fp", "component_id", F.lit(True).alias("named"))
+    rows = signed.where("sig is null").select("doc_id", "n_shingles", "fp").join(names, "fp", "left")
+    return rows.select("doc_id", "n_shingles", F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, one row of each component: that with the smallest doc_id."""
+    """``docs`` with all its columns, one row of each component: one with the smallest doc_id, a null one if it has no other.
+
+    Rows without words stay, but for repeats of a doc_id with its text.
+    """
     signed = stored(signed_sets(docs), "sets")
-    gone = stored(_components(docs, signed).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeats = signed.where("sig is null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id"])
+    whole = signed.where("sig is null").select("doc_id", "n_shingles", "fp")
+    decided = stored(_components(docs, signed).select("fp", "first", "stays"), "decided")
+    repeats = stored(whole.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
+    stays = F.col("stays") & F.col("doc_id").eqNullSafe(F.col("first"))
+    gone = whole.where("n_shingles > 0 and doc_id is not null").join(decided, "fp").where(~stays).select("doc_id")
+    kept = docs.join(stored(gone.union(repeats).distinct(), "copies"), "doc_id", "left_anti").select(docs.columns)
+    nulls = not whole.where("doc_id is null").isEmpty()
+    if not nulls and repeats.isEmpty():
+        return kept
+    # A doc_id that is null or of several rows does not name a text: (doc_id, fingerprint) does.
+    print_of = F.udf(lambda text: fingerprint(hashed([text])[0]), "binary")
+    wordless = F.coalesce(F.translate("text", " \t\n\r\x0b\x0c", ""), F.lit("")) == ""
+    several = docs.join(repeats, "doc_id", "left_semi").select(docs.columns)
+    unnamed = docs.where("doc_id is null")
+    rows = several.union(unnamed).where(~wordless).select(F.struct("*").alias("row"), "doc_id", print_of("text").alias("fp"))
+    rows = rows.dropDuplicates(["doc_id", "fp"]).join(decided, "fp", "left").where(F.col("stays").isNull() | stays).select("row.*")
+    empty = several.where(wordless).dropDuplicates(["doc_id", "text"]).union(unnamed.where(wordless))
+    return kept.where("doc_id is not null").union(rows).union(empty)
 
 
 def _components(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    links = _links(docs, signed)
-    # All rows with one fingerprint are one node, named by the smallest doc_id; empty sets stay alone.
-    whole = signed.where("sig is null").select("doc_id", "n_shingles", "fp")
-    names = whole.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1").select("fp", "node")
-    rows = whole.join(names, "fp", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
-    if links is not None:
-        rows = rows.join(components(links), "node", "left").withColumn("node", F.coalesce("label", "node"))
-    return rows.select("doc_id", "n_shingles", F.col("node").alias("component_id"))
+    """(fp, first, component_id, stays) of the sets of several rows or with a link: the smallest doc_id of the set's rows
+    and of its component, and whether the set is the one that stays of the component."""
+    nodes = _nodes(signed)
+    links = _links(docs, nodes, signed)
+    rows = nodes.withColumn("label", F.lit(None).cast("long")) if links is None else nodes.join(components(links), "node", "left")
+    rows = rows.where("n > 1 or label is not null").select("fp", "first", F.coalesce("label", "node").alias("label"))
+    best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp"))
+    best = rows.groupBy("label").agg(best.alias("best")).select("label", F.col("best.first").alias("component_id"), F.col("best.fp").alias("best"))
+    return rows.join(best, "label").select("fp", "first", "component_id", (F.col("fp") == F.col("best")).alias("stays"))

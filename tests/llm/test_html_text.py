@@ -79,3 +79,32 @@ def test_edges(spark):
     assert len(got) == 9 and [t for _, t in got[:4]] == [""] * 4
     assert got[4][1] == "<" * 50_000 and got[5][1] == PROSE and got[6] == got[7]
     assert extracted(pages.where("false")).count() == 0
+
+
+LONG = f"<h1>Head</h1><p>{PROSE} {PROSE}</p><p>{PROSE} Then more.</p>"
+WANT = ["Head", f"{PROSE} {PROSE}", f"{PROSE} Then more."]
+WRAPPERS = [
+    '<div class="content with-sidebar">{}</div>', '<div id="page" class="no-sidebar">{}</div>', '<section class="post social">{}</section>',
+    '<article class="post has-related">{}</article>', '<article class="post related">{}</article>', "<form action='/'><div>{}</div></form>",
+    '<div class="layout-sidebar"><div class="share">{}</div></div>', '<form><table><tr><td class="widget">{}</td></tr></table></form>',
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_named_like_parts_around(wrapper):
+    assert main_text(page(wrapper.format(LONG))) == "\n\n".join(WANT)
+    assert main_text(page(AROUND + wrapper.format(LONG + '<div class="ad"><p>Buy now, cheap, today.</p></div>') + AFTER)) == "\n\n".join(WANT)
+
+
+@pytest.mark.parametrize("name", ["comments-open", "ad-free", "ad", "with-sidebar popup"])
+def test_named_body(name):
+    assert main_text(f'<body class="{name}">{AROUND}<article>{LONG}</article>{AFTER}</body>') == "\n\n".join(WANT)
+
+
+def test_suspects_beside_the_article():
+    comments = f'<section id="comments">{f"""<div class="comment-body"><p>{PROSE}</p></div>""" * 8}</section>'
+    assert main_text(page(f"<article>{LONG}</article>{comments}")) == "\n\n".join(WANT)
+    assert main_text(page(f'<article><p>{PROSE} <span class="share">Tweet</span></p></article>')) == PROSE
+    twice = f'<section class="post social">{LONG}</section>' * 2
+    assert main_text(page(twice + comments)) == "\n\n".join(WANT * 2)
+    assert main_text('<div class="cookie-notice">Only this, and nothing more, is here.</div>') == "Only this, and nothing more, is here."

@@ -108,3 +108,10 @@ def test_suspects_beside_the_article():
     twice = f'<section class="post social">{LONG}</section>' * 2
     assert main_text(page(twice + comments)) == "\n\n".join(WANT * 2)
     assert main_text('<div class="cookie-notice">Only this, and nothing more, is here.</div>') == "Only this, and nothing more, is here."
+
+
+@pytest.mark.parametrize("n", [1, 4, 12])
+def test_two_wrapped_articles(n):
+    first, second = f"First, {PROSE} " * n, f"Second, {PROSE} " * n
+    body = f"{AROUND}<article><div><p>{first}</p><p>{first}</p></div></article><article><div><p>{second}</p></div></article>{AFTER}"
+    assert main_text(page(body)) == "\n\n".join(t.strip() for t in (first, first, second))

@@ -256,13 +256,12 @@ def container(page: Page, blocks: list[tuple[int, str, int]], weights: list[floa
         up = parent[up]
     outer = up if up > 0 else best
     kept = {outer}
-    if outer == best:
-        least = max(10.0, score[best] * 0.2)
-        for e in range(1, len(parent)):
-            if e != best and parent[e] == parent[best] and size[e]:
-                prose = tag[e] == "p" and (linked[e] / size[e] < 0.25 and size[e] > 80 or linked[e] == 0)
-                if score[e] >= least or tag[e] in HEADING or prose:
-                    kept.add(e)
+    least = max(10.0, score[outer] * 0.2)
+    for e in range(1, len(parent)):
+        if e != outer and parent[e] == parent[outer] and size[e]:
+            prose = tag[e] == "p" and (linked[e] / size[e] < 0.25 and size[e] > 80 or linked[e] == 0)
+            if score[e] >= least or tag[e] in HEADING or prose:
+                kept.add(e)
     inside = [False] * len(parent)
     for e in range(len(parent)):
         # Lists and boxes that are mostly links are menus also inside the container.

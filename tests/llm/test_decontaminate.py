@@ -60,3 +60,16 @@ def test_edges_in_one_part_and_many(spark, part_chars):
     assert cut[3] == " four" and cut[4] == "x  z" and cut[7] == "é  é" and cut[0] is None and cut[5] == "one two"
     assert d.contamination(docs, bench.where("false")).where("size(spans) > 0").count() == 0
     assert d.contamination(docs.where("false"), bench).count() == 0
+
+
+@pytest.mark.parametrize("spans", ["string", "long"])
+def test_cut_in_many_parts_equals_one_part(spark, spans):
+    bench = spark.createDataFrame([(1, "a b c d"), (2, "c d e f"), (3, "x z"), (4, "f g"), (5, "u")], "item_id long, text string")
+    texts = ["0 a b c d e f g 1", "x a b c d z", "x c d e f z", None, "", "u x u z", "no hit"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], f"doc_id long, text string, spans {spans}")
+    one = {r.doc_id: r.text for r in d.decontaminated(docs, bench, cut=True).collect()}
+    assert one == {0: "0  1", 1: "x  z", 2: "x  z", 3: None, 4: "", 5: " x  z", 6: "no hit"}
+    for part_chars in (1, 4, 12):
+        out = d.decontaminated(docs, bench, cut=True, part_chars=part_chars)
+        assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == one
+        assert sorted(r.doc_id for r in d.decontaminated(docs, bench, part_chars=part_chars).collect()) == [3, 4, 6]

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import Shared, map_rows, slices
 from tidemark.plans.stored import stored
@@ -161,23 +162,52 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, part_chars: int
     return found
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, cut: bool = False, n: int = N) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, cut: bool = False, n: int = N, part_chars: int = PART_CHARS) -> DataFrame:
     """``docs`` with all its columns: contaminated rows left out, or with ``cut`` rid of their hit spans.
 
-    A benchmark of one part takes one map over the rows; a larger one takes a further map for every part.
+    A benchmark of one part takes one map over the rows; a larger one takes a further map for every part. All parts
+    look at the original texts: ``cut`` takes the spans of all parts out at the end, in a map of its own.
     """
+    if cut:
+        return _cut(docs, items, n, part_chars)
     at, schema, out = docs.columns.index("text"), docs.schema, docs
-    for i, shared in enumerate(benchmark_parts(items, n, PART_CHARS)):
+    for i, shared in enumerate(benchmark_parts(items, n, part_chars)):
 
         def run(batches, shared=shared):
             for part in slices(batches):
-                texts = part.column(at).to_pylist()
-                scanned = shared.value.scan(texts)
-                if cut:
-                    texts = [without(t, s) if s else t for t, (_, s, _) in zip(texts, scanned, strict=True)]
-                    yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
-                else:
-                    yield part.filter(pa.array([not s for _, s, _ in scanned], pa.bool_()))
+                scanned = shared.value.scan(part.column(at).to_pylist())
+                yield part.filter(pa.array([not s for _, s, _ in scanned], pa.bool_()))
 
         out = (stored(out, "decontaminated") if i else out).mapInArrow(run, schema)
     return out
+
+
+def _cut(docs: DataFrame, items: DataFrame, n: int, part_chars: int) -> DataFrame:
+    at, last, schema = docs.columns.index("text"), len(docs.columns), docs.schema
+    name = "spans"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    # Spans travel as a flat list: start, end, start, end.
+    spanned, out = T.StructType([*schema.fields, T.StructField(name, T.ArrayType(T.LongType()))]), docs
+    for i, shared in enumerate(benchmark_parts(items, n, part_chars)):
+
+        def find(batches, shared=shared, first=i == 0):
+            for part in slices(batches):
+                spans = [s for _, s, _ in shared.value.scan(part.column(at).to_pylist())]
+                if not first:
+                    old = part.column(last).to_pylist()
+                    spans = [_merged([*s, *zip(o[::2], o[1::2], strict=True)]) for s, o in zip(spans, old, strict=True)]
+                flat = pa.array([[x for span in s for x in span] for s in spans], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], flat], names=[*part.schema.names[:last], name])
+
+        out = (stored(out, "decontaminated") if i else out).mapInArrow(find, spanned)
+
+    def rid(batches):
+        for part in slices(batches):
+            texts, flat = part.column(at).to_pylist(), part.column(last).to_pylist()
+            texts = [without(t, list(zip(f[::2], f[1::2], strict=True))) if f else t for t, f in zip(texts, flat, strict=True)]
+            columns = part.columns[:last]
+            columns[at] = pa.array(texts, part.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:last])
+
+    return out.mapInArrow(rid, schema)

@@ -7,14 +7,17 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Rows handled at a time inside a task; whole texts of this many rows are in memory together.
+# Rows and bytes of texts handled at a time inside a task. A longer text is a slice of its own.
 SLICE_ROWS = 512
+SLICE_BYTES = 4 << 20
 OPENED = ("opened",)
 
 
@@ -55,10 +58,23 @@ class Shared:
         return opened[self.key]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def _bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the strings and binaries of every row."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return total
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most ``rows`` rows and, unless one row alone has more, ``size`` bytes."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        end, at, before = np.cumsum(_bytes(batch)), 0, 0
+        while at < batch.num_rows:
+            to = min(at + rows, max(at + 1, int(np.searchsorted(end, before + size, "right"))))
+            yield batch.slice(at, to - at)
+            at, before = to, to and int(end[to - 1])
 
 
 def map_rows(df: DataFrame, columns: list, schema: str, function: Callable, rows: int = SLICE_ROWS) -> DataFrame:

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe_codec, q_bpe, token_count
+from tidemark.llm.pieces import all_characters
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -60,6 +61,17 @@ def test_tree_equals_whole(text, leaf):
     assert bpe_codec.encode_piece(text.encode(), v, leaf) == bpe_codec.encode_leaf(text.encode(), v)
 
 
+@pytest.mark.parametrize("before, after", [("a", "b"), ("", "'s"), (" ", " "), ("1", "\n"), ("x ", ".")])
+def test_every_character(before, after):
+    """Also those that the libraries' Unicode tables put into different classes."""
+    every = all_characters()
+    for at in range(0, len(every), 1 << 14):
+        text = " ".join(before + c + after for c in every[at : at + (1 << 14)])
+        want = ids(text)
+        assert CODEC.encode(text).tolist() == want
+        assert COUNTER.count(text) == len(want)
+
+
 def test_queries_against_library(spark, sf):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     want = {i: ids(t) for i, t in docs.items()}

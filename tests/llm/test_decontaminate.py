@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,6 +63,21 @@ def test_edges_in_one_part_and_many(spark, part_chars):
     assert d.contamination(docs.where("false"), bench).count() == 0
 
 
+def test_items_without_id(spark, tmp_path):
+    """Their windows count as hits; only items with an id are listed and counted."""
+    items = [(None, "one two three"), (7, "three four"), (None, None), (8, "one two three")]
+    texts = ["one two three x", "three four", "nothing", "one two three four"]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    columns, rows = spark_rows(entry.queries()["op1_decontaminate"](spark, str(tmp_path)))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert (columns, rows) == duck_rows(con, entry.oracle_sql()["op1_decontaminate"])
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in entry.queries()["op1_decontaminate"](spark, str(tmp_path)).collect()}
+    assert got == {0: (3, 1), 1: (2, 1), 2: (0, 0), 3: (4, 2)}
+
+
 @pytest.mark.parametrize("spans", ["string", "long"])
 def test_cut_in_many_parts_equals_one_part(spark, spans):
     bench = spark.createDataFrame([(1, "a b c d"), (2, "c d e f"), (3, "x z"), (4, "f g"), (5, "u")], "item_id long, text string")

@@ -115,3 +115,18 @@ def test_two_wrapped_articles(n):
     first, second = f"First, {PROSE} " * n, f"Second, {PROSE} " * n
     body = f"{AROUND}<article><div><p>{first}</p><p>{first}</p></div></article><article><div><p>{second}</p></div></article>{AFTER}"
     assert main_text(page(body)) == "\n\n".join(t.strip() for t in (first, first, second))
+
+
+@pytest.mark.parametrize("raw", [
+    "<script>if(a<b){}</script>", "<script><!-- x </script>", "<style>a<b{}</style>", "<textarea>a<b</textarea>", "<title>x<y</title>",
+    "<script>s = '<div'; t = \"<p>no\";</script>", "<script>if (a <b) go();</script>", "<noscript>a<b</noscript>", "<script>x='</div>'</SCRIPT >",
+    "<!-- <script> -->", "<iframe>a<b 'c</iframe>", "<script></script>",
+])
+def test_raw_elements_end_where_they_end(raw):
+    assert main_text(f"<html><head>{raw}</head><body><article><p>{PROSE}</p>{raw}<p>{PROSE} p2</p></article></body></html>") == f"{PROSE}\n\n{PROSE} p2"
+    assert main_text(f"{raw}<article><p>{PROSE}</p></article>") == PROSE
+
+
+def test_links_of_an_article_stay():
+    links = "<ul><li><a href='/1'>Source one</a></li><li><a href='/2'>Source two</a></li></ul>"
+    assert main_text(page(f"{AROUND}<article><p>{PROSE}</p>{links}</article>{AFTER}")) == f"{PROSE}\n\nSource one\n\nSource two"

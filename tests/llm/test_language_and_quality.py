@@ -1,9 +1,12 @@
 """Held-out accuracy, and the forward-backward pass against enumeration."""
 
 import itertools
+import math
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, q_language_id, q_quality, quality_crf
@@ -95,3 +98,122 @@ def test_quality_edges(spark, labelled):
     else:
         assert set(got.values()) == {1.0 if labelled == "one class" else 0.5}
     assert quality_crf.scores(docs.where(F.lit(False)), shared).count() == 0
+
+
+def test_words_seen_once_teach(spark):
+    rows = [(1, "un mot", "fr"), (2, "ein wort", "de"), (3, "one word", "en"), (4, "autre chose", "fr"), (5, "noch etwas", "de")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    shared = Shared(spark, language_id.learn(train))
+    assert {r.doc_id: r.lang_pred for r in language_id.predictions(train, shared).collect()} == {i: lang for i, _, lang in rows}
+
+
+def plain_language(train, text):
+    """(language, posterior) from counts of words and n-grams, one word after the other."""
+    words = {}
+    for t, lang in train:
+        words.setdefault(lang, Counter()).update(regex.findall(r"\p{L}+", (t or "").lower()))
+    langs = sorted(words)
+    units = {0: {lang: words[lang] for lang in langs}}
+    for n in range(1, 6):
+        units[n] = {lang: Counter() for lang in langs}
+        for lang in langs:
+            for word, count in words[lang].items():
+                marked = f"_{word}_"
+                for i in range(len(marked) - n + 1):
+                    if marked[i : i + n] != "_":
+                        units[n][lang][marked[i : i + n]] += count
+    known = {n: set().union(*units[n].values()) for n in units}
+
+    def log(n, unit, lang):
+        return math.log((units[n][lang][unit] + 0.5) / (sum(units[n][lang].values()) + 0.5 * len(known[n])))
+
+    total, found = dict.fromkeys(langs, 0.0), regex.findall(r"\p{L}+", (text or "").lower())
+    for word in found:
+        if word in known[0]:
+            for lang in langs:
+                total[lang] += log(0, word, lang)
+            continue
+        marked = f"_{word}_"
+        for n in range(5, 0, -1):
+            own = [marked[i : i + n] for i in range(len(marked) - n + 1) if marked[i : i + n] in known[n]]
+            if own:
+                for lang in langs:
+                    total[lang] += sum(log(n, g, lang) for g in own) / len(own)
+                break
+    if not found:
+        return "und", 0.0
+    best = max(langs, key=lambda lang: total[lang])
+    return best, 1 / sum(math.exp(total[lang] - total[best]) for lang in langs)
+
+
+def test_language_query_against_plain_counts(spark, tmp_path):
+    """The whole result of the query on a small table against counting without any vectors."""
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    rows = [(r.doc_id, " ".join((r.text or "").split()[:12]), r.lang, r.source) for r in some[:90]]
+    rows += [(9001, None, None, "s"), (9002, "123 ...", "de", "s"), (9003, "", "de", "s"), (None, "einmal wort", "de", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    import zlib
+
+    def held(i):
+        return i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+
+    got = {r.doc_id: r for r in q_language_id.op10_language_id(spark, str(tmp_path)).collect()}
+    # A row without id has no remainder, so it neither teaches nor counts as held out.
+    train = [(t, lang) for i, t, lang, _ in rows if lang is not None and i is not None and not held(i)]
+    assert len(got) == len(rows)
+    for i, text, _, _ in rows:
+        lang, score = plain_language(train, text)
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-3, (i, lang, score, got[i])
+        assert got[i].held_out == (held(i) if i is not None else None)
+
+
+def plain_score(model, text):
+    """Line features by the operator, the rest word for word: forward and backward one line at a time, weighted mean, logistic."""
+    own, sizes = quality_crf.line_features(text)
+    wide = [np.concatenate([own[i], own[max(i - 1, 0)], own[min(i + 1, len(own) - 1)]]) for i in range(len(own))]
+    odds = [(0.0, float(w @ model.weights)) for w in wide]
+    moves, n = model.moves, len(own)
+    forward, backward = [odds[0]], [(0.0, 0.0)]
+    for t in range(1, n):
+        forward.append(tuple(odds[t][b] + np.logaddexp(forward[-1][0] + moves[0, b], forward[-1][1] + moves[1, b]) for b in (0, 1)))
+    for t in range(n - 1, 0, -1):
+        after = backward[0]
+        backward.insert(0, tuple(np.logaddexp(moves[a, 0] + odds[t][0] + after[0], moves[a, 1] + odds[t][1] + after[1]) for a in (0, 1)))
+    good = [1 / (1 + math.exp(f[0] + b[0] - f[1] - b[1])) for f, b in zip(forward, backward)]
+    mean = sum(g * s for g, s in zip(good, sizes.tolist())) / sum(sizes.tolist())
+    return 1 / (1 + math.exp(-(model.scale * mean + model.shift)))
+
+
+def test_quality_query_against_plain_passes(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    model = q_quality.trained(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).value
+    rows = q_quality.op4_quality(spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        want = plain_score(model, docs[r.doc_id])
+        assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.5)
+
+
+def test_long_documents_teach_with_all_lines(spark):
+    """Only the last of 1,000 lines tells good from bad; the model sees it."""
+    rows = [(i, "same words here\n" * 999 + ("fine words" if i % 2 else "!!! ||| !!! |||")) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    model = quality_crf.learn(docs, labels)
+    good, bad = (quality_crf.with_neighbours(quality_crf.line_features(t)[0])[-1] @ model.weights for t in (rows[1][1], rows[0][1]))
+    assert good > bad
+
+
+def test_one_id_of_many_rows_is_drawn_again(spark):
+    rows = [(1, f"good words number {i} here") for i in range(400)] + [(2, "bad bad bad bad bad")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    held, quality_crf.Model = quality_crf.Model, lambda runs, documents: seen.append(documents)
+    try:
+        quality_crf.learn(docs, labels, train_rows=20)
+    finally:
+        quality_crf.Model = held
+    good = sum(label for _, _, label in seen[0])
+    assert 10 < good < 90 and len(seen[0]) - good <= 1

@@ -73,7 +73,7 @@ def test_query_against_library(spark, sf):
 
 def test_edges(spark, tmp_path):
     texts = [None, "", "a word", "<|startoftext|>x <|endoftext|>", "long " * 60_000, "x" * 5000]
-    rows = [(i * 10 - 20, t, 1) for i, t in enumerate(texts)] + [(0, "a word", 1), (None, "no id", 1)]
+    rows = [(i * 10 - 20, t, 1) for i, t in enumerate(texts)] + [(0, "a word", 1), (-(2**63), "least", 1), (None, "no id", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int")
     at = f"file://{tmp_path}/out"
     token_files.write(token_files.tokens(docs.repartition(3), PATH, 2), at, "<u2", block_ids=1000)
@@ -86,3 +86,32 @@ def test_edges(spark, tmp_path):
     nothing = f"file://{tmp_path}/none"
     token_files.write(token_files.tokens(docs.where("false"), PATH, 2), nothing, "<u2")
     assert token_files.read(spark, nothing).count() == 0
+
+
+@pytest.mark.parametrize("before, after", [("", "."), ("b", ", "), ("", ". b,"), ("1", ".")])
+def test_every_letter_and_number(before, after):
+    """Also those that the normalizer takes apart, whose mark joins a stop."""
+    encoder = token_files.Encoder(PATH)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalnum()]
+    texts = [f"{before}{c}{after}" for c in every]
+    for at in range(0, len(texts), 4096):
+        want = [c.ids for c in LIBRARY.encode_batch(texts[at : at + 4096], add_special_tokens=False)]
+        got = [np.frombuffer(ids, encoder.kind).tolist() for ids in encoder.encode(texts[at : at + 4096])]
+        assert got == want
+
+
+def test_one_id_over_many_partitions(spark, tmp_path):
+    """Rows of one id, and of none, lie in several partitions and still in one order."""
+    rows = [(None if i % 3 else 7, f"w{i % 50} x") for i in range(3000)]
+    at = f"file://{tmp_path}/out"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write(token_files.tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), PATH, 2), at, "<u2", block_ids=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in token_files.read(spark, at).collect())
+    assert [r[1] for r in got] == [None] * 2000 + [7] * 1000
+    assert [r[0] for r in got] == np.concatenate([[0], np.cumsum([r[2] for r in got])[:-1]]).tolist()
+    want = sorted((i is not None, np.array([*library_ids(t), 2], "<u4").tobytes()) for i, t in rows)
+    assert sorted((i is not None, ids) for _, i, _, ids in got) == want
+    assert spark.read.parquet(f"{at}/blocks").select("part").distinct().count() > 3

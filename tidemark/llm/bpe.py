@@ -1,9 +1,9 @@
 """Byte-level BPE vocabularies and the split of texts into the pieces that merges do not cross.
 
 ``Vocabulary`` reads a tokenizer file (byte-level BPE with the usual pattern, no normalizer). Texts are first
-cut at the strings of special tokens, then by the pattern. Most of that is looked up: a text falls into words
-at single spaces, and the pieces of a word do not depend on its neighbours unless a space has white space
-on both sides; texts with such places go through the pattern as a whole.
+cut at the strings of special tokens, then by the pattern with the character classes of the library. Most of that
+is looked up: a text falls into words at single spaces, and the pieces of a word do not depend on its neighbours unless
+a space has white space on both sides; texts with such places go through the pattern as a whole.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from __future__ import annotations
 import json
 import re
 
-import regex
-
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+from tidemark.llm.common import per_process
+from tidemark.llm.pieces import Splitter, tokenizers_members
 
 # Words and pieces that a worker process remembers; the rest is computed each time.
 REMEMBERED = 200_000
@@ -49,8 +48,8 @@ class Vocabulary:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
 
-_PIECES = regex.compile(PATTERN)
-_ENTANGLED = re.compile(r" (?<=\s )(?=\s|\Z)")
+def splitter() -> Splitter:
+    return per_process(("splitter", "tokenizers"), lambda: Splitter(tokenizers_members), keep=True)
 
 
 class Words:
@@ -58,7 +57,7 @@ class Words:
 
     def __init__(self, value, total):
         """``total`` turns a list of values into one, e.g. ``sum`` or ``b"".join``."""
-        self.value, self.total = value, total
+        self.value, self.total, self.splitter = value, total, splitter()
         self.by_word: dict[str, object] = {}
         self.by_piece: dict[str, object] = {}
 
@@ -71,15 +70,15 @@ class Words:
         return found
 
     def word(self, word: str):
-        found = self.total([self.piece(p) for p in _PIECES.findall(word)])
+        found = self.total([self.piece(p) for p in self.splitter.of(word)])
         if len(self.by_word) < REMEMBERED and len(word) < 64:
             self.by_word[word] = found
         return found
 
     def text(self, text: str):
         """The total of a text without special tokens."""
-        if _ENTANGLED.search(text):
-            return self.total([self.piece(p) for p in _PIECES.findall(text)])
+        if self.splitter.entangled(text):
+            return self.total([self.piece(p) for p in self.splitter.of(text)])
         first, *rest = text.split(" ")
         get, out = self.by_word.get, []
         if first:

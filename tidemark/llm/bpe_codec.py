@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import _ENTANGLED, _PIECES, Vocabulary, Words
+from tidemark.llm.bpe import Vocabulary, Words, splitter
 from tidemark.llm.common import map_rows, per_process
 from tidemark.plans.stored import stored
 
@@ -143,10 +143,10 @@ def stretches(text: str, size: int, special) -> list[tuple[str, bytes]]:
     for part in special.split(text):
         if special.fullmatch(part):
             out.append(("text", part.encode()))
-        elif _ENTANGLED.search(part) or len(max(part.split(" "), key=len)) > size:
+        elif splitter().entangled(part) or len(max(part.split(" "), key=len)) > size:
             # No safe place near enough: the pieces themselves are the unit.
             held: list[str] = []
-            for piece in _PIECES.findall(part):
+            for piece in splitter().of(part):
                 raw = piece.encode()
                 if len(raw) > size:
                     out += [("piece", p.encode()) for p in held]

@@ -19,21 +19,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_ROWS = 512
 SLICE_BYTES = 4 << 20
 OPENED = ("opened",)
+KEPT = "kept"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def per_process(key: tuple, make: Callable):
+def per_process(key: tuple, make: Callable, keep: bool = False):
     """``make()``, once in a worker process. Workers are reused, so models and word caches outlive a task.
 
-    A worker keeps the state of one operator: what another one left goes first.
+    A worker keeps the state of one operator: what another one left goes first, unless it is small and to ``keep``.
     """
+    key = (KEPT, *key) if keep else key
     store = sys.modules.setdefault("_tidemark_llm_state", types.ModuleType("_tidemark_llm_state")).__dict__
     if key not in store:
-        for other in [k for k in store if isinstance(k, tuple) and OPENED not in (k, key)]:
-            del store[other]
+        if not keep and key != OPENED:
+            for other in [k for k in store if isinstance(k, tuple) and k != OPENED and k[0] != KEPT]:
+                del store[other]
         store[key] = make()
     return store[key]
 
@@ -53,7 +56,7 @@ class Shared:
                 opened.pop(next(iter(opened)))
             opened[self.key] = cloudpickle.loads(self.packed.value)
             store = sys.modules["_tidemark_llm_state"].__dict__
-            for other in [k for k in store if isinstance(k, tuple) and k != OPENED]:
+            for other in [k for k in store if isinstance(k, tuple) and k != OPENED and k[0] != KEPT]:
                 del store[other]
         return opened[self.key]
 

@@ -9,6 +9,8 @@ Null and empty texts have no words and no hits; an item without words has no win
 table are judged each by itself; an empty benchmark hits nothing. Columns other than the id and the text are
 not read and cannot clash.
 
+An item without id is found like any other, but not listed among the items of a document.
+
 The set is broadcast in parts of at most about ``PART_CHARS`` characters of items. A larger benchmark takes
 several passes over the documents, each with its own part, and what a pass found is stored between them.
 """
@@ -60,7 +62,9 @@ class Windows:
                 size = min(n, len(row))
                 found = by_length.setdefault(size, {})
                 for i in range(len(row) - size + 1):
-                    found.setdefault(tuple(row[i : i + size]), set()).add(str(item))
+                    owners = found.setdefault(tuple(row[i : i + size]), set())
+                    if item is not None:
+                        owners.add(str(item))
         self.lengths = []
         for size, found in sorted(by_length.items()):
             known = np.array(list(found), np.int64).reshape(-1, size)

@@ -8,7 +8,7 @@ beside them are set aside for the second. If almost nothing is left then, all su
 to the first, half to the second, less further up. An element's score is its points and a bonus or malus for
 its tag and names, times one minus its link density. The best element is the container, widened to the
 ``article`` or ``main`` around it; siblings that score a fifth of it, and headings and paragraphs of prose
-beside it, are kept with it.
+beside it, are kept with it. Points, bonuses and these limits are those of a widely published readability heuristic.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a blank
 line in page order. Nothing else is dropped or cut. Null and empty pages, and pages without text, give the
@@ -30,7 +30,7 @@ _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)
 _NAME = re.compile(r"[a-zA-Z][a-z]*|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+RAW = frozenset("script style title textarea iframe xmp noembed noframes noscript".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody tfoot thead tr caption ul".split()
@@ -71,9 +71,7 @@ class Page:
         self._text: list[tuple[int, str, bool]] = []
         self._links = 0
         at = 0
-        for m in _TAG.finditer(source):
-            if m.start() < at:
-                continue
+        while m := _TAG.search(source, at):  # from behind a raw element on: what looks like a tag in it may reach beyond its end
             self._add(source[at : m.start()])
             at = m.end()
             name = m["name"]
@@ -264,8 +262,8 @@ def container(page: Page, blocks: list[tuple[int, str, int]], weights: list[floa
                 kept.add(e)
     inside = [False] * len(parent)
     for e in range(len(parent)):
-        # Lists and boxes that are mostly links are menus also inside the container.
-        menu = tag[e] in ("ul", "ol", "div", "section", "table", "dl") and e not in kept and size[e] and linked[e] > 0.5 * size[e]
+        # Unless the container is an article, whose links are its own, lists and boxes that are mostly links are menus.
+        menu = tag[outer] != "article" and tag[e] in ("ul", "ol", "div", "section", "table", "dl") and e not in kept and size[e] and linked[e] > 0.5 * size[e]
         inside[e] = (e in kept or e > 0 and inside[parent[e]]) and not menu
     return [text for owner, text, _ in blocks if inside[owner]], outer
 

@@ -11,8 +11,9 @@ learned. Words none of whose letters are known say nothing; a text of only such
 at 1 / (number of languages). Repeated rows are predicted each by itself; only doc_id and text are read for
 predictions, so other columns cannot clash.
 
-Training takes up to about ``TRAIN_ROWS`` rows of each language, chosen by a hash of doc_id, with their whole
-texts; this is the bound of what is collected and broadcast.
+Training takes up to about ``TRAIN_ROWS`` rows of each language, chosen by a hash of doc_id and text, with all words of
+their whole texts, however rare; this is the bound of what is collected and broadcast. Equal rows are chosen together
+and add to the same counts.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from tidemark.llm.common import Shared, keep_rows, map_rows, per_process
 
 TRAIN_ROWS = 1500
 LONGEST = 5
-LEAST_COUNT = 2
 REMEMBERED = 200_000
 UNDETERMINED = "und"
 _WORD = regex.compile(r"\p{L}+")
@@ -55,7 +55,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         return {"lang": [f[0] for f in flat], "word": [f[1] for f in flat], "n": [f[2] for f in flat]}
 
     counts = map_rows(rows, ["lang", "text"], "lang string, word string, n bigint", run)
-    return counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    return counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -157,7 +157,7 @@ def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     if not sizes:
         return Model([])
     share = F.create_map(*chain(*((F.lit(k), F.lit(min(1.0, train_rows / n))) for k, n in sizes.items())))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(drawn < F.element_at(share, F.col("lang")))
     return Model([tuple(r) for r in word_counts(sample).collect()])
 

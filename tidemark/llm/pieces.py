@@ -72,7 +72,6 @@ def tiktoken_members(name: str) -> str:
 
 def tokenizers_members(name: str) -> str:
     """The characters that the tokenizers library's pattern engine puts into a class."""
-    from tokenizers import Regex, pre_tokenizers
+    from tokenizers import Regex, normalizers
 
-    without = pre_tokenizers.Split(Regex(f"[^{name}]+"), "removed")
-    return "".join(part for part, _ in without.pre_tokenize_str(all_characters()))
+    return normalizers.Replace(Regex(f"[^{name}]+"), "").normalize_str(all_characters())

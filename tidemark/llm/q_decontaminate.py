@@ -38,7 +38,7 @@ place AS (
 hit AS (SELECT p.doc_id, p.i, p.size, win.item_id FROM place p JOIN win ON p.t = win.t AND p.size = win.size),
 n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hit) GROUP BY doc_id),
 its AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS joined
+  SELECT doc_id, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS joined
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id
 )
 SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,

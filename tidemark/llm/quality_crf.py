@@ -6,9 +6,9 @@ probability that a line is good; a document's mean of these, weighted by line le
 calibration to its score.
 
 Labels are per document, so training gives every line its document's label. It takes up to about
-``TRAIN_ROWS`` labelled rows of each class, chosen by a hash of doc_id, and of each up to ``TRAIN_RUNS`` runs of
-``RUN`` consecutive lines spread over the document: this bounds what is collected and broadcast. Scoring reads
-every line of every whole text.
+``TRAIN_ROWS`` labelled rows of each class, chosen by a hash of doc_id and text, each different one once, with all lines
+of their whole texts; in the fit they are chains of up to ``RUN`` lines, in the calibration whole ones. The bound on rows
+bounds what is collected (108 bytes a line). Scoring reads every line of every whole text.
 
 Null and empty texts are one empty line and get its score. With one class of labels only, or none, every score
 is the share of good labels (0.5 without labels). Repeated rows are scored each by itself; only doc_id and text
@@ -27,7 +27,6 @@ from tidemark.llm.common import Shared, keep_rows, map_rows
 
 TRAIN_ROWS = 1500
 RUN = 48
-TRAIN_RUNS = 6
 STEPS = 100
 FEATURES = 9
 
@@ -115,22 +114,22 @@ class Chains:
 class Model:
     """Weights of the field and the calibration; ``constant`` instead if there was nothing to learn."""
 
-    def __init__(self, runs: list[tuple[np.ndarray, int]], documents: list[tuple[np.ndarray, np.ndarray, int]]):
-        """``runs``: (features, label) of runs of lines; ``documents``: (features, sizes, label) of whole chains to calibrate on."""
+    def __init__(self, runs: list[tuple[np.ndarray, int, int]], documents: list[tuple[np.ndarray, np.ndarray, int]]):
+        """``runs``: (features, label, lines of the document) of runs of lines; ``documents``: (features, sizes, label) of whole chains."""
         labels = [label for _, _, label in documents]
         self.constant = None
         if len(set(labels)) < 2:
             self.constant = float(np.mean(labels)) if labels else 0.5
             return
-        x = np.concatenate([f for f, _ in runs]).astype(float)
-        lengths = np.array([len(f) for f, _ in runs])
-        y = np.repeat([label for _, label in runs], lengths).astype(float)
-        # Every run weighs the same in the line term, and so do both classes.
-        weight = 1 / np.repeat(lengths, lengths)
+        x = np.concatenate([f for f, _, _ in runs]).astype(float)
+        lengths = np.array([len(f) for f, _, _ in runs])
+        y = np.repeat([label for _, label, _ in runs], lengths).astype(float)
+        # Every document weighs the same in the line term, and so do both classes.
+        weight = 1 / np.repeat([n for _, _, n in runs], lengths)
         weight = weight / np.where(y > 0, weight[y > 0].sum(), weight[y == 0].sum()) * len(y) / 2
         chains = Chains(lengths)
         seen = np.zeros((2, 2))
-        for f, label in runs:
+        for f, label, _ in runs:
             seen[label, label] += len(f) - 1
         self.weights, self.moves = np.zeros(x.shape[1]), np.zeros((2, 2))
         size, packed = len(y), np.zeros(x.shape[1] + 4)
@@ -176,23 +175,22 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     # A sampled list of ids, of bounded length, goes to the documents; a document with both labels counts twice.
     chosen = F.broadcast(labels.where(drawn < share).groupBy("doc_id", "quality").agg(F.lit(1)).select("doc_id", "quality"))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id")
+    # An id may stand for many rows: these are drawn again where they are more than twice the bound.
+    held = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    again = F.when(F.col("quality") == 1, 2 * train_rows / held.get(1, 1)).otherwise(2 * train_rows / held.get(0, 1))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.where(drawn < again).dropDuplicates(["doc_id", "quality", "text"])
 
     def run(part):
-        runs, weights = [], []
-        for text in part["text"]:
-            own, sizes = line_features(text)
-            step = max(RUN, -(-len(own) // TRAIN_RUNS))
-            wide = with_neighbours(own)
-            runs.append([wide[i : i + RUN].ravel().tolist() for i in range(0, len(own), step)])
-            weights.append([sizes[i : i + RUN].tolist() for i in range(0, len(own), step)])
-        return {"quality": part["quality"], "runs": runs, "sizes": weights}
-
-    found = map_rows(rows, ["quality", "text"], "quality int, runs array<array<float>>, sizes array<array<float>>", run).collect()
+        features = [line_features(t) for t in part["text"]]
+        return {"quality": part["quality"], "own": [f.tobytes() for f, _ in features], "sizes": [s.tobytes() for _, s in features]}
+
+    found = map_rows(rows, ["quality", "text"], "quality int, own binary, sizes binary", run).collect()
     runs, documents = [], []
-    for r in found:
-        own = [np.array(x, np.float32).reshape(-1, 3 * FEATURES) for x in r.runs]
-        runs += [(x, r.quality) for x in own]
-        documents.append((np.concatenate(own), np.concatenate([np.array(s, np.float32) for s in r.sizes]), r.quality))
+    for r in sorted(found):
+        wide = with_neighbours(np.frombuffer(r.own, np.float32).reshape(-1, FEATURES))
+        runs += [(wide[i : i + RUN], r.quality, len(wide)) for i in range(0, len(wide), RUN)]
+        documents.append((wide, np.frombuffer(r.sizes, np.float32), r.quality))
     return Model(runs, documents)
 
 

@@ -7,11 +7,13 @@ number of ids before them in the partition. The container is Parquet (a binary c
 so that Spark's writers commit the files and a lost task leaves nothing half written.
 
 Null counts as the empty text, which has the end id alone. Rows that repeat a doc_id stand side by side, ordered
-by their ids' hash. A null doc_id comes first and is kept in the format as the smallest 64-bit number. An empty table gives no blocks. Other columns are not read.
+by their ids' hash. Null doc_ids come first; a block says how many of its documents have none. An empty table gives no
+blocks. doc_id is a whole number of 64 bits; other columns are not read.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from itertools import chain
@@ -24,28 +26,39 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.common import Shared, map_rows, per_process, slices
+from tidemark.llm.pieces import _ranges, all_characters, tokenizers_members
 from tidemark.llm.rans import Block, Table, encode_block
 from tidemark.plans.stored import stored
 from tidemark.session import fresh_path
 
 BLOCK_IDS = 1 << 18
-NO_ID = -(1 << 63)
-REMEMBERED = 500_000
+# Bytes of words and their ids that a worker process remembers, about.
+REMEMBERED = 64 << 20
 
 
-# A single stop or comma after a letter is a piece of its own, so it can stand apart.
-_MARK = re.compile(r"(?<=[^\W\d_])([.,])(?= |\Z)")
+def _mark(library: Tokenizer) -> re.Pattern:
+    """A single stop or comma after a letter, where it is a piece of its own and can stand apart.
+
+    That is so unless the normalizer turns the letter into more than a letter, whose mark would join the stop.
+    """
+    letters = [c for c in tokenizers_members(r"\p{L}") if not c.isspace()]
+    became = library.normalizer.normalize_str(" ".join(letters)).split(" ")
+    known = set(letters)
+    return re.compile(f"(?<=[{_ranges([c for c, n in zip(letters, became, strict=True) if n in known])}])([.,])(?= |\\Z)")
 
 
 class Encoder:
     """Texts to ids by the library, word by word."""
 
     def __init__(self, path: str, end_id: int = 0):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         self.library = Tokenizer.from_file(path)
+        self.mark = _mark(self.library)
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = id_kind(path, end_id)
         self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def _each(self, texts: list[str]) -> dict[str, bytes]:
         codes = self.library.encode_batch(texts, add_special_tokens=False)
@@ -63,18 +76,17 @@ class Encoder:
 
     def encode(self, texts: list) -> list[bytes]:
         """Packed ids of every text."""
-        split = [_MARK.sub(r" \1", (t or "").replace("\n", " ")).split(" ") for t in texts]
+        split = [self.mark.sub(r" \1", (t or "").replace("\n", " ")).split(" ") for t in texts]
         known = self.known
         new = set(chain.from_iterable(split)).difference(known)
         letters = [c for c in new if c.isalpha()]
         own = self._runs_of_letters(letters) if letters else {}
         own.update(self._each(list(new.difference(letters))))
-        full = len(known) > REMEMBERED
         known.update(own)
         packed = [b"".join(map(known.__getitem__, parts)) for parts in split]
-        for chunk in own:
-            if full or len(chunk) > 64:
-                del known[chunk]
+        self.held += sum(190 + len(w) + len(ids) for w, ids in own.items())
+        if self.held > REMEMBERED:  # the words of the texts to come fill it again
+            self.known, self.held = {"": b""}, 0
         return packed
 
 
@@ -124,25 +136,29 @@ def write(rows: DataFrame, at: str, kind: str, block_ids: int = BLOCK_IDS) -> No
     def run(batches):
         table = per_process((shared.key, "table"), lambda: Table.of(*zip(*shared.value[0], strict=True)))
         part = TaskContext.get().partitionId()
-        held, size, start, block = [], 0, 0, 0
+        held, size, start, block, nulls = [], 0, 0, 0, 0
 
         def row():
             data = encode_block(held, table, start)
-            columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([size], pa.int64()), pa.array([data], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["part", "block", "n_ids", "data"])
+            columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([size], pa.int64())]
+            columns += [pa.array([nulls], pa.int64()), pa.array([data], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "block", "n_ids", "nulls", "data"])
 
         for batch in slices(batches, 256):
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((NO_ID if doc_id is None else doc_id, np.frombuffer(ids, kind)))
+                nulls += doc_id is None
+                held.append((doc_id or 0, np.frombuffer(ids, kind)))
                 size += len(held[-1][1])
                 if size >= block_ids:
                     yield row()
-                    held, size, start, block = [], 0, start + size, block + 1
+                    held, size, start, block, nulls = [], 0, start + size, block + 1, 0
         if held:
             yield row()
 
-    ordered = rows.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
-    blocks = ordered.mapInArrow(run, "part int, block int, n_ids bigint, data binary")
+    # The hash and a row number also part the rows of one id.
+    keys = ["doc_id", F.xxhash64("ids"), "row"]
+    ordered = rows.select("doc_id", "ids", F.monotonically_increasing_id().alias("row")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    blocks = ordered.select("doc_id", "ids").mapInArrow(run, "part int, block int, n_ids bigint, nulls bigint, data binary")
     blocks.write.option("compression", "none").parquet(f"{at}/blocks")
 
 
@@ -160,20 +176,20 @@ def read(spark: SparkSession, at: str) -> DataFrame:
 
     def run(rows):
         out = {"doc_id": [], "start": [], "n_tokens": [], "ids": []}
-        for part, data in zip(rows["part"], rows["data"], strict=True):
+        for part, nulls, data in zip(rows["part"], rows["nulls"], rows["data"], strict=True):
             entries, base = shared.value
             table = per_process((shared.key, "table"), lambda: Table.of(*zip(*entries, strict=True)))
             block = Block(data)
             ids = block.ids(table).astype("<u4")
             ends = np.cumsum(block.lengths.astype(np.int64))
             starts = ends - block.lengths
-            out["doc_id"] += [None if i == NO_ID else i for i in block.doc_ids.tolist()]
+            out["doc_id"] += [None] * nulls + block.doc_ids[nulls:].tolist()
             out["start"] += (starts + base[part] + block.start).tolist()
             out["n_tokens"] += block.lengths.tolist()
             out["ids"] += [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
         return out
 
-    return map_rows(blocks, ["part", "data"], "doc_id bigint, start bigint, n_tokens bigint, ids binary", run, 1)
+    return map_rows(blocks, ["part", "nulls", "data"], "doc_id bigint, start bigint, n_tokens bigint, ids binary", run, 1)
 
 
 def written(docs: DataFrame, path: str, end_id: int) -> str:

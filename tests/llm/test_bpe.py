@@ -61,7 +61,7 @@ def test_tree_equals_whole(text, leaf):
     assert bpe_codec.encode_piece(text.encode(), v, leaf) == bpe_codec.encode_leaf(text.encode(), v)
 
 
-@pytest.mark.parametrize("before, after", [("a", "b"), ("", "'s"), (" ", " "), ("1", "\n"), ("x ", ".")])
+@pytest.mark.parametrize("before, after", [("a", "'s"), (" ", "\n1")])
 def test_every_character(before, after):
     """Also those that the libraries' Unicode tables put into different classes."""
     every = all_characters()

@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
+
 from tidemark.llm.common import per_process
 from tidemark.llm.pieces import Splitter, tokenizers_members
 
@@ -48,6 +50,25 @@ class Vocabulary:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
 
+class Strings:
+    """A byte string for every id, and their concatenation over arrays of ids."""
+
+    def __init__(self, strings: dict[int, bytes]):
+        size = max(strings) + 1
+        each = [strings.get(i, b"") for i in range(size)]
+        self.flat = np.frombuffer(b"".join(each), np.uint8)
+        self.length = np.array([len(s) for s in each], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
+
+    def over(self, ids: np.ndarray) -> bytes:
+        length = self.length[ids]
+        end = np.cumsum(length)
+        if not len(end):
+            return b""
+        place = np.arange(end[-1]) + np.repeat(self.start[ids] - end + length, length)
+        return self.flat[place].tobytes()
+
+
 def splitter() -> Splitter:
     return per_process(("splitter", "tokenizers"), lambda: Splitter(tokenizers_members), keep=True)
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Vocabulary, Words, splitter
+from tidemark.llm.bpe import Strings, Vocabulary, Words, splitter
 from tidemark.llm.common import map_rows, per_process
 from tidemark.plans.stored import stored
 
@@ -92,32 +92,13 @@ def joined(parts: list[list[int]], vocabulary: Vocabulary) -> list[int]:
     return parts[0] if parts else []
 
 
-class _Strings:
-    """A byte string for every id, and their concatenation over arrays of ids."""
-
-    def __init__(self, strings: dict[int, bytes]):
-        size = max(strings) + 1
-        each = [strings.get(i, b"") for i in range(size)]
-        self.flat = np.frombuffer(b"".join(each), np.uint8)
-        self.length = np.array([len(s) for s in each], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-
-    def over(self, ids: np.ndarray) -> bytes:
-        length = self.length[ids]
-        end = np.cumsum(length)
-        if not len(end):
-            return b""
-        place = np.arange(end[-1]) + np.repeat(self.start[ids] - end + length, length)
-        return self.flat[place].tobytes()
-
-
 class Codec:
     def __init__(self, path: str, leaf: int = LEAF):
         self.vocabulary = v = Vocabulary(path)
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in v.special.items()}
         self.words = Words(lambda piece: np.array(encode_piece(piece, v, leaf), "<u4").tobytes(), b"".join)
-        self.tokens = _Strings(v.bytes_of)
-        self.decimals = _Strings({i: b"%d," % i for i in v.bytes_of})
+        self.tokens = Strings(v.bytes_of)
+        self.decimals = Strings({i: b"%d," % i for i in v.bytes_of})
 
     def encode(self, text: str | None) -> np.ndarray:
         parts = self.vocabulary.cut_special.split(text) if text else []

@@ -45,11 +45,17 @@ class Splitter:
         odd = sorted(c for c in here.keys() | there.keys() if here.get(c) != there.get(c))
         self.instead = {ord(c): there.get(c, OTHER) for c in odd}
         self.odd = re.compile(f"[{_ranges(odd)}]") if odd else None
+        letters = set(members(r"\p{L}"))
+        doubtful = [c for c in all_characters() if c.isalpha() != (c in letters)]
+        self.doubtful = re.compile(f"[{_ranges(doubtful)}]") if doubtful else None
         spaces = _ranges(sorted(c for c in {**here, **there} if CLASSES[r"\s"] in (here.get(c), there.get(c))))
         # Unless there is a space with white space before it and white space or the end behind it, every piece that
         # holds a space begins with it, and texts fall into words at single spaces.
         self.entangled = re.compile(f" (?<=[{spaces}] )(?=[{spaces}]|\\Z)").search
 
+    def letters_only(self, word: str) -> bool:
+        return word.isalpha() and (word.isascii() or self.doubtful is None or not self.doubtful.search(word))
+
     def of(self, text: str) -> list[str]:
         """The pieces of a text, in order; together they are the text."""
         if text.isascii() or self.odd is None or not self.odd.search(text):

@@ -16,20 +16,22 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
 
+from tidemark.llm.bpe import Strings
 from tidemark.llm.common import map_rows, per_process
 from tidemark.llm.pieces import Splitter, tiktoken_members
 
 WIDTHS = (4, 8, 16, 32, 64)
 WIDEST = WIDTHS[-1]
-# Leaves of trees that are merged together, and bytes of words and pieces that a worker process remembers.
+# Leaves of trees that are merged together, and bytes of words, and of pieces, that a worker process remembers; as many from before.
 TOGETHER = 1 << 18
-REMEMBERED = 48 << 20
+REMEMBERED = 64 << 20
+LONGEST = 64
 NONE = np.int32(2**31 - 1)
+_WIDTH = [next(w for w in WIDTHS if w >= n) for n in range(WIDEST + 1)]
 
 
 class Ranks:
@@ -163,78 +165,107 @@ def merged(piece: bytes, ranks: Ranks) -> np.ndarray:
     return found[found >= 0].astype("<u4")
 
 
-class _Remembered(dict):
-    """Ids by word or piece; forgets all when it has grown too large."""
+class _Remembered:
+    """Ids by word or piece, of up to ``LONGEST`` characters; forgets what was not used since it was last full."""
 
-    held = 0
+    def __init__(self):
+        self.ids: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.held = 0
 
     def make_room(self) -> None:
         if self.held > REMEMBERED:
-            self.clear()
-            self.held = 0
+            self.before, self.ids, self.held = self.ids, {}, 0
 
-    def put(self, new: dict) -> None:
-        self.update(new)
-        self.held += sum(200 + len(k) + len(v) for k, v in new.items())
+    def recalled(self, new: set[str]) -> dict[str, bytes]:
+        """What was known before, and is again."""
+        found = {k: ids for k in new if (ids := self.before.get(k)) is not None} if self.before else {}
+        self.put(found)
+        return found
+
+    def put(self, new: dict[str, bytes]) -> None:
+        new = {k: v for k, v in new.items() if len(k) <= LONGEST}
+        self.ids.update(new)
+        self.held += 200 * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
 
 
 class SegmentCodec:
     def __init__(self, path: str):
         self.ranks, self.splitter = Ranks(path), Splitter(tiktoken_members)
-        self.pieces = _Remembered()
-        # A word after a space is remembered without it, the first one of a text as a tuple.
-        self.words = _Remembered()
-        self.decimal = [b"%d" % i for i in range(len(self.ranks.token))]
-
-    def _encode_pieces(self, pieces: Iterable[str]) -> None:
-        """Remember the ids of pieces that are not known yet."""
-        new, by_width = {}, {w: [] for w in WIDTHS}
-        for piece in set(pieces).difference(self.pieces):
+        self.words, self.pieces = _Remembered(), _Remembered()  # words are remembered without the space before them
+        self.tokens = Strings(dict(enumerate(self.ranks.token)))
+        self.decimals = Strings({i: b"%d " % i for i in range(len(self.ranks.token))})
+
+    def _encoded(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces, short ones of a width together."""
+        out, by_width = {}, {w: [] for w in WIDTHS}
+        get = self.ranks.id_of.get
+        for piece in pieces:
             raw = piece.encode()
-            whole = self.ranks.id_of.get(raw)
+            whole = get(raw)
             if whole is not None:
-                new[piece] = whole.to_bytes(4, "little")
+                out[piece] = whole.to_bytes(4, "little")
             elif len(raw) > WIDEST:
-                new[piece] = merged(raw, self.ranks).tobytes()
+                out[piece] = merged(raw, self.ranks).tobytes()
             else:
-                by_width[next(w for w in WIDTHS if w >= len(raw))].append((piece, raw))
+                by_width[_WIDTH[len(raw)]].append((piece, raw))
         for width, own in by_width.items():
             for at in range(0, len(own), TOGETHER // width):
                 part = own[at : at + TOGETHER // width]
                 ids, count = merged_rows([raw for _, raw in part], width, self.ranks)
                 packed, ends = ids.tobytes(), (4 * np.cumsum(count)).tolist()
-                new |= {piece: packed[a:b] for (piece, _), a, b in zip(part, [0, *ends], ends)}
-        self.pieces.put(new)
+                out |= {piece: packed[a:b] for (piece, _), a, b in zip(part, [0, *ends], ends)}
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         self.pieces.make_room()
         self.words.make_room()
-        plans = []
+        of, jobs = self.splitter.of, []
         for text in texts:
+            head, parts, known = [], [], self.words
             if text and self.splitter.entangled(text):
-                plans.append((self.pieces, self.splitter.of(text)))
+                parts, known = of(text), self.pieces
             elif text:
-                first, *words = text.split(" ")
-                plans.append((self.words, [(first,), *words] if first else words))
-            else:
-                plans.append((self.words, []))
-        new = set()
-        for known, parts in plans:
-            if known is self.words:
-                new |= set(parts).difference(known)
-        cut = {w: self.splitter.of(w[0] if type(w) is tuple else " " + w) for w in new}
-        self._encode_pieces([p for known, parts in plans if known is self.pieces for p in parts] + [p for pieces in cut.values() for p in pieces])
-        ids_of = self.pieces.__getitem__
-        self.words.put({w: ids_of(pieces[0]) if len(pieces) == 1 else b"".join(map(ids_of, pieces)) for w, pieces in cut.items()})
-        return [b"".join(map(known.__getitem__, parts)) for known, parts in plans]
+                first, *parts = text.split(" ")
+                head = of(first) if first else []
+            found = list(map(known.ids.get, parts))
+            jobs.append((head, parts, known, found, [i for i, ids in enumerate(found) if ids is None]))
+        new = {parts[i] for _, parts, known, _, open_ in jobs if known is self.words for i in open_}
+        recalled = self.words.recalled(new)
+        new.difference_update(recalled)
+        whole = {w for w in new if self.splitter.letters_only(w)}
+        cut = {w: of(" " + w) for w in new - whole}
+        pieces = {p for own in cut.values() for p in own}
+        for head, parts, known, _, open_ in jobs:
+            pieces.update(head)
+            if known is self.pieces:
+                pieces.update([parts[i] for i in open_])
+        new = {p for p in pieces if p not in self.pieces.ids}
+        fresh = self.pieces.recalled(new)
+        new.difference_update(fresh)
+        encoded = self._encoded(new)
+        self.pieces.put(encoded)
+        fresh |= encoded
+        ids_of = self._encoded({" " + w for w in whole})
+        fresh |= {p: self.pieces.ids[p] for p in pieces if p not in fresh}
+        own = {w: ids_of[" " + w] for w in whole} | {w: b"".join([fresh[p] for p in parts]) for w, parts in cut.items()}
+        self.words.put(own)
+        own |= recalled
+        out = []
+        for head, parts, known, found, open_ in jobs:
+            source = own if known is self.words else fresh
+            for i in open_:
+                found[i] = source[parts[i]]
+            out.append(b"".join([fresh[p] for p in head] + found))
+        return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.ranks.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.tokens.over(np.frombuffer(ids, "<u4"))
 
     def written(self, ids: bytes) -> bytes:
         """Decimal ids joined by one space."""
-        return b" ".join(map(self.decimal.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decimals.over(np.frombuffer(ids, "<u4"))[:-1]
 
 
 def segment_codec(path: str) -> SegmentCodec:

@@ -25,7 +25,7 @@ def found(spark, nums, rev=7):
 
 
 def written(path):
-    parts = sorted(path.glob("part-*.gz"))
+    parts = sorted(path.rglob("part-*.gz"))
     return "".join(gzip.decompress(p.read_bytes()).decode() for p in parts).split("\n")[:-1]
 
 

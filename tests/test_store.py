@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from test_merge import COMMANDS, replay
 from tidemark.operators import quality
+from tidemark.operators.export import write_volumes
 from tidemark.sources.store import EntityStore
 
 ENTITY = "entity_type STRING, entity_num BIGINT, revision BIGINT, data STRING"
@@ -164,3 +165,47 @@ def test_types_new_to_the_store(spark, tmp_path):
     store.apply(spark.createDataFrame([(1, "Lexeme", 7, "U", 1, "l7"), (2, "Property", 1, "D", 1, None)], COMMANDS))
     assert [r.data for r in store.read(types=["Lexeme"]).collect()] == ["l7"]
     assert {v.entity_type for v in check(store)} == {"Item", "Lexeme", "Property"}
+
+
+def test_one_body_shuffle_per_rewrite(spark, tmp_path, monkeypatch):
+    """Stored rows and commands meet in one exchange; the merge and the sorted write use its partitions."""
+    store = EntityStore(spark, str(tmp_path), max_volume_bytes=200)
+    store.load(entities(spark, range(1, 60)))
+    plans = []
+    held_ = EntityStore._write
+
+    def write(self, laid, version):
+        rows = laid.sortWithinPartitions("entity_type", "volume_id", "piece", "entity_num")
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return held_(self, laid, version)
+
+    monkeypatch.setattr(EntityStore, "_write", write)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store.apply(commands(spark, [(n, "U", 6, "x") for n in range(1, 60, 7)] + [(2, "D", 9, None)]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchange = [line for line in plans[0].splitlines() if "shufflepartitionidpassthrough" in line]
+    assert len(exchange) == 1  # of the union of stored rows and changes
+    above = plans[0][: plans[0].index("shufflepartitionidpassthrough")]
+    assert above.count("Exchange") == 1 and above.count("Sort [") == 1 and "Window" in above
+    assert 2 not in held(store) and held(store)[8] == (6, "x")
+
+
+def test_dump_reads_volumes_as_they_are(spark, tmp_path):
+    store = EntityStore(spark, str(tmp_path / "store"), max_volume_bytes=100)
+    store.load(entities(spark, range(1, 100)))
+    store.apply(commands(spark, [(n, "U", 6, "grown " * 30) for n in range(60, 69)] + [(101, "U", 1, "last"), (7, "U", 9, "")]))
+    tables, pieces = store.volume_lines("Item")
+    assert pieces == store.manifest().where("path is not null").count() > 3
+    whole, outgrown = (t._jdf.queryExecution().executedPlan().toString() for t in tables)
+    assert "Exchange" not in whole and "Sort" not in whole
+    assert outgrown.count("Exchange") == 1
+    single = store.manifest().where("files = 1").count()
+    assert tables[0].rdd.getNumPartitions() == single
+    for bounds in ((None, None), (5, 22)):
+        out = tmp_path / f"out-{bounds[0]}"
+        write_volumes(store.volume_lines("Item", *bounds)[0], str(out), "none")
+        lines = [line for p in sorted(out.rglob("part-*.txt")) for line in p.read_text().split("\n")[:-1]]
+        rows = store.read(lo=bounds[0], hi=bounds[1]).where("data != ''").orderBy("entity_num").collect()
+        assert lines == [r.data for r in rows] and len(lines) > 10

@@ -10,11 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.position import decode_position, position_ts_ms
 from tidemark.operators.bootstrap import bootstrap_end, id_spine, reconcile, resume_from
-from tidemark.operators.export import export
+from tidemark.operators.export import export, write_volumes
 from tidemark.operators.metrics import start_position as start_position_of
-from tidemark.operators.volumes import MAX_VOLUME_BYTES, initialized_up_to
+from tidemark.operators.volumes import initialized_up_to
 from tidemark.plans.local import local_table
 from tidemark.schemas import entity_type_by_export_name
+from tidemark.sources.content import ContentTable
 from tidemark.sources.feed import ALL_TYPES
 from tidemark.sources.store import EntityStore
 from tidemark.streaming.apply import resume_feed, run_stream
@@ -65,7 +66,7 @@ def stored_up_to(store: EntityStore) -> DataFrame:
 def follow(
     store: EntityStore,
     feed: DataFrame,
-    content: DataFrame,
+    content: DataFrame | ContentTable,
     wiki: str,
     stream_id: str,
     checkpoint: str,
@@ -83,9 +84,17 @@ def dump(
     lo: int | None = None,
     hi: int | None = None,
     compression: str = "gzip",
-    piece_bytes: int = MAX_VOLUME_BYTES,
+    piece_bytes: int | None = None,
     version: int | None = None,
 ) -> int:
-    """Write the sorted dump of a type, or of a range of its ids, from one version of the store."""
+    """Write the sorted dump of a type, or of a range of its ids, from one version of the store; returns the pieces.
+
+    Stored volumes go out as they are, a folder ``piece=<volume>`` for each; path order is id order. With
+    ``piece_bytes`` they are cut anew by raw bytes, into files below ``out`` itself.
+    """
     ty = entity_type_by_export_name(export_name).name
+    if piece_bytes is None:
+        tables, pieces = store.volume_lines(ty, lo, hi, version)
+        write_volumes(tables or [local_table(store.spark, [], "value STRING, piece STRING")], out, compression)
+        return pieces
     return export(store.read([ty], lo, hi, version), export_name, out, lo, hi, compression, piece_bytes)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.reduce import highest_revision
 from tidemark.schemas import KEY, entity_type
 
 # Fixed value: ids beyond the latest known one that a first load still covers.
@@ -28,9 +29,8 @@ def resume_from(dump: DataFrame, lo: int) -> DataFrame:
 
 
 def one_per_entity(entities: DataFrame) -> DataFrame:
-    """Repeated entities reduced to the highest revision (of equal ones the greatest body), inside the map tasks first."""
-    best = F.max(F.struct("revision", "data")).alias("best")
-    return entities.groupBy(*KEY).agg(best).select(*KEY, "best.revision", "best.data")
+    """Repeated entities reduced to the highest revision, of equal ones the greatest body."""
+    return highest_revision(entities.select(*KEY, "revision", "data"), KEY)
 
 
 def missing_ids(spine: DataFrame, dump: DataFrame) -> DataFrame:

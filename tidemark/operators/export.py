@@ -38,6 +38,15 @@ def export_lines(
     return number_rows(chosen.select("entity_num", "revision", "data"), "entity_num", out="position")
 
 
+def write_volumes(tables: list[DataFrame], out: str, compression: str = "gzip") -> None:
+    """Write lines (value, piece) of stored volumes below ``out``, a folder for each piece; path order is id order."""
+    if compression not in COMPRESSIONS:
+        raise ValueError(f"unknown compression: {compression}")
+    for i, lines in enumerate(tables):
+        writer = lines.write.mode("append" if i else "errorifexists").option("compression", compression)
+        writer.partitionBy("piece").text(out)
+
+
 def export(
     entities: DataFrame,
     export_name: str,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.fold import OUTCOMES, fold_latest, fold_sequence, outcome_counts
@@ -69,6 +69,34 @@ def merge(
     return kept.unionByName(applied)
 
 
+def changes_of(folded: DataFrame, commands: DataFrame) -> DataFrame:
+    """One row per entity that has commands: (key, threshold, revision, data), the last two null where it ends up deleted.
+
+    ``folded`` comes from ``summarize``. Bodies are fetched for the winning commands alone, by entity and seq, so
+    that an entity with many commands is spread.
+    """
+    won = commands.select(*KEY, F.col("seq").alias("out_seq"), "revision", "data")
+    picked = folded.select(*KEY, "threshold", "out_seq").join(won, [*KEY, "out_seq"], "left")
+    return picked.select(*KEY, "threshold", "revision", "data", F.col("out_seq").isNotNull().alias("lives"))
+
+
+def merged_in_place(laid: DataFrame, place: Sequence[str]) -> DataFrame:
+    """The entities after the changes, for rows of both that already lie together.
+
+    ``laid`` has stored rows (``threshold`` and ``lives`` null) and rows of ``changes_of``; all rows of an entity are in one
+    partition, which ``place`` (columns) says. At most two rows of an entity meet in its window.
+    """
+    together = Window.partitionBy(*place, *[k for k in KEY if k not in place])
+    is_change = F.col("lives").isNotNull()
+    rows = laid.withColumns({
+        "_threshold": F.max("threshold").over(together),
+        "_stored": F.max(F.when(~is_change, F.col("revision"))).over(together),
+    })
+    stays = ~is_change & (F.col("_threshold").isNull() | (F.col("revision") > F.col("_threshold")))
+    comes = F.col("lives") & (F.col("_stored").isNull() | (F.col("_stored") <= F.col("_threshold")))
+    return rows.where(F.coalesce(F.when(is_change, comes).otherwise(stays), F.lit(False))).drop("_threshold", "_stored", "threshold", "lives")
+
+
 def merge_outcomes(
     commands: DataFrame, state: DataFrame | None = None, by: Sequence[str] = ("entity_type",)
 ) -> DataFrame:

@@ -6,19 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.payload import stub_document
+from tidemark.plans.reduce import highest_revision
 from tidemark.schemas import KEY
+from tidemark.sources.content import ContentTable
 
 
-def one_per_request(content: DataFrame) -> DataFrame:
-    """Content that was landed more than once, reduced to the highest found revision per asked revision."""
-    best = F.max(F.struct("revision", "data")).alias("best")
-    grouped = content.groupBy(*KEY, "requested_revision").agg(best)
-    return grouped.select(*KEY, "requested_revision", "best.revision", "best.data")
+def one_per_request(content: DataFrame, landed: DataFrame | None = None) -> DataFrame:
+    """Content that was landed more than once, reduced to the highest found revision per asked revision.
+
+    ``landed`` are the rows that ``content`` was parsed from; with it, what repeats is found without a parse.
+    """
+    rows = content.select(*KEY, "requested_revision", "revision", "data")
+    return highest_revision(rows, [*KEY, "requested_revision"], landed)
 
 
-def asked_by(changes: DataFrame, content: DataFrame) -> DataFrame:
-    """The content rows, parsed or not, that the changes ask for: prune first, parse the rest."""
+def asked_by(changes: DataFrame, content: DataFrame | ContentTable) -> DataFrame:
+    """The content rows, parsed or not, that the changes ask for: prune first, parse the rest.
+
+    Of a ``ContentTable`` only the blocks that the changes fall into are listed and read.
+    """
     asked = changes.where(F.col("kind") != "log").select(*KEY, F.col("revision").alias("requested_revision")).distinct()
+    if isinstance(content, ContentTable):
+        return content.asked(asked)
     return content.join(asked, [*KEY, "requested_revision"], "left_semi")
 
 

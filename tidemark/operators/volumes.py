@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,17 +64,25 @@ def volume_sizes(entities: DataFrame) -> DataFrame:
     return entities.select("entity_type", "entity_num", raw_size(F.col("data")).alias("raw_bytes"))
 
 
-def route(rows: DataFrame, volumes: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+class RouteFacts(NamedTuple):
+    """What routing knows of a volume table: its size once spread over blocks, and the open volumes, one per type."""
+
+    size: int | None
+    open: Sequence[tuple[str, int]]
+
+
+def route(
+    rows: DataFrame, volumes: DataFrame, broadcast_rows: int = BROADCAST_ROWS, facts: RouteFacts | None = None
+) -> DataFrame:
     """Add the volume_id that is responsible for each row's entity.
 
     An id in no closed range belongs to the open volume. Ranges are looked up by block of ids, an
-    equi-join, so the cost per row does not grow with the number of volumes.
+    equi-join, so the cost per row does not grow with the number of volumes. Who has the table at hand gives ``facts``.
     """
     first_block = F.shiftright("lo", ROUTE_BITS)
     last_block = F.shiftright(F.coalesce("hi", "lo"), ROUTE_BITS)
     is_open = F.col("hi").isNull()
-    # Two facts about the table itself: its size once spread over blocks, and the open volumes (one per type).
-    facts = volumes.agg(
+    facts = facts or volumes.agg(
         F.sum(last_block - first_block + 1).alias("size"),
         F.collect_list(F.when(is_open, F.struct("entity_type", "volume_id"))).alias("open"),
     ).first()

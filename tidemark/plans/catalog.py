@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import jobs
@@ -28,6 +28,7 @@ from tidemark.session import fresh_path
 from tidemark.sources import content as content_source
 from tidemark.sources import feed as feed_source
 from tidemark.sources import snapshot
+from tidemark.sources.content import ContentTable
 from tidemark.sources.quarantine import accepted, rejected
 from tidemark.sources.store import EntityStore
 from tidemark.streaming import apply as streaming_apply
@@ -521,7 +522,7 @@ def store_load(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def store_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return _loaded_store(spark, sf, ORDER_VOLUME_BYTES).manifest().drop("path", "entity_type")
+    return _loaded_store(spark, sf, ORDER_VOLUME_BYTES).manifest().drop("path", "entity_type", "files")
 
 
 def store_progress(spark: SparkSession, sf: str) -> DataFrame:
@@ -580,6 +581,87 @@ def job_follow_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return bad.groupBy("source", "reason").agg(F.count("*").alias("records"))
 
 
+def _deliveries(spark: SparkSession, store: EntityStore, at: str, feed: DataFrame, content: ContentTable) -> None:
+    """A feed in three deliveries, each with some of what the one before had again, and a restart in between."""
+    last = feed.agg(F.max("seq")).first()[0] + 1
+    cut = [0, last // 3, 2 * last // 3, last]
+    for lo, hi in zip(cut, cut[1:]):
+        part = feed.where((F.col("seq") >= lo - (hi - lo) // 3) & (F.col("seq") < hi))
+        part.select(F.lit(None).cast("bigint").alias("seq"), "event_id_json", "data").write.mode("append").json(f"{at}/feed")
+        streaming_apply.run_stream(
+            store, feed_source.read_feed_stream(spark, f"{at}/feed"), content, roles.WIKI, "feed", f"{at}/checkpoint",
+            trigger={"availableNow": True},
+        ).awaitTermination()
+
+
+def job_follow_unnumbered(spark: SparkSession, sf: str) -> DataFrame:
+    """A feed landed without numbers in three deliveries that overlap, against a content table laid out by block."""
+    store = _first_load(spark, sf)
+    content = ContentTable(spark, f"{store.root}/content", bits=8)
+    content.land(roles.content(spark, sf))
+    _deliveries(spark, store, store.root, roles.feed(spark, sf), content)
+    return store.read().select("entity_type", "entity_num", "revision", "data")
+
+
+def job_follow_corrupt(spark: SparkSession, sf: str) -> DataFrame:
+    """What a followed feed with broken lines keeps of them: every 50th record is cut off in the middle of its line."""
+    at = fresh_path(spark, "corrupt")
+    lines = roles.feed(spark, sf).select("seq", F.to_json(F.struct("seq", "event_id_json", "data")).alias("value"))
+    broken = F.when(F.col("seq") % 50 == 0, F.concat(F.lit('{"seq":'), F.col("seq").cast("string"), F.lit(',"data'))).otherwise(F.col("value"))
+    lines.select(broken.alias("value")).write.text(f"{at}/feed")
+    store = EntityStore(spark, f"{at}/store")
+    jobs.follow(
+        store, feed_source.read_feed_stream(spark, f"{at}/feed"), stored(roles.content(spark, sf), "landed"), roles.WIKI, "feed",
+        f"{at}/checkpoint", trigger={"availableNow": True},
+    ).awaitTermination()
+    bad = spark.read.parquet(f"{store.root}/batches/feed/*/quarantine").where(F.col("reason") == "bad_record")
+    return bad.select("source", "raw", "reason")
+
+
+def replay_after_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """A feed applied to the end, then older records of what it left deleted once more: that stays deleted."""
+    store = EntityStore(spark, fresh_path(spark, "replay"), overlap_ms=1 << 50)
+    commands = roles.commands(spark, sf).withColumns({"data": F.col("seq").cast("string"), "event_ts_ms": F.col("seq")}).drop("value")
+    commands = stored(commands, "commands")
+    store.apply(commands, stream_id="feed", batch_id=0)
+    last = commands.agg(F.max("seq")).first()[0]
+    older = commands.join(store.read(), ["entity_type", "entity_num"], "left_anti").where(F.col("seq") <= last // 2)
+    store.apply(stored(older, "older"), stream_id="feed", batch_id=1)
+    return store.read().select("entity_num", "revision", "data")
+
+
+def store_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """A dump of stored volumes, after changes, read back in the order of its files."""
+    store = _loaded_store(spark, sf, ORDER_VOLUME_BYTES)
+    commands = roles.commands(spark, sf).withColumns(
+        {"entity_num": F.col("entity_num") * 101, "revision": F.col("revision") * 200, "data": F.col("seq").cast("string")}
+    )
+    store.apply(stored(commands.drop("value"), "commands"))
+    at = fresh_path(spark, "dump")
+    jobs.dump(store, "items", at)
+    return _lines_in_file_order(spark, at)
+
+
+def _lines_in_file_order(spark: SparkSession, at: str) -> DataFrame:
+    """(position, line) of a dump: files in path order, lines as they stand in each (every file is one partition)."""
+    path = F.input_file_name()
+    rows = spark.read.text(at, wholetext=False).select("value", path.alias("file"), F.monotonically_increasing_id().alias("at"))
+    rows = stored(rows, "dump-lines")
+    sizes = rows.groupBy("file").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("file", (before - F.col("first")).alias("shift"))
+    return rows.join(F.broadcast(offsets), "file").select((F.col("at") + F.col("shift")).alias("position"), F.col("value").alias("line"))
+
+
+def job_resume_load(spark: SparkSession, sf: str) -> DataFrame:
+    """A first load up to the middle of the ids, taken up again from there with newer content."""
+    store = _first_load(spark, sf)
+    half = store.read().agg(F.max("entity_num")).first()[0] // 2
+    newer = _documents_found(spark, sf).withColumn("data", F.concat("data", F.lit(" ")))
+    jobs.first_load(store, "Item", 2 * half, feed_source.feed_head(roles.feed(spark, sf)).first()["event_id_json"], stored(newer, "newer"), lo=half)
+    return store.read().select("entity_num", "revision", "data")
+
+
 def store_progress_of_streams(spark: SparkSession, sf: str) -> DataFrame:
     """Progress after a load of one type and a followed feed of all: loaded or not, where, and the guards."""
     store = _followed(spark, sf)
@@ -704,6 +786,11 @@ QUERIES: dict[str, Query] = {
         job_first_load,
         job_follow,
         job_follow_quarantine,
+        job_follow_unnumbered,
+        job_follow_corrupt,
+        job_resume_load,
+        replay_after_delete,
+        store_dump,
         stream_merge,
         stream_dedupe,
         stream_rate,

@@ -19,6 +19,9 @@ cmd AS (
     row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
   FROM events)"""
 
+# The same with its seq as the body.
+SEQ_COMMANDS = COMMANDS.replace("value AS body", "CAST(event_id AS VARCHAR) AS body")
+
 CUSTOMER_STATE = """
 stored AS (SELECT 'Item' AS entity_type, c_custkey AS entity_num, CAST(50 AS BIGINT) AS rev, c_acctbal AS body
            FROM customer)"""
@@ -402,6 +405,25 @@ ORACLES: dict[str, str] = {
         FROM ev
         WHERE value > 300 OR (event_type <> 'click' AND (event_id % 97 = 0 OR value < 0.5 OR (kind <> 'log' AND k = 13)))
         GROUP BY ALL""",
+    "job_follow_unnumbered": f"""WITH RECURSIVE {EVENT}, {CHANGES}, {CONTENT}, {RESOLVED}, {RESOLVED_COMMANDS}, {FIRST_LOAD}, {FOLD}
+        SELECT entity_type, entity_num, rev AS revision, body AS data FROM ended""",
+    "job_follow_corrupt": """SELECT 'feed' AS source, '{"seq":' || event_id || ',"data' AS raw, 'bad_record' AS reason
+        FROM events WHERE event_id % 50 = 0""",
+    "job_resume_load": f"""WITH {EVENT}, {CONTENT}, {FIRST_LOAD}, h AS (SELECT max(entity_num) // 2 AS half FROM stored)
+        SELECT entity_num, rev AS revision, body AS data FROM stored, h WHERE entity_num < half
+        UNION ALL
+        SELECT entity_num, b[1], b[2] || ' ' FROM best, h WHERE entity_num BETWEEN half AND 2 * half + 100""",
+    "replay_after_delete": f"""WITH RECURSIVE {SEQ_COMMANDS}, {NO_STATE}, {FOLD} SELECT entity_num, rev AS revision, body AS data FROM ended""",
+    "store_dump": f"""WITH RECURSIVE
+        stored AS (SELECT 'Item' AS entity_type, entity_num, revision AS rev, data AS body FROM ({reconcile_sql("true")})),
+        cmd AS (
+          SELECT 'Item' AS entity_type, user_id * 101 AS entity_num, event_id AS seq,
+            CAST(json_extract_string(props, '$.k') AS BIGINT) * 200 AS rev,
+            CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op, CAST(event_id AS VARCHAR) AS body,
+            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+          FROM events),
+        {FOLD}
+        SELECT row_number() OVER (ORDER BY entity_num) - 1 AS position, body AS line FROM ended""",
     "stream_merge": f"""WITH RECURSIVE {EVENT}, {CHANGES}, {CONTENT}, {RESOLVED}, {RESOLVED_COMMANDS},
         stored AS (
           SELECT 'Item' AS entity_type, c_custkey AS entity_num, CAST(10 AS BIGINT) AS rev,

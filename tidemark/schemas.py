@@ -36,12 +36,16 @@ FEED_RAW_SCHEMA = "seq BIGINT, event_id_json STRING, data STRING"
 POSITION_SCHEMA = "array<struct<topic:string,partition:int,timestamp:bigint,offset:bigint>>"
 MANIFEST_SCHEMA = (
     "entity_type STRING, volume_id INT, lo BIGINT, hi BIGINT, rows BIGINT, raw_bytes BIGINT, "
-    "last_num BIGINT, path STRING"
+    "last_num BIGINT, path STRING, files INT"
 )
 PROGRESS_SCHEMA = (
     f"entity_type STRING, last_event_id {POSITION_SCHEMA}, last_event_ts_ms BIGINT, initialized BOOLEAN"
 )
-STREAMS_SCHEMA = "stream_id STRING, batch_id BIGINT"
+STREAMS_SCHEMA = "stream_id STRING, batch_id BIGINT, last_seq BIGINT"
+COMMAND_SCHEMA = (
+    "seq BIGINT, event_ts_ms BIGINT, entity_type STRING, entity_num BIGINT, op STRING, revision BIGINT, data STRING, reason STRING"
+)
+SETTLED_SCHEMA = "entity_type STRING, entity_num BIGINT, revision BIGINT, settled_ts_ms BIGINT"
 
 
 def entity_type(name: str) -> EntityType:

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.position import START_REWIND_MS
-from tidemark.operators.metrics import last_position
 from tidemark.operators.resolve import asked_by, one_per_request, resolve
-from tidemark.plans.local import local_table
-from tidemark.schemas import POSITION_SCHEMA
-from tidemark.sources.content import extract_content
-from tidemark.sources.feed import ALL_TYPES, decode_feed, feed_from
+from tidemark.schemas import COMMAND_SCHEMA
+from tidemark.sources.content import ContentTable, extract_content
+from tidemark.sources.feed import ALL_TYPES, decode_feed, feed_from, one_delivery, renumbered, with_identity
 from tidemark.sources.quarantine import accepted, rejected, write_quarantine
 from tidemark.sources.store import EntityStore
 
@@ -22,7 +20,7 @@ from tidemark.sources.store import EntityStore
 def apply_batch(
     store: EntityStore,
     feed: DataFrame,
-    content: DataFrame,
+    content: DataFrame | ContentTable,
     wiki: str,
     stream_id: str,
     batch_id: int,
@@ -30,48 +28,61 @@ def apply_batch(
 ) -> int | None:
     """Apply one batch of feed records; a batch that is already published is skipped.
 
-    A record delivered more than once counts once. ``content`` is the landed table (with ``body``) or a parsed
-    one; the rows the batch asks for are picked first, and only they are parsed. Every followed type moves
-    on to the batch's last position, also one that had no change. Changes and commands are written below the
-    store first: the following steps read them several times, and a lost executor then costs no second decode
-    or join. They go once the batch is published; rejected rows stay.
+    A record delivered more than once counts once, by its position and payload. Records need no ``seq``: where one has
+    none, those of the batch are numbered by position, on from the highest number the stream has used. ``content`` is a
+    ``ContentTable``, of which only the batch's blocks are read, or a landed table (with ``body``) or a parsed one; the rows the
+    batch asks for are picked first, and only they are parsed. Every followed type moves on to the batch's last position,
+    also one that had no change. Changes and commands are written below the store first: the following steps read them
+    several times, and a lost executor then costs no second decode or join. They go once the batch is published; rejected
+    rows stay.
     """
     if store.applied(stream_id, batch_id):
         return None
     spark = store.spark
     at = f"{store.root}/batches/{stream_id}/{batch_id}"
-    once = decode_feed(feed, wiki, types).dropDuplicates(["seq"])
-    once.write.mode("overwrite").parquet(f"{at}/changes")
-    decoded = spark.read.parquet(f"{at}/changes")
+    decoded = decode_feed(with_identity(feed), wiki, types, keep=("identity",))
+    # Only rejected rows keep their text, so that what is reduced and written is narrow.
+    narrow = decoded.withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw")))
+    one_delivery(narrow).write.mode("overwrite").parquet(f"{at}/changes")
+    decoded = spark.read.schema(narrow.schema).parquet(f"{at}/changes")
     changes = accepted(decoded)
+    facts = decoded.agg(
+        *[F.count_if(F.col("reason").isNull() & c).alias(name) for name, c in (("records", F.lit(True)), ("unnumbered", F.col("seq").isNull()))],
+        F.max(F.when(F.col("reason").isNull(), F.col("seq"))).alias("last_seq"),
+        F.max_by(F.when(F.col("reason").isNull(), F.col("event_id")), F.when(F.col("reason").isNull(), F.col("event_ts_ms"))).alias("event_id"),
+        F.max(F.when(F.col("reason").isNull(), F.col("event_ts_ms"))).alias("event_ts_ms"),
+    ).first()
+    last_seq = facts.last_seq
+    if facts.unnumbered:
+        above = store.last_seq(stream_id)
+        changes, last_seq = renumbered(changes, above), above + facts.records
     wanted = asked_by(changes, content)
     if "body" in content.columns:
-        wanted = accepted(extract_content(wanted))
-    resolve(changes, one_per_request(wanted)).write.mode("overwrite").parquet(f"{at}/commands")
-    commands = spark.read.parquet(f"{at}/commands")
+        wanted = one_per_request(accepted(extract_content(wanted)), wanted)
+    else:
+        wanted = one_per_request(wanted)
+    resolve(changes, wanted).write.mode("overwrite").parquet(f"{at}/commands")
+    commands = spark.read.schema(COMMAND_SCHEMA).parquet(f"{at}/commands")
     write_quarantine(rejected(decoded, "feed"), f"{at}/quarantine")
-    version = store.apply(commands, batch_position(store, changes, types), stream_id, batch_id)
+    version = store.apply(commands, batch_positions(store, facts, types), stream_id, batch_id, last_seq=last_seq)
     for used in ("changes", "commands"):
         store.forget(f"batches/{stream_id}/{batch_id}/{used}")
     return version
 
 
-def batch_position(store: EntityStore, changes: DataFrame, types: Sequence[str]) -> DataFrame:
+def batch_positions(store: EntityStore, last: Row, types: Sequence[str]) -> list[tuple]:
     """The batch's last position for every followed type, unless the stored one is later."""
-    last = last_position(changes.withColumn("entity_type", F.lit("any"))).first()
-    stored = {row.entity_type: row for row in store.progress().collect()}
-    rows = []
-    for ty in types:
-        held = stored.get(ty)
-        if last is not None and (held is None or held.last_event_ts_ms is None or held.last_event_ts_ms < last.last_event_ts_ms):
-            rows.append((ty, last.last_event_id, last.last_event_ts_ms))
-    return local_table(store.spark, rows, f"entity_type STRING, last_event_id {POSITION_SCHEMA}, last_event_ts_ms BIGINT")
+    stored = store.positions()
+    if last.event_ts_ms is None:
+        return []
+    later = [ty for ty in types if stored.get(ty) is None or stored[ty] < last.event_ts_ms]
+    return [(ty, last.event_id, last.event_ts_ms) for ty in later]
 
 
 def run_stream(
     store: EntityStore,
     feed: DataFrame,
-    content: DataFrame,
+    content: DataFrame | ContentTable,
     wiki: str,
     stream_id: str,
     checkpoint: str,
@@ -105,8 +116,7 @@ def resume_feed(
     The earliest position of the followed types counts.
 
     Records of the overlap were applied before. The revision rule skips the ones that are older than the
-    stored entity; a deleted entity keeps no revision, so an overlap can bring one back until its delete
-    is replayed as well.
+    stored entity; of an entity deleted since, the store remembers up to where it is settled.
     """
-    at = store.progress().where(F.col("entity_type").isin(list(types))).agg(F.min("last_event_ts_ms")).first()[0]
-    return feed if at is None else feed_from(feed, at, rewind_ms)
+    reached = [ts for ty, ts in store.positions().items() if ty in types and ts is not None]
+    return feed_from(feed, min(reached), rewind_ms) if reached else feed

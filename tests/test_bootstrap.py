@@ -104,3 +104,14 @@ def test_several_types_at_once(spark):
     got = accepted(parse_entities(df, ("Item", "Property", "Lexeme")))
     assert sorted((r.entity_type, r.entity_num) for r in got.collect()) == [("Item", 0), ("Lexeme", 2), ("Property", 1)]
     assert accepted(parse_entities(df, ("Property",))).select(F.col("entity_num")).first()[0] == 1
+
+
+def test_no_body_is_sorted_where_nothing_repeats(spark):
+    """Repeats are counted on the keys; the plan sorts bodies only behind a join with what repeats."""
+    rows = [("Item", n, rev, f"{n} {rev}") for n in range(50) for rev in ((1, 2, 2) if n % 10 == 0 else (1,))]
+    df = spark.createDataFrame(rows, "entity_type STRING, entity_num BIGINT, revision BIGINT, data STRING")
+    once = bootstrap.one_per_entity(df)
+    assert sorted(tuple(r) for r in once.collect()) == [("Item", n, 2 if n % 10 == 0 else 1, f"{n} {2 if n % 10 == 0 else 1}") for n in range(50)]
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert bootstrap.one_per_entity(df.limit(0)).count() == 0

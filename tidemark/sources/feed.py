@@ -100,18 +100,22 @@ def decode_feed(feed: DataFrame, wiki: str, types: Sequence[str] = ALL_TYPES, ke
     """
     feed = feed if CORRUPT in feed.columns else feed.withColumn(CORRUPT, F.lit(None).cast("string"))
     read = evaluated_once(feed, payloads=parsed_objects(F.col("data"), PAYLOAD_FIELDS))
-    read = read.withColumn("p", only_object(F.col("payloads")))
-    typed = read.withColumn("entity_type", type_of_namespace(F.col("p.namespace")))
-    unreadable = F.col("p.wiki").isNull() | F.col("p.namespace").isNull()
-    ours = (F.col("p.wiki") == wiki) & F.col("entity_type").isin(list(types))
+    p = only_object(F.col("payloads"))
+    # Flat columns from here on: the optimizer loses fields of structs that it prunes across these boundaries.
+    read = evaluated_once(
+        read, wiki=p["wiki"], namespace=p["namespace"], kind=p["type"], title=p["title"], comment=p["comment"], revision=p["revision"]["new"]
+    )
+    typed = read.withColumn("entity_type", type_of_namespace(F.col("namespace")))
+    unreadable = F.col("wiki").isNull() | F.col("namespace").isNull()
+    ours = (F.col("wiki") == wiki) & F.col("entity_type").isin(list(types))
     kept = typed.where(F.col(CORRUPT).isNotNull() | unreadable | ours).select(
-        "seq", "event_id_json", "data", "p", "entity_type", unreadable.alias("unreadable"), CORRUPT, *keep
+        "seq", "event_id_json", "data", "kind", "title", "comment", "revision", "entity_type", unreadable.alias("unreadable"), CORRUPT, *keep
     )
     parsed = evaluated_once(kept, event_id=decode_position(F.col("event_id_json")))
     located = evaluated_once(
         parsed,
         event_ts_ms=position_ts_ms(F.col("event_id")),
-        entity_num=parse_title(F.col("entity_type"), F.col("p.title")),
+        entity_num=parse_title(F.col("entity_type"), F.col("title")),
     )
     changes = located.select(
         "seq",
@@ -119,9 +123,9 @@ def decode_feed(feed: DataFrame, wiki: str, types: Sequence[str] = ALL_TYPES, ke
         "event_ts_ms",
         "entity_type",
         "entity_num",
-        F.col("p.type").alias("kind"),
-        F.col("p.revision.new").alias("revision"),
-        is_redirect(F.col("p.comment")).alias("is_redirect"),
+        "kind",
+        "revision",
+        is_redirect(F.col("comment")).alias("is_redirect"),
         F.coalesce(CORRUPT, "data", F.to_json(F.struct("seq", "event_id_json"))).alias("raw"),
         "unreadable",
         CORRUPT,

@@ -28,8 +28,7 @@ def test_reordered(spark, keys):
 
 
 @pytest.mark.parametrize("size", [0, 3, 40])
-def test_late_rows_over_block_boundaries(spark, size, monkeypatch):
-    monkeypatch.setattr(ordering, "RANK_BITS", 4)
+def test_late_rows_over_block_boundaries(spark, size):
     rng = random.Random(size)
     keys = [i // 2 + rng.randrange(30) for i in range(500)]
     seen, late = None, 0
@@ -40,14 +39,13 @@ def test_late_rows_over_block_boundaries(spark, size, monkeypatch):
     assert ordering.late_rows(rows, "k", "arrival", [size]).first().late_rows == late
 
 
-@pytest.mark.parametrize("bits", [4, 11])
-def test_greater_before_and_smallest_buffer(spark, monkeypatch, bits):
-    monkeypatch.setattr(ordering, "RANK_BITS", bits)
+@pytest.mark.parametrize("bits", [2, 6])
+def test_greater_before_and_smallest_buffer(spark, bits):
     rng = random.Random(11)
     keys = [rng.randrange(100) for _ in range(200)]
     exact = [sum(k > keys[i] for k in keys[:i]) for i in range(len(keys))]
     rows = spark.createDataFrame(list(enumerate(keys)), "arrival BIGINT, k BIGINT")
-    got = ordering.greater_before(rows, "k", "arrival", cap=10).orderBy("arrival_rank").collect()
+    got = ordering.greater_before(rows, "k", "arrival", cap=10, bits=bits).orderBy("arrival_rank").collect()
     assert [r.greater_before for r in got] == [min(c, 11) for c in exact]
     assert ordering.smallest_buffer(rows, "k", "arrival") == max(exact)
 
@@ -80,3 +78,11 @@ def test_number_rows(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("pos"))
     got = number_rows(df, "pos", bits=3).collect()
     assert all(r.row_index == r.pos for r in got)
+
+
+def test_one_row_very_late(spark):
+    """One row behind all others: counted by the same work as any other."""
+    rows = spark.range(100_001).select(F.col("id").alias("arrival"), F.when(F.col("id") == 100_000, -1).otherwise(F.col("id")).alias("k"))
+    assert ordering.smallest_buffer(rows, "k", "arrival") == 100_000
+    assert ordering.late_rows(rows, "k", "arrival", [30, 200_000]).orderBy("buffer_size").collect()[0].late_rows == 1
+    assert ordering.smallest_buffer(rows.limit(0), "k", "arrival") == 0

@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.position import earlier_position, position_ts_ms
-from tidemark.plans.prefix import number_rows, running_before
+from tidemark.plans.local import local_table
+from tidemark.plans.prefix import number_rows
+from tidemark.plans.stored import stored
 
 # Fixed value: the lag is looked at once per this many records.
 LAG_SAMPLE = 10
 
+# Parts of a range counted at a time when a value is looked up by its rank; this many counts at most reach the driver.
+BINS = 1 << 14
+
 
 def _volume_of_feed() -> list[Column]:
     return [
@@ -75,20 +80,35 @@ def lag_samples(feed: DataFrame, as_of_ms: int | Column, every: int = LAG_SAMPLE
 
 
 def feed_lag(feed: DataFrame, as_of_ms: int | Column, every: int = LAG_SAMPLE) -> DataFrame:
-    """Summary of the sampled lag. The median is exact: rows per lag, and a running count over the lags."""
-    lags = lag_samples(feed, as_of_ms, every).groupBy("lag_ms").agg(F.count("*").alias("n"))
-    samples = lags.agg(F.sum("n")).first()[0] or 0
-    counted = running_before(lags, {"before": (F.col("n"), "sum")}, "lag_ms")
-    # The smallest lag that at least half of the samples do not exceed.
-    half = (F.col("before") + F.col("n")) * 2 >= samples
-    return counted.agg(
-        F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("samples"),
-        F.min("lag_ms").alias("min_lag_ms"),
-        F.min(F.when(half, F.col("lag_ms"))).alias("median_lag_ms"),
-        F.max("lag_ms").alias("max_lag_ms"),
+    """Summary of the sampled lag. The median is exact: the smallest lag that at least half of the samples do not exceed."""
+    lags = stored(lag_samples(feed, as_of_ms, every).select("lag_ms"), "lags")
+    whole = lags.agg(F.count("*").alias("n"), F.min("lag_ms").alias("lo"), F.max("lag_ms").alias("hi")).first()
+    median = ranked_value(lags, "lag_ms", (whole.n + 1) // 2, whole.lo, whole.hi) if whole.n else None
+    return local_table(
+        feed.sparkSession, [(whole.n, whole.lo, median, whole.hi)],
+        "samples BIGINT, min_lag_ms BIGINT, median_lag_ms BIGINT, max_lag_ms BIGINT",
     )
 
 
+def ranked_value(rows: DataFrame, column: str, rank: int, lo: int, hi: int) -> int:
+    """The ``rank``-th smallest (from 1) of whole numbers between ``lo`` and ``hi``, by narrowing.
+
+    Each round counts the rows of at most ``BINS`` equal parts of the range and goes on in the part that has the rank; a range of
+    40 bits takes three rounds of one hash aggregate.
+    """
+    while lo < hi:
+        width = -(-(hi - lo + 1) // BINS)
+        part = F.expr(f"({column} - {lo}) div {width}").alias("part")
+        counts = rows.where(F.col(column).between(lo, hi)).groupBy(part).agg(F.count("*").alias("n")).collect()
+        for part, n in sorted(counts):
+            if n >= rank:
+                break
+            rank -= n
+        lo = lo + part * width
+        hi = min(hi, lo + width - 1)
+    return lo
+
+
 def received_updates(commands: DataFrame) -> DataFrame:
     """How many commands arrived, per entity type."""
     return commands.groupBy("entity_type").agg(F.count("*").alias("updates_received"))

@@ -6,15 +6,12 @@ first, so holes and ties in the arrival columns do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import type_order
-from tidemark.plans.carry import exclusive_carry
 from tidemark.plans.prefix import number_rows, running_before
 from tidemark.plans.stored import stored
 
@@ -22,10 +19,8 @@ from tidemark.plans.stored import stored
 FEED_BUFFER = 30
 DUMP_BUFFER = 200
 
-# Rows per block of arrival ranks, as a power of two.
-RANK_BITS = 11
-# Rows compared with each other at a time inside a block.
-STEP = 64
+# Bits of the place in order that are looked at together.
+DIGIT_BITS = 5
 
 
 def total_order(entities: DataFrame) -> DataFrame:
@@ -51,34 +46,6 @@ def disorder_profile(df: DataFrame, key: str, arrival: str, ties: Sequence[str]
     )
 
 
-def _ranked(df: DataFrame, arrival: str, ties: Sequence[str]) -> DataFrame:
-    """The rows with their arrival rank, written once: every later step starts from the ranks."""
-    ranked = stored(number_rows(df, arrival, ties, out="arrival_rank"), "ranked")
-    return ranked.withColumn("_block", F.shiftright("arrival_rank", RANK_BITS))
-
-
-def _largest(values: Column, n: int) -> Column:
-    """The n largest (key, -arrival rank) pairs: among equal keys, the earliest arrivals."""
-    return F.slice(F.sort_array(values, asc=False), 1, n)
-
-
-_PAIRS = "array<struct<key:bigint,back:bigint>>"
-
-
-def _largest_before(ranked: DataFrame, key: str, n: int) -> DataFrame:
-    """Per block of arrivals, the n largest pairs that arrived before the block."""
-    pair = F.struct(F.col(key).alias("key"), (-F.col("arrival_rank")).alias("back"))
-    chunks = ranked.groupBy(F.col("_block").alias("chunk")).agg(_largest(F.collect_list(pair), n).alias("v"))
-    carry = exclusive_carry(
-        chunks, [], lambda a, b: _largest(F.concat(a, b), n), F.array().cast(_PAIRS), _PAIRS
-    )
-    return carry.select(
-        F.col("chunk").alias("_block"),
-        F.transform("carry", lambda p: p["key"]).alias("keys"),
-        F.transform("carry", lambda p: p["back"]).alias("backs"),
-    )
-
-
 def reordered(df: DataFrame, key: str, arrival: str, ties: Sequence[str] = ()) -> DataFrame:
     """The rows with ``arrival_rank`` and ``emit_index``, their places in order of arrival and of key.
 
@@ -90,46 +57,37 @@ def reordered(df: DataFrame, key: str, arrival: str, ties: Sequence[str] = ()) -
 
 
 def greater_before(
-    df: DataFrame, key: str, arrival: str, ties: Sequence[str] = (), cap: int = FEED_BUFFER
+    df: DataFrame, key: str, arrival: str, ties: Sequence[str] = (), cap: int | None = None, bits: int = DIGIT_BITS
 ) -> DataFrame:
-    """Per row, how many earlier arrivals have a greater key, counted up to ``cap`` + 1.
+    """Per row (``arrival_rank``), how many earlier arrivals have a greater key; with ``cap`` counted up to ``cap`` + 1.
+
+    A buffer of n rows emits a row late exactly when this count exceeds n.
 
-    A buffer of n rows emits a row late exactly when this count exceeds n, for any n up to ``cap``.
+    Counted over the digits of the place in order of key: of two rows out of order the places first differ in one
+    digit, where the earlier row's is greater. So for every digit, running totals over the arrivals that share the
+    digits before it say how many greater ones came earlier. The work is the same however late a row is.
     """
-    return _greater_before(_ranked(df.select(*{key, arrival, *ties}), arrival, ties), key, cap)
-
-
-def _greater_before(ranked: DataFrame, key: str, cap: int) -> DataFrame:
-    rows = ranked.select("_block", "arrival_rank", F.col(key).alias("key"))
-    before = _largest_before(ranked, key, cap + 1)
-
-    def run_block(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("arrival_rank")
-        keys = rows["key"].to_numpy()
-        greater = np.empty(len(keys), dtype=np.int64)
-        # Only the cap + 1 largest keys seen so far can matter, so that is all that is carried along.
-        seen = np.sort(np.asarray(before["keys"].iloc[0], dtype=np.int64))
-        for start in range(0, len(keys), STEP):
-            step = keys[start : start + STEP]
-            within = np.tril(step[None, :] > step[:, None], -1).sum(axis=1)
-            greater[start : start + STEP] = within + len(seen) - np.searchsorted(seen, step, side="right")
-            seen = np.sort(np.concatenate([seen, step]))[-(cap + 1) :]
-        return pd.DataFrame(
-            {"arrival_rank": rows["arrival_rank"], "greater_before": np.minimum(greater, cap + 1)}
-        )
-
-    return (
-        rows.groupBy("_block")
-        .cogroup(before.groupBy("_block"))
-        .applyInPandas(run_block, "arrival_rank bigint, greater_before bigint")
-    )
+    places = reordered(df.select(*{key, arrival, *ties}), key, arrival, ties).select("arrival_rank", "emit_index")
+    places = stored(places, "places")
+    last = places.agg(F.max("emit_index")).first()[0] or 0
+    counts = places.select("arrival_rank", F.lit(0).cast("bigint").alias("n"))
+    size = 1 << bits
+    for level in range(-(-last.bit_length() // bits)):
+        digit = F.shiftright("emit_index", bits * level).bitwiseAND(size - 1).cast("int")
+        rows = places.select("arrival_rank", F.shiftright("emit_index", bits * (level + 1)).alias("_same"), digit.alias("_digit"))
+        above = {f"_over{d}": ((F.col("_digit") > d).cast("bigint"), "sum") for d in range(size - 1)}
+        seen = running_before(rows, above, "arrival_rank", partition=["_same"])
+        totals = F.array(*[F.col(name) for name in above], F.lit(0).cast("bigint"))
+        counts = counts.unionByName(seen.select("arrival_rank", F.element_at(totals, F.col("_digit") + 1).alias("n")))
+    greater = F.sum("n") if cap is None else F.least(F.sum("n"), F.lit(cap + 1).cast("bigint"))
+    return counts.groupBy("arrival_rank").agg(greater.alias("greater_before"))
 
 
 def late_rows(
     df: DataFrame, key: str, arrival: str, sizes: Sequence[int], ties: Sequence[str] = ()
 ) -> DataFrame:
     """How many rows a reorder buffer of each size would emit out of order."""
-    counted = greater_before(df, key, arrival, ties, max(sizes))
+    counted = greater_before(df, key, arrival, ties)
     one_row = counted.agg(
         *[F.count_if(F.col("greater_before") > n).alias(str(n)) for n in dict.fromkeys(sizes)]
     )
@@ -139,17 +97,6 @@ def late_rows(
     return one_row.select(F.inline(pairs))
 
 
-def _doubling(start: int) -> Iterator[int]:
-    while True:
-        yield start
-        start *= 2
-
-
 def smallest_buffer(df: DataFrame, key: str, arrival: str, ties: Sequence[str] = ()) -> int:
-    """Smallest buffer size that emits no row late. Runs one job per doubling of the answer."""
-    ranked = _ranked(df.select(*{key, arrival, *ties}), arrival, ties)
-    for cap in _doubling(FEED_BUFFER):
-        need = _greater_before(ranked, key, cap).agg(F.max("greater_before")).first()[0]
-        if need is None or need <= cap:
-            return int(need or 0)
-    raise AssertionError("unreachable")
+    """Smallest buffer size that emits no row late."""
+    return int(greater_before(df, key, arrival, ties).agg(F.max("greater_before")).first()[0] or 0)

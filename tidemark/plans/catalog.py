@@ -389,9 +389,9 @@ def smallest_buffer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reorder_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """Arrivals put in order; no row is behind by more than the buffer, so none is late."""
+    """Arrivals put in order."""
     rows = ordering.reordered(roles.arrivals(spark, sf), "event_id", "arrival", ["event_id"])
-    return rows.select("event_id", "arrival_rank", "emit_index", F.lit(False).alias("late"))
+    return rows.select("event_id", "arrival_rank", "emit_index")
 
 
 # --- metrics ----------------------------------------------------------------------------------------------

@@ -317,7 +317,7 @@ ORACLES: dict[str, str] = {
         FROM inv, (VALUES (5), (30)) s(n) GROUP BY 1""",
     "smallest_buffer": f"WITH {ARRIVAL} SELECT max(c) AS smallest_buffer FROM inv",
     "reorder_feed": """SELECT event_id, row_number() OVER (ORDER BY event_id + (event_id * 7919) % 31, event_id) - 1
-            AS arrival_rank, row_number() OVER (ORDER BY event_id) - 1 AS emit_index, false AS late FROM events""",
+            AS arrival_rank, row_number() OVER (ORDER BY event_id) - 1 AS emit_index FROM events""",
     "feed_rate": f"""WITH {EVENT}, {TYPED_FEED}
         SELECT event_ts_ms // 86400000 * 86400000 AS period_start_ms, entity_type, count(*) AS events,
           CAST(sum(sz) AS BIGINT) AS bytes, count(*) / 86400.0::DOUBLE AS events_per_sec FROM tf GROUP BY 1, 2""",

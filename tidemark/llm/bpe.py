@@ -16,7 +16,7 @@ import numpy as np
 from tidemark.llm.common import per_process
 from tidemark.llm.pieces import Splitter, tokenizers_members
 
-# Words and pieces that a worker process remembers; the rest is computed each time.
+# Words that a worker process remembers, and as many that it knew before these.
 REMEMBERED = 200_000
 
 
@@ -74,26 +74,31 @@ def splitter() -> Splitter:
 
 
 class Words:
-    """``value(piece bytes)`` summed up over the words of texts, remembered by word and by piece."""
+    """``value(piece bytes)`` summed up over the words of texts, remembered by word; a piece is a word of its own."""
 
     def __init__(self, value, total):
         """``total`` turns a list of values into one, e.g. ``sum`` or ``b"".join``."""
         self.value, self.total, self.splitter = value, total, splitter()
-        self.by_word: dict[str, object] = {}
-        self.by_piece: dict[str, object] = {}
+        self.known: dict[str, object] = {}
+        self.before: dict[str, object] = {}  # what was known when it last became too much
 
     def piece(self, piece: str):
-        found = self.by_piece.get(piece)
-        if found is None:
-            found = self.value(piece.encode())
-            if len(self.by_piece) < REMEMBERED and len(piece) < 64:
-                self.by_piece[piece] = found
-        return found
+        return self.word(piece, True)
 
-    def word(self, word: str):
-        found = self.total([self.piece(p) for p in self.splitter.of(word)])
-        if len(self.by_word) < REMEMBERED and len(word) < 64:
-            self.by_word[word] = found
+    def word(self, word: str, whole: bool = False):
+        """The total of a word that is not known (any more); ``whole`` if it is one piece."""
+        found = self.known.get(word)
+        if found is None:
+            found = self.before.get(word)
+        if found is None:
+            if whole or self.splitter.letters_only(word.removeprefix(" ")):
+                found = self.value(word.encode())
+            else:
+                found = self.total([self.piece(p) for p in self.splitter.of(word)])
+        if len(word) < 64:
+            if len(self.known) > REMEMBERED:
+                self.before, self.known = self.known, {}
+            self.known[word] = found
         return found
 
     def text(self, text: str):
@@ -101,7 +106,7 @@ class Words:
         if self.splitter.entangled(text):
             return self.total([self.piece(p) for p in self.splitter.of(text)])
         first, *rest = text.split(" ")
-        get, out = self.by_word.get, []
+        get, out = self.known.get, []
         if first:
             out.append(self.word(first))
         for word in rest:

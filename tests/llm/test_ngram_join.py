@@ -105,3 +105,49 @@ def test_repeated_rows_and_empty_table(spark):
 
 def test_query_equals_sql(spark, sf):
     assert spark_rows(entry.queries()["op2_ngram_join"](spark, sf)) == duck_rows(duck(sf), entry.oracle_sql()["op2_ngram_join"])
+
+
+@pytest.mark.parametrize("n", [100, 300])
+def test_links_grow_with_the_sets(spark, n):
+    """A group of near copies gives no more than a small multiple of links, though all its pairs would link."""
+    rng = np.random.default_rng(n)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for place in rng.integers(0, 300, 2):
+            own[place] = f"x{i}y{place}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    signed = j.stored(j.signed_sets(docs), "sets")
+    links = j._links(docs, j._nodes(signed), signed)
+    assert n - 1 <= links.count() <= 2 * n
+    assert {r.component_id for r in j.joined_components(docs).collect()} == {0}
+
+
+def test_near_copies_of_which_some_fail(spark):
+    """Hundreds of sets around the threshold, so that proposals fail and others have to be tried."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(240):
+        own = list(base)
+        for place in rng.choice(120, int(rng.integers(0, 4)) if i % 10 else 9, replace=False):
+            own[place] = f"x{i}y{place}"
+        rows.append((i, " ".join(own)))
+    sets = {i: j.shingles(t) for i, t in rows}
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in j.joined_components(docs).collect()} == {i: root(i) for i in sets}
+    assert len({root(i) for i in sets}) > 5

@@ -32,8 +32,8 @@ from tidemark.plans.stored import stored
 from tidemark.session import fresh_path
 
 BLOCK_IDS = 1 << 18
-# Bytes of words and their ids that a worker process remembers, about.
-REMEMBERED = 64 << 20
+# Bytes of words and their ids that a worker process remembers, about, and as many from before.
+REMEMBERED = 48 << 20
 
 
 def _mark(library: Tokenizer) -> re.Pattern:
@@ -44,7 +44,8 @@ def _mark(library: Tokenizer) -> re.Pattern:
     letters = [c for c in tokenizers_members(r"\p{L}") if not c.isspace()]
     became = library.normalizer.normalize_str(" ".join(letters)).split(" ")
     known = set(letters)
-    return re.compile(f"(?<=[{_ranges([c for c, n in zip(letters, became, strict=True) if n in known])}])([.,])(?= |\\Z)")
+    whole = _ranges([c for c, n in zip(letters, became, strict=True) if n in known])
+    return re.compile(f"([.,])(?<=[{whole}].)(?= |\\Z)")
 
 
 class Encoder:
@@ -58,6 +59,7 @@ class Encoder:
         self.library.no_padding()
         self.kind = id_kind(path, end_id)
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}  # what was known when it last became too much
         self.held = 0
 
     def _each(self, texts: list[str]) -> dict[str, bytes]:
@@ -79,14 +81,18 @@ class Encoder:
         split = [self.mark.sub(r" \1", (t or "").replace("\n", " ")).split(" ") for t in texts]
         known = self.known
         new = set(chain.from_iterable(split)).difference(known)
+        own = {c: ids for c in new if (ids := self.before.get(c)) is not None}
+        new.difference_update(own)
         letters = [c for c in new if c.isalpha()]
-        own = self._runs_of_letters(letters) if letters else {}
+        own |= self._runs_of_letters(letters) if letters else {}
         own.update(self._each(list(new.difference(letters))))
         known.update(own)
         packed = [b"".join(map(known.__getitem__, parts)) for parts in split]
-        self.held += sum(190 + len(w) + len(ids) for w, ids in own.items())
-        if self.held > REMEMBERED:  # the words of the texts to come fill it again
-            self.known, self.held = {"": b""}, 0
+        self.held += 190 * len(own) + sum(map(len, own)) + sum(map(len, own.values()))
+        for long in [w for w in own if len(w) > 64]:
+            del known[long]
+        if self.held > REMEMBERED:
+            self.before, self.known, self.held = known, {"": b""}, 0
         return packed
 
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import cache
 
 import regex
 
+from tidemark.llm.common import per_process
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECES = regex.compile(PATTERN)
 
@@ -21,9 +22,8 @@ CLASSES = {r"\p{L}": "ª", r"\p{N}": "²", r"\s": " "}
 OTHER = "§"
 
 
-@cache
 def all_characters() -> str:
-    return "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    return per_process(("characters",), lambda: "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])), keep=True)
 
 
 def _ranges(characters: list[str]) -> str:

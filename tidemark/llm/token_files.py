@@ -54,7 +54,7 @@ class Encoder:
     def __init__(self, path: str, end_id: int = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         self.library = Tokenizer.from_file(path)
-        self.mark = _mark(self.library)
+        self.mark = per_process(("mark", path), lambda: _mark(self.library), keep=True)
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = id_kind(path, end_id)

@@ -241,15 +241,11 @@ class EntityStore:
         schema = f"{STORED_SCHEMA}, volume_id INT"
         if not folders:
             return local_table(self.spark, [], schema)
-        # Few paths, one per version that still holds volumes; its unwanted volumes are pruned as partitions.
+        # The folders of the volumes themselves: their number does not grow with the versions, and nothing else is listed.
         data = f"{self.root}/data"
         reader = self.spark.read.schema(f"{schema}, v STRING").option("basePath", data)
         columns = [field.split()[0] for field in schema.split(", ")]
-        rows = reader.parquet(*sorted({f"{data}/{folder.split('/')[0]}" for folder in folders}))
-        volumes = [folder for folder in folders if "/" in folder]
-        if volumes:
-            own = F.concat(F.lit("v="), "v", F.lit("/entity_type="), "entity_type", F.lit("/volume_id="), F.col("volume_id").cast("string"))
-            rows = rows.where(own.isin(volumes))
+        rows = reader.parquet(*[f"{data}/{folder}" for folder in folders])
         return rows.select(*columns)
 
     # --- writing --------------------------------------------------------------------------------

@@ -18,11 +18,11 @@ they are known to repeat, so no group of near copies meets in one task. Exact co
 one node and never form pairs.
 
 **Pairs.** Only components matter. A bucket compares its sets' parity sketches, which bound their difference from
-below, and gives just the likely pairs that join what is not joined yet, fewer than it has sets. Of its pairs over
-all buckets a set keeps the one with the smallest partner; these are checked on their whole texts and join
-labels. So a round makes no more links than there are sets, also in a group of near copies. Rounds go on, in buckets
-that still hold different labels, while they bring new pairs; then buckets with pairs that did not link check all their
-likely, untested pairs, until there are none. Buckets of over
+below, and gives just the likely pairs that join what is not joined yet, fewer than it has sets. In the first round a
+set keeps, of its pairs over all buckets, the one with the smallest partner; these are checked on their whole texts and
+join labels. So that round makes no more links than there are sets, also in a group of near copies. The second round
+does the same with all pairs of the buckets that still hold different labels. From the third on, buckets with pairs that
+did not link check all their likely, untested pairs, until there are none. Buckets of over
 ``BLOCK_NODES`` sets are compared block by block. No cap drops a set or a pair.
 
 Null texts and texts without words have empty sets, linked with nothing; such rows, like all others, keep
@@ -440,8 +440,10 @@ def _links(docs: DataFrame, nodes: DataFrame, signed: DataFrame) -> DataFrame |
     texts = stored(text.dropDuplicates(["fp"]).join(own.select("node", "fp"), "fp").drop("fp"), "texts")
     sketches = texts.select("node", "n_shingles", "sketch")
 
-    labels, links, tested, forest = None, None, None, True
+    labels, links, tested, turn = None, None, None, 0
     while True:
+        turn += 1
+        forest = turn <= 2
         now = left.withColumn("label", F.col("node")) if labels is None else left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         if labels is not None:
             open_ = now.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
@@ -449,13 +451,12 @@ def _links(docs: DataFrame, nodes: DataFrame, signed: DataFrame) -> DataFrame |
         met = stored(likely_pairs(now.join(sketches, "node"), forest), "likely")
         new = met.select("a", "b").distinct()
         new = new if tested is None else new.join(tested, ["a", "b"], "left_anti")
-        # Over all its buckets a set proposes one partner, so there are no more links than sets while pairs link.
-        new = stored(new.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if forest else new, "pairs")
-        if new.isEmpty() and not forest:
-            break
+        # First, over all its buckets a set proposes one partner: no more links than sets, and groups of copies are joined.
+        new = stored(new.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if turn == 1 else new, "pairs")
         if new.isEmpty():
-            forest = False
-            continue
+            if forest:
+                continue
+            break
         tested = new if tested is None else tested.union(new)
         found = stored(linked_pairs(new, texts), "linked")
         links = found if links is None else links.union(found)

@@ -21,8 +21,8 @@ one node and never form pairs.
 below, and gives just the likely pairs that join what is not joined yet, fewer than it has sets. In the first round a
 set keeps, of its pairs over all buckets, the one with the smallest partner; these are checked on their whole texts and
 join labels. So that round makes no more links than there are sets, also in a group of near copies. The second round
-does the same with all pairs of the buckets that still hold different labels. From the third on, buckets with pairs that
-did not link check all their likely, untested pairs, until there are none. Buckets of over
+does the same with all pairs of the buckets that have pairs with different labels. In the third, buckets that still do
+check all their likely, untested pairs with different labels, which leaves none. Buckets of over
 ``BLOCK_NODES`` sets are compared block by block. No cap drops a set or a pair.
 
 Null texts and texts without words have empty sets, linked with nothing; such rows, like all others, keep
@@ -460,10 +460,14 @@ def _links(docs: DataFrame, nodes: DataFrame, signed: DataFrame) -> DataFrame |
         tested = new if tested is None else tested.union(new)
         found = stored(linked_pairs(new, texts), "linked")
         links = found if links is None else links.union(found)
+        if not forest:
+            break  # all likely pairs of all buckets that were left are tested
         labels = components(links, 3)
-        # A bucket all of whose pairs link, or that has none, is done: its likely pairs have one label each.
-        failed = met.join(found, ["a", "b"], "left_anti").select("sig").distinct()
-        left = now.select("sig", "n", "node").join(failed.union(now.where(F.col("n") > BLOCK_NODES).select("sig")).distinct(), "sig")
+        # A bucket is done if the nodes of each of its pairs have one label now, through whatever links: then so have those
+        # of all its likely pairs, as the pairs of a forest join them.
+        apart = met.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+        apart = apart.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("sig")
+        left = now.select("sig", "n", "node").join(apart.union(now.where(F.col("n") > BLOCK_NODES).select("sig")).distinct(), "sig")
     return links
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import Strings, Vocabulary, Words, splitter
-from tidemark.llm.common import map_rows, per_process
+from tidemark.llm.common import fresh, map_rows, per_process
 from tidemark.plans.stored import stored
 
 LEAF = 128
@@ -115,7 +115,7 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    return per_process(("bpe_codec", path), lambda: Codec(path))
+    return per_process(("bpe_codec", path), fresh(lambda: Codec(path)))
 
 
 def stretches(text: str, size: int, special) -> list[tuple[str, bytes]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -41,6 +43,21 @@ def per_process(key: tuple, make: Callable, keep: bool = False):
     return store[key]
 
 
+def fresh(make: Callable) -> Callable:
+    """``make`` for an operator without a model: what earlier ones opened in the worker process goes before, and its memory with it."""
+
+    def made():
+        sys.modules["_tidemark_llm_state"].__dict__.pop(OPENED, None)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+        if trim:
+            trim(0)
+        return make()
+
+    return made
+
+
 class Shared:
     """A model of bounded size, broadcast once and opened once in a worker process."""
 

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, per_process, slices
+from tidemark.llm.common import fresh, map_rows, per_process, slices
 from tidemark.plans.stored import stored
 
 WORDS = 5
@@ -83,7 +83,7 @@ class WordHashes(dict):
 
 def hashed(texts: list) -> list[np.ndarray]:
     """Of each text the sorted distinct 64-bit hashes of its shingles."""
-    known = per_process(("ngram_join", "words"), WordHashes)
+    known = per_process(("ngram_join", "words"), fresh(WordHashes))
     if len(known) > REMEMBERED:
         known.clear()
     flat, sizes = [], []

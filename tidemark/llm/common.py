@@ -43,16 +43,21 @@ def per_process(key: tuple, make: Callable, keep: bool = False):
     return store[key]
 
 
+def give_back() -> None:
+    """Returns to the machine what a worker has freed; idle workers would keep it while others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def fresh(make: Callable) -> Callable:
     """``make`` for an operator without a model: what earlier ones opened in the worker process goes before, and its memory with it."""
 
     def made():
         sys.modules["_tidemark_llm_state"].__dict__.pop(OPENED, None)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
-        if trim:
-            trim(0)
+        give_back()
         return make()
 
     return made
@@ -110,6 +115,8 @@ def map_rows(df: DataFrame, columns: list, schema: str, function: Callable, rows
         for part in slices(batches, rows):
             out = function(part.to_pydict())
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        part = out = None
+        give_back()
 
     return narrow.mapInArrow(run, target)
 
@@ -121,5 +128,7 @@ def keep_rows(df: DataFrame, column: str, decide: Callable) -> DataFrame:
     def run(batches):
         for part in slices(batches):
             yield part.filter(pa.array(decide(part.column(at).to_pylist()), pa.bool_()))
+        part = None
+        give_back()
 
     return df.mapInArrow(run, df.schema)

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, map_rows, per_process, slices
+from tidemark.llm.common import fresh, give_back, map_rows, per_process, slices
 from tidemark.plans.stored import stored
 
 WORDS = 5
@@ -268,6 +268,8 @@ def signed_sets(docs: DataFrame) -> DataFrame:
                 held, size = [], 0
         if held:
             yield flush()
+        held = sets = found = owner = part = None
+        give_back()
 
     def look(table):
         bucket = table.column("bucket")[0].as_py()
@@ -353,6 +355,8 @@ def likely_pairs(members: DataFrame, forest: bool) -> DataFrame:
             yield found(table.slice(0, cuts[-1]), cuts, schema)
         if held is not None:
             yield found(held, [0, held.num_rows], schema)
+        batch = table = held = None
+        give_back()
 
     def found(table, cuts, schema):
         nodes, side, labels, sizes = (table.column(i).to_numpy() for i in (2, 1, 3, 4))

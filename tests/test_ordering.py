@@ -86,3 +86,32 @@ def test_one_row_very_late(spark):
     assert ordering.smallest_buffer(rows, "k", "arrival") == 100_000
     assert ordering.late_rows(rows, "k", "arrival", [30, 200_000]).orderBy("buffer_size").collect()[0].late_rows == 1
     assert ordering.smallest_buffer(rows.limit(0), "k", "arrival") == 0
+
+
+def test_late_column_of_a_reordered_feed(spark):
+    """A row is late if more rows than the buffer holds came before it with a greater key."""
+    rng = random.Random(5)
+    keys = [i + rng.randrange(60) for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(keys)), "arrival BIGINT, k BIGINT")
+    got = ordering.reordered_in(rows, "k", "arrival", 20).orderBy("arrival_rank").collect()
+    late = [sum(k > keys[i] for k in keys[:i]) > 20 for i in range(len(keys))]
+    assert [r.late for r in got] == late and any(late) and not all(late)
+    assert [r.emit_index for r in got] == [sorted(range(300), key=lambda i: (keys[i], i)).index(i) for i in range(300)]
+
+
+def test_no_wide_rows_are_sorted_to_count_late_ones(spark, monkeypatch):
+    """Rows that are counted carry one running number; only cells of blocks have one for each digit."""
+    widths = []
+    held = ordering.running_before
+
+    def running(df, values, *args, **kwargs):
+        widths.append((len(values), "arrival_rank" in df.columns))
+        return held(df, values, *args, **kwargs)
+
+    monkeypatch.setattr(ordering, "running_before", running)
+    rng = random.Random(7)
+    keys = [rng.randrange(1000) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(keys)), "arrival BIGINT, k BIGINT")
+    got = ordering.greater_before(rows, "k", "arrival", bits=3).orderBy("arrival_rank").collect()
+    assert [r.greater_before for r in got] == [sum(k > keys[i] for k in keys[:i]) for i in range(len(keys))]
+    assert widths and not any(of_rows for _, of_rows in widths)

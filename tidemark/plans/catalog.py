@@ -389,9 +389,9 @@ def smallest_buffer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reorder_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """Arrivals put in order."""
-    rows = ordering.reordered(roles.arrivals(spark, sf), "event_id", "arrival", ["event_id"])
-    return rows.select("event_id", "arrival_rank", "emit_index")
+    """Arrivals put in order, and whether a buffer of the feed's size is too short for one."""
+    rows = ordering.reordered_in(roles.arrivals(spark, sf), "event_id", "arrival", ordering.FEED_BUFFER, ["event_id"])
+    return rows.select("event_id", "arrival_rank", "emit_index", "late")
 
 
 # --- metrics ----------------------------------------------------------------------------------------------

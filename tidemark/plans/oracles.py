@@ -174,8 +174,10 @@ FROM spine LEFT JOIN best USING (id) LEFT JOIN found USING (id), bounds
 WHERE (b IS NOT NULL OR found.data IS NOT NULL) AND {where_spine}"""
 
 
-ARRIVAL = """
-a AS (SELECT event_id, row_number() OVER (ORDER BY event_id + (event_id * 7919) % 31, event_id) - 1 AS pos FROM events),
+ARRIVAL_ORDER = """
+a AS (SELECT event_id, row_number() OVER (ORDER BY event_id + (event_id * 7919) % 31, event_id) - 1 AS pos FROM events)"""
+
+ARRIVAL = f"""{ARRIVAL_ORDER},
 inv AS (SELECT x.event_id, count(y.event_id) AS c
         FROM a x LEFT JOIN a y ON y.pos < x.pos AND y.event_id > x.event_id GROUP BY 1)"""
 
@@ -316,8 +318,10 @@ ORACLES: dict[str, str] = {
         SELECT CAST(n AS INTEGER) AS buffer_size, count(*) FILTER (WHERE c > n) AS late_rows
         FROM inv, (VALUES (5), (30)) s(n) GROUP BY 1""",
     "smallest_buffer": f"WITH {ARRIVAL} SELECT max(c) AS smallest_buffer FROM inv",
-    "reorder_feed": """SELECT event_id, row_number() OVER (ORDER BY event_id + (event_id * 7919) % 31, event_id) - 1
-            AS arrival_rank, row_number() OVER (ORDER BY event_id) - 1 AS emit_index FROM events""",
+    "reorder_feed": f"""WITH {ARRIVAL_ORDER},
+        before AS (SELECT x.pos, count(*) AS n FROM a x JOIN a y ON y.pos < x.pos AND y.event_id > x.event_id GROUP BY 1)
+        SELECT event_id, pos AS arrival_rank, row_number() OVER (ORDER BY event_id) - 1 AS emit_index,
+          coalesce(n > 30, false) AS late FROM a LEFT JOIN before USING (pos)""",
     "feed_rate": f"""WITH {EVENT}, {TYPED_FEED}
         SELECT event_ts_ms // 86400000 * 86400000 AS period_start_ms, entity_type, count(*) AS events,
           CAST(sum(sz) AS BIGINT) AS bytes, count(*) / 86400.0::DOUBLE AS events_per_sec FROM tf GROUP BY 1, 2""",

@@ -115,3 +115,18 @@ def test_no_body_is_sorted_where_nothing_repeats(spark):
     plan = once._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
     assert bootstrap.one_per_entity(df.limit(0)).count() == 0
+
+
+def test_a_task_reconciles_so_many_ids_however_long_the_spine(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "TASK_IDS", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        entity = [F.lit("Item").alias("entity_type"), F.col("id").alias("entity_num"), F.lit(1).cast("bigint").alias("revision")]
+        dump = spark.range(10_000).select(*entity, F.lit("dump").alias("data")).where("entity_num % 2 = 0")
+        content = spark.range(10_000).select(*entity, F.lit("found").alias("data")).where("entity_num % 5 > 0")
+        got = bootstrap.reconcile(bootstrap.id_spine(spark, "Item", 1, 5000), dump, content)
+        tasks = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_if(F.col("data") == "dump").alias("dumped")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(t.n for t in tasks) == 2500 + 2000 and sum(t.dumped for t in tasks) == 2500
+    assert max(t.n for t in tasks) < 300

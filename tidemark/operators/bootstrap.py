@@ -11,6 +11,9 @@ from tidemark.schemas import KEY, entity_type
 # Fixed value: ids beyond the latest known one that a first load still covers.
 END_MARGIN = 100
 
+# Ids of the spine that a task reconciles.
+TASK_IDS = 1 << 17
+
 
 def id_spine(spark: SparkSession, ty: str, lo: int, hi: int) -> DataFrame:
     """Every id from ``lo`` to ``hi`` of a type."""
@@ -43,9 +46,12 @@ def reconcile(spine: DataFrame, dump: DataFrame, content: DataFrame) -> DataFram
 
     Dump rows outside the spine are dropped. Content may have several revisions of an entity, as the feed
     asks for them; the highest counts. Adds ``origin`` (dump or lookup). Which ids are missing is found on the
-    narrow keys, and only the content of those is reduced.
+    narrow keys, and only the content of those is reduced. Ids are dealt to as many tasks as the spine needs, so that what a
+    task sorts does not grow with it.
     """
     key = list(KEY)
+    tasks = max(spine.sparkSession.sparkContext.defaultParallelism, -(-spine.count() // TASK_IDS))
+    spine = spine.repartition(tasks, "entity_num")  # joins deal their other side alike
     dumped = one_per_entity(dump.join(spine, key, "left_semi"))
     looked_up = one_per_entity(content.join(missing_ids(spine, dump), key, "left_semi"))
     columns = [*key, "revision", "data"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_merge import COMMANDS, replay
 from tidemark.operators import quality
 from tidemark.operators.export import write_volumes
+from tidemark.schemas import POSITION_SCHEMA
 from tidemark.sources.store import EntityStore
 
 ENTITY = "entity_type STRING, entity_num BIGINT, revision BIGINT, data STRING"
@@ -224,3 +225,30 @@ def test_a_scan_lists_volumes_and_not_versions(spark, tmp_path):
     assert store.latest() == 12 and store.manifest().count() == volumes and roots == volumes
     assert "Filter" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert {n: held(store)[n * 4] for n in range(1, 13)} == {n: (6, f"v{n}") for n in range(1, 13)}
+
+
+def test_small_volumes_share_a_task(spark, tmp_path):
+    store = EntityStore(spark, str(tmp_path), max_volume_bytes=200)
+    layout, pieces = store._layout({("Item", n): 150 + n % 60 for n in range(2000)} | {("Lexeme", 0): 1000})
+    rows = layout.orderBy("entity_type", "volume_id").collect()
+    assert pieces < 8 * spark.sparkContext.defaultParallelism
+    assert [(r.entity_type, r.volume_id) for r in rows] == [("Item", n) for n in range(2000)] + [("Lexeme", 0)]
+    assert {r.pieces for r in rows[:-1]} == {1} and rows[-1].pieces == 5 and rows[-1].first_piece == pieces - 5
+    assert sorted({r.first_piece for r in rows[:-1]}) == list(range(pieces - 5))
+
+
+def test_positions_of_a_load_are_evaluated_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def read(ty):
+        calls.add(1)
+        return ty
+
+    at = spark.createDataFrame([("Item", 5), ("Lexeme", 7)], "ty STRING, last_event_ts_ms BIGINT").select(
+        F.udf(read, "string").asNondeterministic()("ty").alias("entity_type"),
+        F.lit(None).cast(POSITION_SCHEMA).alias("last_event_id"), "last_event_ts_ms",
+    )
+    store = EntityStore(spark, str(tmp_path))
+    store.load(entities(spark, [1, 2]), at)
+    assert calls.value == 2
+    assert sorted((r.entity_type, r.last_event_ts_ms, r.initialized) for r in store.progress().collect()) == [("Item", 5, True), ("Lexeme", 7, True)]

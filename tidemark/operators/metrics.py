@@ -157,9 +157,11 @@ def never_pending(ledger: DataFrame) -> DataFrame:
 def _position_at(changes: DataFrame, pick, pick_by, prefix: str) -> DataFrame:
     """Position at the extreme timestamp per type, ties decided by seq.
 
-    The extreme is found on numbers alone; whole positions are only compared among the rows that have it.
+    The extreme is found on numbers alone; whole positions are only compared among the rows that have it. What both
+    steps read is written once, so that changes are decoded once.
     """
     ts = f"{prefix}_event_ts_ms"
+    changes = stored(changes.select("entity_type", "seq", "event_ts_ms", "event_id"), "positions")
     ends = changes.groupBy("entity_type").agg(pick("event_ts_ms").alias(ts))
     # One row per entity type.
     at_end = changes.join(F.broadcast(ends), "entity_type").where(F.col("event_ts_ms") == F.col(ts))

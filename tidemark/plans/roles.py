@@ -81,7 +81,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     revision is 13.
     """
     kind = F.when(F.col("value") < 0.5, "categorize").otherwise(event_kind())
-    revision = event_revision()
+    revision = F.col("_revision")
     title = F.concat(by_type(user_type(), "title_prefix"), format_id(user_type(), F.col("user_id")))
     payload = F.to_json(
         F.struct(
@@ -97,7 +97,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     landed = evaluated_once(
-        table(spark, sf_dir, "events"),
+        evaluated_once(table(spark, sf_dir, "events"), _revision=event_revision()),
         event_id_json=position_json(epoch_ms(F.col("ts")), F.col("event_type") == "view"),
         data=F.when(F.col("value") > 300, F.substring(payload, 1, 40)).otherwise(payload),
     )

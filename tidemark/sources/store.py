@@ -38,6 +38,10 @@ from tidemark.schemas import KEY, MANIFEST_SCHEMA, PROGRESS_SCHEMA, SETTLED_SCHE
 BODY = ("entity_type", "entity_num", "revision", "data")
 VOLUME_KEY = ("entity_type", "volume_id")
 
+# Small volumes are written by one task up to this many bytes, while every core has as many tasks.
+PIECE_BYTES = 16 * 1024 * 1024
+PIECES_A_CORE = 4
+
 
 class Volume(NamedTuple):
     """A manifest row."""
@@ -253,14 +257,22 @@ class EntityStore:
     def _layout(self, expected: dict) -> tuple[DataFrame, int]:
         """Where the rows of volumes go, as (entity_type, volume_id, first_piece, pieces), and the number of pieces.
 
-        ``expected`` has the likely bytes per (entity_type, volume_id). A volume is one piece, written by one task,
-        unless it holds more than the budget; then its ids are spread over several.
+        ``expected`` has the likely bytes per (entity_type, volume_id). A piece is written by one task. A volume lies in
+        one piece, unless it holds twice the budget or more; then its ids are spread over several. Small volumes share a
+        piece, as long as there is one for each core a few times over.
         """
-        total, layout = 0, []
+        cores = self.spark.sparkContext.defaultParallelism
+        share = min(PIECE_BYTES, sum(expected.values()) // (PIECES_A_CORE * cores))
+        total, filled, layout = 0, None, []  # ``filled``: bytes in the last piece while it takes more volumes
         for key, size in expected.items():
-            count = max(1, -(-size // max(self.max_volume_bytes, 1)))
+            count = max(1, size // max(self.max_volume_bytes, 1))
+            if count == 1 and filled is not None and filled + size <= share:
+                layout.append((*key, total - 1, 1))
+                filled += size
+                continue
             layout.append((*key, total, count))
             total += count
+            filled = size if count == 1 else None
         table = local_table(self.spark, layout, "entity_type STRING, volume_id INT, first_piece INT, pieces INT")
         return (F.broadcast(table) if len(layout) <= BROADCAST_ROWS else table), max(total, 1)
 
@@ -378,6 +390,8 @@ class EntityStore:
         """
         latest = self.latest()
         version = 0 if latest is None else latest + 1
+        if positions is not None:
+            positions = positions.select("entity_type", "last_event_id", "last_event_ts_ms").collect()
         staged_at = f"staging/{uuid.uuid4().hex}"
         sized = entities.select(*BODY, raw_size(F.col("data")).alias("raw_bytes"))
         try:
@@ -390,7 +404,7 @@ class EntityStore:
             current = [v for v in self._volumes(latest) if v.entity_type not in loaded]
             current += [v._replace(**written[v.entity_type, v.volume_id]) for v in volumes]
             if positions is not None:  # also a type that has nothing to load is then loaded
-                loaded |= {row.entity_type for row in positions.select("entity_type").collect()}
+                loaded |= {row.entity_type for row in positions}
             self._publish(version, current, self._progress(positions, current, loaded), self._streams(), self._commit(latest)["settled"])
         finally:
             self._filesystem().delete(self._path(staged_at), True)

@@ -34,7 +34,11 @@ def _landed(reader, fmt: str):
 
 def read_feed(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Landed feed records (seq, event_id_json, data) as a batch; for JSON also ``corrupt``, the text of broken lines."""
-    return _landed(spark.read, fmt).load(path)
+    landed = _landed(spark.read, fmt).load(path)
+    if CORRUPT not in landed.columns:
+        return landed
+    # Spark refuses a query that needs this column alone, so it names another one; what it adds is always null.
+    return landed.withColumn(CORRUPT, F.coalesce(CORRUPT, F.nullif("seq", "seq").cast("string")))
 
 
 def read_feed_stream(

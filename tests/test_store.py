@@ -237,6 +237,13 @@ def test_small_volumes_share_a_task(spark, tmp_path):
     assert sorted({r.first_piece for r in rows[:-1]}) == list(range(pieces - 5))
 
 
+def test_pieces_of_grown_volumes_follow_their_bytes(spark, tmp_path):
+    store = EntityStore(spark, str(tmp_path), max_volume_bytes=200)
+    layout, pieces = store._layout({("Item", n): 600 + n % 60 for n in range(2000)})
+    assert pieces < 8 * spark.sparkContext.defaultParallelism
+    assert layout.count() == 2000 and layout.where("pieces <> 1").isEmpty()
+
+
 def test_positions_of_a_load_are_evaluated_once(spark, tmp_path):
     calls = spark.sparkContext.accumulator(0)
 

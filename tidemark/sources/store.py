@@ -259,13 +259,17 @@ class EntityStore:
 
         ``expected`` has the likely bytes per (entity_type, volume_id). A piece is written by one task. A volume lies in
         one piece, unless it holds twice the budget or more; then its ids are spread over several. Small volumes share a
-        piece, as long as there is one for each core a few times over.
+        piece, as long as there is one for each core a few times over. With a small budget the same goes for those that are
+        spread, so that pieces follow the bytes that are written, not the number of volumes.
         """
         cores = self.spark.sparkContext.defaultParallelism
         share = min(PIECE_BYTES, sum(expected.values()) // (PIECES_A_CORE * cores))
+        budget = max(self.max_volume_bytes, 1)
+        spread = sum(size for size in expected.values() if size >= 2 * budget)
+        budget = max(budget, min(PIECE_BYTES, spread // (PIECES_A_CORE * cores)))
         total, filled, layout = 0, None, []  # ``filled``: bytes in the last piece while it takes more volumes
         for key, size in expected.items():
-            count = max(1, size // max(self.max_volume_bytes, 1))
+            count = max(1, size // budget)
             if count == 1 and filled is not None and filled + size <= share:
                 layout.append((*key, total - 1, 1))
                 filled += size

@@ -559,7 +559,8 @@ def _followed(spark: SparkSession, sf: str) -> EntityStore:
     feed = roles.feed(spark, sf)
     damaged = F.when(F.col("seq") % 97 == 0, "damaged").otherwise(F.col("event_id_json"))
     feed = feed.withColumn("event_id_json", damaged)
-    feed.union(feed).write.json(f"{store.root}/feed")
+    twice = feed.withColumn("_delivery", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_delivery")
+    twice.write.json(f"{store.root}/feed")
     landed = stored(roles.content(spark, sf), "landed")
     jobs.follow(
         store, feed_source.read_feed_stream(spark, f"{store.root}/feed"), landed, roles.WIKI, "feed",

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ids import format_id
 from tidemark.plans.local import local_table
-from tidemark.plans.once import evaluated_once
 from tidemark.schemas import by_type
 
 # The wiki the feed is filtered for; clicks are published under another one.
@@ -80,28 +79,34 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     off where value > 300, of an unknown kind where value < 0.5, without a readable title where the
     revision is 13.
     """
-    kind = F.when(F.col("value") < 0.5, "categorize").otherwise(event_kind())
-    revision = F.col("_revision")
-    title = F.concat(by_type(user_type(), "title_prefix"), format_id(user_type(), F.col("user_id")))
+    # Step by step, each column once: one that is used several times is not computed again, one that is not used not at all.
+    user = F.col("_user")
+    title = F.concat(by_type(user, "title_prefix"), format_id(user, F.col("user_id")))
     payload = F.to_json(
         F.struct(
             F.struct(F.col("event_id").cast("string").alias("id"), F.lit("changes").alias("stream")).alias("meta"),
-            kind.alias("type"),
-            by_type(user_type(), "namespace").alias("namespace"),
-            F.when(revision == 13, F.concat(F.lit("x"), title)).otherwise(title).alias("title"),
+            F.col("_kind").alias("type"),
+            by_type(user, "namespace").alias("namespace"),
+            F.when(F.col("_revision") == 13, F.concat(F.lit("x"), F.col("_title"))).otherwise(F.col("_title")).alias("title"),
             F.when(F.col("event_type") == "purchase", "/* wbcreateredirect:0||Q1|Q2 */")
             .otherwise('edited "this" page')
             .alias("comment"),
-            F.when(kind != "log", F.struct((revision - 1).alias("old"), revision.alias("new"))).alias("revision"),
+            F.when(F.col("_kind") != "log", F.struct((F.col("_revision") - 1).alias("old"), F.col("_revision").alias("new")))
+            .alias("revision"),
             F.when(F.col("event_type") == "click", "otherwiki").otherwise(WIKI).alias("wiki"),
         )
     )
-    landed = evaluated_once(
-        evaluated_once(table(spark, sf_dir, "events"), _revision=event_revision()),
-        event_id_json=position_json(epoch_ms(F.col("ts")), F.col("event_type") == "view"),
-        data=F.when(F.col("value") > 300, F.substring(payload, 1, 40)).otherwise(payload),
+    events = table(spark, sf_dir, "events").withColumns({
+        "_user": user_type(),
+        "_kind": F.when(F.col("value") < 0.5, "categorize").otherwise(event_kind()),
+        "_revision": event_revision(),
+    })
+    landed = events.withColumn("_title", title).withColumn("_payload", payload)
+    return landed.select(
+        F.col("event_id").alias("seq"),
+        position_json(epoch_ms(F.col("ts")), F.col("event_type") == "view").alias("event_id_json"),
+        F.when(F.col("value") > 300, F.substring("_payload", 1, 40)).otherwise(F.col("_payload")).alias("data"),
     )
-    return landed.select(F.col("event_id").alias("seq"), "event_id_json", "data")
 
 
 def typed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:

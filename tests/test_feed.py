@@ -13,7 +13,8 @@ from tidemark.operators.metrics import (
     start_position,
 )
 from tidemark.operators.quality import repeated_commands
-from tidemark.operators.resolve import resolve
+from tidemark.operators.resolve import one_per_request, resolve
+from tidemark.plans import roles
 from tidemark.schemas import PROGRESS_SCHEMA
 from tidemark.sources import content as content_source
 from tidemark.sources import feed as feed_source
@@ -206,3 +207,26 @@ def test_repeated_commands(spark):
     rows = [(1, "Item", 7), (1, "Item", 7), (2, "Item", 7), (1, "Lexeme", 7)]
     found = repeated_commands(spark.createDataFrame(rows, "seq LONG, entity_type STRING, entity_num LONG")).collect()
     assert [(r.entity_type, r.entity_num, r.seq, r.copies) for r in found] == [("Item", 7, 1, 2)]
+
+
+def test_landed_content_is_parsed_once(spark):
+    parsed = spark.sparkContext.accumulator(0)
+
+    def read(body):
+        parsed.add(1)
+        return int(body)
+
+    def parse(landed):
+        return landed.withColumns({"revision": F.udf(read, "bigint").asNondeterministic()("body"), "data": F.col("body")})
+
+    rows = [("Item", n, 1, str(n)) for n in range(20)] + [("Item", n, 1, str(n + 5)) for n in range(0, 20, 4)]
+    landed = spark.createDataFrame(rows, content_source.CONTENT_SCHEMA).coalesce(1)
+    found = one_per_request(landed, parse)
+    assert {r.entity_num: r.revision for r in found.collect()} == {n: n + 5 * (n % 4 == 0) for n in range(20)}
+    assert parsed.value == len(rows)
+
+
+def test_the_head_of_the_feed_needs_no_payloads(spark, sf):
+    head = feed_source.feed_head(roles.feed(spark, sf))
+    assert "otherwiki" not in head._jdf.queryExecution().optimizedPlan().toString()
+    assert head.first().seq == roles.feed(spark, sf).agg(F.min("seq")).first()[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +13,18 @@ from tidemark.schemas import KEY
 from tidemark.sources.content import ContentTable
 
 
-def one_per_request(content: DataFrame, landed: DataFrame | None = None) -> DataFrame:
+def one_per_request(content: DataFrame, parse: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Content that was landed more than once, reduced to the highest found revision per asked revision.
 
-    ``landed`` are the rows that ``content`` was parsed from; with it, what repeats is found without a parse.
+    With ``parse``, ``content`` are landed rows that it makes parsed ones from: what repeats is found without a parse.
     """
-    rows = content.select(*KEY, "requested_revision", "revision", "data")
-    return highest_revision(rows, [*KEY, "requested_revision"], landed)
+    def columns(rows: DataFrame) -> DataFrame:
+        return rows.select(*KEY, "requested_revision", "revision", "data")
+
+    key = [*KEY, "requested_revision"]
+    if parse is None:
+        return highest_revision(columns(content), key)
+    return highest_revision(content, key, lambda landed: columns(parse(landed)))
 
 
 def asked_by(changes: DataFrame, content: DataFrame | ContentTable) -> DataFrame:

@@ -58,7 +58,7 @@ def apply_batch(
         changes, last_seq = renumbered(changes, above), above + facts.records
     wanted = asked_by(changes, content)
     if "body" in content.columns:
-        wanted = one_per_request(accepted(extract_content(wanted)), wanted)
+        wanted = one_per_request(wanted, lambda landed: accepted(extract_content(landed)))
     else:
         wanted = one_per_request(wanted)
     resolve(changes, wanted).write.mode("overwrite").parquet(f"{at}/commands")

@@ -115,3 +115,24 @@ def test_one_id_over_many_partitions(spark, tmp_path):
     want = sorted((i is not None, np.array([*library_ids(t), 2], "<u4").tobytes()) for i, t in rows)
     assert sorted((i is not None, ids) for _, i, _, ids in got) == want
     assert spark.read.parquet(f"{at}/blocks").select("part").distinct().count() > 3
+
+
+def test_each_different_word_once():
+    """Case and marks at the end of a word make no words of their own; the library is asked for each word once."""
+    encoder = token_files.Encoder(PATH)
+    asked = []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(w for t in texts for w in t.split(" "))
+            return self.library.encode_batch_fast(texts, **options)
+
+    encoder.library = Counted(encoder.library)
+    texts = ["Word word WORD, word. Word!! über Über&&& Word", "word?! over-all x<|endoftext|> word's <|ENDOFTEXT|>", "J̌ ǰ ΣΑΣ. İ."] * 2
+    got = [np.frombuffer(ids, encoder.kind).tolist() for text in (texts, texts[:2]) for ids in encoder.encode(text)]
+    assert got == [library_ids(t) for t in texts + texts[:2]]
+    assert asked.count("word") == 1 and len(asked) == len(set(asked))
+    assert "!!" in asked and "word!!" not in asked and "über" in asked

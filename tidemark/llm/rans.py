@@ -133,11 +133,10 @@ class Block:
             slot = state & _MASK
             symbol = out[t] = table.symbol[slot]
             state = table.freq[symbol] * (state >> np.uint64(SCALE)) + slot - table.start[symbol]
-            low = (state < LOWEST).reshape(-1, LANES)
-            rank = low.cumsum(1)
-            place = (at[:, None] + rank - 1)[low]
-            at += rank[:, -1]
-            low = low.ravel()
+            low = np.flatnonzero(state < LOWEST)
+            taken = np.bincount(low // LANES, minlength=len(at))
+            place = np.arange(len(low)) + np.repeat(at - (np.cumsum(taken) - taken), taken)
+            at += taken
             state[low] = state[low] << _WORD | words[np.minimum(place, len(words) - 1)]
         grid = out.reshape(self.steps, len(chosen), LANES).transpose(1, 0, 2).reshape(len(chosen), -1)
         run = self.steps * LANES

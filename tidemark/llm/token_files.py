@@ -1,7 +1,7 @@
 """Token files: whole texts as ids, written as entropy-coded blocks in ascending doc_id order, and read back.
 
-The tokenizers library encodes; words are remembered, since no piece of this kind of vocabulary crosses white
-space and runs of letters are pieces of their own. Every document ends with ``end_id``. Ids are stored once, counted, and written under one
+The tokenizers library encodes each different word of a slice of texts once; words are remembered, since no piece of
+this kind of vocabulary crosses white space and runs of letters are pieces of their own. Every document ends with ``end_id``. Ids are stored once, counted, and written under one
 frequency table: a range partitioning by doc_id orders them, and each partition writes its blocks with the
 number of ids before them in the partition. The container is Parquet (a binary column per block, uncompressed),
 so that Spark's writers commit the files and a lost task leaves nothing half written.
@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
-from itertools import chain
+import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,22 +34,27 @@ from tidemark.session import fresh_path
 BLOCK_IDS = 1 << 18
 # Bytes of words and their ids that a worker process remembers, about, and as many from before.
 REMEMBERED = 48 << 20
+# Texts of a slice; its bytes bound it, and the more it has, the fewer are its different words.
+SLICE_TEXTS = 4096
 
 
 def _mark(library: Tokenizer) -> re.Pattern:
-    """A single stop or comma after a letter, where it is a piece of its own and can stand apart.
+    """ASCII marks between a letter and the end of a word, where they are a piece of their own and can stand apart.
 
-    That is so unless the normalizer turns the letter into more than a letter, whose mark would join the stop.
+    That is so unless the normalizer turns the letter into more than a letter, whose mark would join them, or an
+    added token has such a mark.
     """
     letters = [c for c in tokenizers_members(r"\p{L}") if not c.isspace()]
     became = library.normalizer.normalize_str(" ".join(letters)).split(" ")
     known = set(letters)
     whole = _ranges([c for c, n in zip(letters, became, strict=True) if n in known])
-    return re.compile(f"([.,])(?<=[{whole}].)(?= |\\Z)")
+    added = {c for token in library.get_added_tokens_decoder().values() for c in token.content}
+    marks = "".join(re.escape(c) for c in string.punctuation if c not in added)
+    return re.compile(f"[{marks}](?<=[{whole}].)[{marks}]*(?= |\\Z)")
 
 
 class Encoder:
-    """Texts to ids by the library, word by word."""
+    """Texts to ids by the library, each different word once."""
 
     def __init__(self, path: str, end_id: int = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
@@ -58,36 +63,41 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = id_kind(path, end_id)
+        self.folds = self.library.normalizer.normalize_str(string.ascii_uppercase) == string.ascii_lowercase
+        # A piece ends with an id that is marked as the end of a word, where the vocabulary has such ids.
+        vocabulary, suffix = self.library.get_vocab(), self.library.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}  # what was known when it last became too much
         self.held = 0
 
     def _each(self, texts: list[str]) -> dict[str, bytes]:
-        codes = self.library.encode_batch(texts, add_special_tokens=False)
+        codes = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return {t: np.array(c.ids, self.kind).tobytes() for t, c in zip(texts, codes, strict=True)}
 
     def _runs_of_letters(self, new: list[str]) -> dict[str, bytes]:
-        """Encoded in one go; the library tells which ids belong to which."""
-        code = self.library.encode(" ".join(new), add_special_tokens=False)
-        owner = np.array(code.word_ids)
-        if not len(owner) or owner[-1] + 1 != len(new):  # one of them is more than one piece after all
+        """Encoded in one go; each is a piece, and its last id tells where it ends."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(new) or cuts[-1] != len(ids):  # one of them is more than one piece after all
             return self._each(new)
-        ids = np.array(code.ids, self.kind).tobytes()
-        cuts = [0, *((np.flatnonzero(np.diff(owner)) + 1) * (len(ids) // len(owner))).tolist(), len(ids)]
-        return {w: ids[i:j] for w, i, j in zip(new, cuts[:-1], cuts[1:], strict=True)}
+        data, cuts = ids.tobytes(), [0, *(cuts * ids.itemsize).tolist()]
+        return {w: data[i:j] for w, i, j in zip(new, cuts[:-1], cuts[1:], strict=True)}
 
-    def encode(self, texts: list) -> list[bytes]:
-        """Packed ids of every text."""
-        split = [self.mark.sub(r" \1", (t or "").replace("\n", " ")).split(" ") for t in texts]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of every word."""
+        if self.folds:  # the library would do so
+            words = [w.lower() if w.isascii() and w.isalpha() else w for w in words]
         known = self.known
-        new = set(chain.from_iterable(split)).difference(known)
+        new = set(words).difference(known)
         own = {c: ids for c in new if (ids := self.before.get(c)) is not None}
         new.difference_update(own)
         letters = [c for c in new if c.isalpha()]
         own |= self._runs_of_letters(letters) if letters else {}
         own.update(self._each(list(new.difference(letters))))
         known.update(own)
-        packed = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        packed = list(map(known.__getitem__, words))
         self.held += 190 * len(own) + sum(map(len, own)) + sum(map(len, own.values()))
         for long in [w for w in own if len(w) > 64]:
             del known[long]
@@ -95,6 +105,21 @@ class Encoder:
             self.before, self.known, self.held = known, {"": b""}, 0
         return packed
 
+    def encode(self, texts: list) -> list[bytes]:
+        """Packed ids of every text."""
+        marked = [self.mark.sub(r" \g<0>", (t or "").replace("\n", " ")) for t in texts]
+        split = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        packed = self._words(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(packed), self.kind)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // flat.itemsize
+        start, word = np.cumsum(size) - size, coded.indices.to_numpy()
+        end = np.concatenate([[0], np.cumsum(size[word])])
+        at = np.arange(end[-1]) + np.repeat(start[word] - end[:-1], size[word])
+        data = flat[at].tobytes()
+        cuts = (end[split.offsets.to_numpy()] * flat.itemsize).tolist()
+        return [data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
 
 def id_kind(path: str, end_id: int) -> str:
     """How ids are stored until they are coded: two bytes if that is enough for the vocabulary."""
@@ -110,7 +135,7 @@ def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         end = np.array([end_id], encoder.kind).tobytes()
         return {"doc_id": rows["doc_id"], "ids": [ids + end for ids in encoder.encode(rows["text"])]}
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, ids binary", run)
+    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, ids binary", run, SLICE_TEXTS)
 
 
 def frequency_table(rows: DataFrame, kind: str) -> Table | None:
@@ -208,8 +233,4 @@ def written(docs: DataFrame, path: str, end_id: int) -> str:
 
 def with_crc(found: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of rows as ``read`` gives them."""
-
-    def run(rows):
-        return {**{c: rows[c] for c in ("doc_id", "start", "n_tokens")}, "ids_crc32": [zlib.crc32(i) for i in rows["ids"]]}
-
-    return map_rows(found, ["doc_id", "start", "n_tokens", "ids"], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint", run)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -59,3 +59,44 @@ def test_empty_and_repeated(spark):
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     assert spark_rows(entry.queries()["op9_bm25"](spark, sf)) == duck_rows(duck(sf), entry.oracle_sql()["op9_bm25"])
+
+
+@pytest.mark.parametrize(("matrix", "gathered", "frequent"), [(2048, 1 << 21, 20), (3, 40, 20), (2048, 1 << 21, 1)])
+def test_queries_are_searched_together(matrix, gathered, frequent, monkeypatch):
+    """A shard is searched by many queries at a time, whatever part the matrix has; equal texts tie in any shard."""
+    monkeypatch.setattr(bm25, "MATRIX", matrix)
+    monkeypatch.setattr(bm25, "GATHERED", gathered)
+    monkeypatch.setattr(bm25, "FREQUENT", frequent)
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(300)], k=rng.randint(1, 60))) for _ in range(260)]
+    texts += [texts[3]] * 30 + ["Ünder w0-w1.W0", None, ""]
+    docs = list(enumerate(texts + texts[:90]))
+    queries = [(i, t) for i, t in docs if i % 2 == 0] + [(900, ""), (901, "nowhere")]
+    own = [words(t) for _, t in docs]
+    shards = []
+    for low in range(0, len(docs), 97):
+        held = bm25.Postings()
+        for at in range(low, min(low + 97, len(docs)), 31):
+            part = docs[at : min(at + 31, low + 97)]
+            held.add([i for i, _ in part], [t for _, t in part])
+        shards.append(bm25.Index({c: [data] for c, data in held.row().items()}, sum(map(len, own)) / len(own)))
+    at = {}
+    asked = [(q, [at.setdefault(w, len(at)) for w in dict.fromkeys(words(t))]) for q, t in queries]
+    df = Counter(w for ws in own for w in set(ws))
+    asked = bm25.Asked(asked, bm25.np.array([float(df[w]) for w in at]), len(docs))
+    gathers, found, floor = [], bm25.NONE, bm25.np.zeros(len(queries))
+    plain = bm25.Index._gather
+    monkeypatch.setattr(bm25.Index, "_gather", lambda self, word: gathers.append(1) or plain(self, word))
+    for shard in shards:
+        more = shard.search(asked, at, 10, floor)
+        found = bm25.best(tuple(map(bm25.np.concatenate, zip(found, more, strict=True))), 10)
+    if gathered > 40:
+        assert len(gathers) <= len(shards) * (1 + -(-len(queries) // bm25.CHUNK))
+    want = brute(docs, queries, 10)
+    got, seen = [], Counter()
+    for place, doc, score in zip(*(c.tolist() for c in found), strict=True):
+        seen[place] += 1
+        got.append((queries[place][0], seen[place], doc, score))
+    assert [g[:3] for g in sorted(got)] == [w[:3] for w in want]
+    assert all(abs(g[3] - w[3]) < 1e-7 for g, w in zip(sorted(got), want, strict=True))

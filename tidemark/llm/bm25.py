@@ -7,11 +7,14 @@ the whole corpus. Only documents that share a word with the query are results; e
 to the smaller doc_id.
 
 **Index.** Map tasks turn their documents into shards of up to ``SHARD`` documents: one stored row each, with
-postings by word. **Search.** Queries come in passes of at most ``PASS_QUERIES``, which bounds what is broadcast;
-each pass reads the index once. In a shard, lists of rare words are scored first. The k-th best of these partial
-scores is a threshold; the remaining lists only add up to their block maxima, so documents of blocks that cannot
-reach the threshold are skipped, and the others are completed from the remaining lists. Shard results merge
-exactly, since all shards use the global statistics.
+postings by word. **Search.** Queries come in passes of at most ``PASS_QUERIES`` and, about, ``PASS_BYTES``, which bounds what
+is broadcast; each pass reads the index once. A shard is searched by ``CHUNK`` queries at a time. Lists of rare words are
+scored first; the k-th best of these partial scores is a query's threshold. The frequent words, whose weights lie in a
+matrix of words by documents, only add up to their block maxima, which one matrix product gives for all queries of
+the chunk: blocks of documents that reach the threshold of none are skipped, and those left are completed by a
+product with their part of the matrix. A task merges what its shards give, and its k-th best score so far is the least
+threshold in the next shard. Results merge exactly, since all shards use the global statistics.
+Every sum runs in the order of the pass's words, so equal texts have equal scores in any shard.
 
 Queries without words have no results; null and empty texts are never results; rows without a doc_id are not
 indexed; repeated rows are results each; an empty index gives none. The work is queries times documents by nature, less what pruning saves.
@@ -21,142 +24,209 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import Shared, map_rows, slices
-from tidemark.llm.decontaminate import words
+from tidemark.llm.common import Shared, give_back, map_rows, slices
+from tidemark.llm.decontaminate import FOLD, words
 from tidemark.plans.stored import stored
 
 K1, B = 1.2, 0.75
 SHARD = 4096
 BLOCK = 32
-PASS_QUERIES = 1024
+PASS_QUERIES = 4096
+PASS_BYTES = 32 << 20
+CHUNK = 64
+# Words in more than a FREQUENT-th of all documents are scored by the matrix, at most MATRIX of them.
+FREQUENT = 20
+MATRIX = 2048
+# Postings that are gathered at a time.
+GATHERED = 1 << 21
 SLACK = 1e-6
 
 
+class Postings:
+    """Postings of the documents of a shard, collected slice by slice."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.ids, self.lengths, self.word, self.doc, self.tf = [], [], [], [], []
+        self.size = 0
+
+    def add(self, ids: list, texts: list) -> None:
+        folded = [t.encode().translate(FOLD) if t else b"" for t in texts]
+        split = pc.split_pattern(pa.array(folded, pa.large_binary()), b" ")
+        coded = split.flatten().dictionary_encode()
+        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        doc = np.repeat(np.arange(len(ids)), np.diff(split.offsets.to_numpy()))
+        if b"" in names:
+            kept = code != names.index(b"")
+            code, doc = code[kept], doc[kept]
+        pair, tf = np.unique(code * len(ids) + doc, return_counts=True)
+        numbers = self.numbers
+        number = np.array([numbers.setdefault(w, len(numbers)) if w else -1 for w in names], np.int64)
+        self.word.append(number[pair // len(ids)])
+        self.doc.append(pair % len(ids) + self.size)
+        self.tf.append(tf.astype("<u4"))
+        self.ids += ids
+        self.lengths.append(np.bincount(doc, minlength=len(ids)))
+        self.size += len(ids)
+
+    def row(self) -> dict[str, bytes]:
+        word, doc = np.concatenate(self.word), np.concatenate(self.doc)
+        order = np.argsort(word * self.size + doc)
+        return {
+            "ids": np.array(self.ids, "<i8").tobytes(),
+            "lengths": np.concatenate(self.lengths).astype("<u4").tobytes(),
+            "words": b"\n".join(self.numbers),
+            "counts": np.bincount(word, minlength=len(self.numbers)).astype("<u4").tobytes(),
+            "docs": doc[order].astype("<u2").tobytes(),
+            "tfs": np.concatenate(self.tf)[order].tobytes(),
+        }
+
+
 def build(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row per shard: doc ids, lengths, words (joined by line breaks), postings by word."""
     schema = "ids binary, lengths binary, words binary, counts binary, docs binary, tfs binary"
 
-    def row(held):
-        numbers: dict[bytes, int] = {}
-        flat, lengths = [], []
-        for _, text in held:
-            own = words(text)
-            lengths.append(len(own))
-            flat += [numbers.setdefault(w, len(numbers)) for w in own]
-        word, doc = np.array(flat, np.int64), np.repeat(np.arange(len(held)), lengths)
-        pair, tf = np.unique(word * len(held) + doc, return_counts=True)
-        counts = np.bincount(pair // max(1, len(held)), minlength=len(numbers))
-        columns = (
-            np.array([i for i, _ in held], "<i8"), np.array(lengths, "<u4"), b"\n".join(numbers), counts.astype("<u4"),
-            (pair % max(1, len(held))).astype("<u2"), tf.astype("<u4"),
-        )
-        return pa.RecordBatch.from_arrays([pa.array([c if isinstance(c, bytes) else c.tobytes()], pa.binary()) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
+    def batch(held):
+        return pa.RecordBatch.from_pydict({name: pa.array([data], pa.binary()) for name, data in held.row().items()})
 
     def run(batches):
-        held = []
-        for part in slices(batches):
-            held += zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-            while len(held) >= shard:
-                yield row(held[:shard])
-                held = held[shard:]
-        if held:
-            yield row(held)
+        held = Postings()
+        for part in slices(batches, shard):
+            while part.num_rows:
+                own, part = part.slice(0, shard - held.size), part.slice(shard - held.size)
+                held.add(own.column(0).to_pylist(), own.column(1).to_pylist())
+                if held.size == shard:
+                    yield batch(held)
+                    held = Postings()
+        if held.size:
+            yield batch(held)
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
 
 
+class Asked:
+    """The queries of a pass: the places of their words, each query's in order, and the words' statistics."""
+
+    def __init__(self, asked: list[tuple[int, list[int]]], df: np.ndarray, n: int):
+        self.ids = [q for q, _ in asked]
+        self.first = np.concatenate([[0], np.cumsum([len(ws) for _, ws in asked])]).astype(np.int64)
+        self.places = np.array([w for _, ws in asked for w in sorted(ws)], np.int32)
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        self.frequent = np.zeros(len(df), bool)
+        self.frequent[np.argsort(-df, kind="stable")[:MATRIX]] = True
+        self.frequent &= df > n / FREQUENT
+
+
+NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def best(found: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, doc_id, score) the k best of every query, by query, best first."""
+    query, doc_id, score = found
+    order = np.lexsort((doc_id, -score, query))
+    query = query[order]
+    top = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[top], doc_id[order][top], score[order][top]
+
+
 class Index:
-    """One shard with its postings' weights and block maxima, both without idf."""
+    """One shard with its postings' weights, without idf."""
 
     def __init__(self, rows: dict, mean: float):
         take = lambda name, kind: np.frombuffer(rows[name][0], kind)
         self.ids, lengths = take("ids", "<i8"), take("lengths", "<u4").astype(float)
-        names = rows["words"][0].split(b"\n") if rows["words"][0] else []
-        self.number = {w: i for i, w in enumerate(names)}
+        self.names = rows["words"][0].split(b"\n") if rows["words"][0] else []
         self.counts = take("counts", "<u4").astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.counts)])
         self.docs = take("docs", "<u2").astype(np.int64)
         tf = take("tfs", "<u4").astype(float)
         self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / mean)) if len(tf) else tf
         self.blocks = -(-len(self.ids) // BLOCK)
-        block = np.repeat(np.arange(len(names)), self.counts) * self.blocks + self.docs // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
-        self.block_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.block_at = block[first] % max(1, self.blocks)
-        self.block_start = np.concatenate([[0], np.cumsum(np.bincount(block[first] // max(1, self.blocks), minlength=len(names)))])
 
-    @staticmethod
-    def _gather(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        size = end - start
+    def _gather(self, word: np.ndarray) -> np.ndarray:
+        """Where the postings of words lie, one list after the other."""
+        start, size = self.start[word], self.counts[word]
         total = np.cumsum(size)
         return np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + size, size)
 
-    def search(self, query: list[bytes], idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(doc_id, score) of the shard's k best, best first."""
-        found = [(n, i) for w, i in zip(query, idf, strict=True) if (n := self.number.get(w)) is not None]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        word, weight = np.array([n for n, _ in found]), np.array([i for _, i in found])
-        many = self.counts[word] > max(4, len(self.ids) // 16)
-        score, seen = np.zeros(len(self.ids)), np.zeros(len(self.ids), bool)
-        rare, idf_rare = word[~many], weight[~many]
-        at = self._gather(self.start[rare], self.start[rare + 1])
-        np.add.at(seen, self.docs[at], True)
-        score += np.bincount(self.docs[at], self.weight[at] * np.repeat(idf_rare, self.counts[rare]), len(score))
-        threshold = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        common, idf_common = word[many], weight[many]
-        if len(common):
-            size = self.block_start[common + 1] - self.block_start[common]
-            at = self._gather(self.block_start[common], self.block_start[common + 1])
-            bound = np.bincount(self.block_at[at], self.block_max[at] * np.repeat(idf_common, size), self.blocks)
-            alive = score + np.repeat(bound, BLOCK)[: len(score)] >= threshold - SLACK
-            if alive.sum() > len(score) // 8:  # many left: one pass over the lists
-                at = self._gather(self.start[common], self.start[common + 1])
-                at, gain = at, np.repeat(idf_common, self.counts[common])
-                keep = alive[self.docs[at]]
-                at, gain = at[keep], gain[keep]
-            else:  # few left: look them up in each list
-                left = np.flatnonzero(alive)
-                key = np.repeat(common, len(left)) * 65536 + np.tile(left, len(common))
-                place = np.searchsorted(self.keys, key)
-                hit = (place < len(self.keys)) & (self.keys[np.minimum(place, len(self.keys) - 1)] == key)
-                at, gain = place[hit], np.repeat(idf_common, len(left))[hit]
-            score += np.bincount(self.docs[at], self.weight[at] * gain, len(score))
-            seen[self.docs[at]] = True
-            score[~alive] = 0.0
-            seen &= alive
-        score = np.round(score, 9)
-        own = np.flatnonzero(seen)
-        best = own[np.lexsort((self.ids[own], -score[own]))[:k]]
-        return self.ids[best], score[best]
-
-    @property
-    def keys(self) -> np.ndarray:
-        """word * 65536 + doc of every posting, ascending."""
-        if not hasattr(self, "_keys"):
-            self._keys = np.repeat(np.arange(len(self.counts)), self.counts) * 65536 + self.docs
-        return self._keys
+    def _rare(self, row: np.ndarray, word: np.ndarray, gain: np.ndarray, rows: int) -> np.ndarray:
+        """Scores of a chunk (rows by documents) by lists of (row, word)."""
+        width = self.blocks * BLOCK
+        score = np.zeros(rows * width)
+        size = np.bincount(row, self.counts[word], rows)
+        part = ((np.cumsum(size) - size) // GATHERED)[row]  # rows stay whole, so that sums keep their order
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(row)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            at = self._gather(word[i:j])
+            score += np.bincount(np.repeat(row[i:j] * width, self.counts[word[i:j]]) + self.docs[at], gain[at], len(score))
+        return score.reshape(rows, width)
+
+    def search(self, asked: Asked, at: dict[bytes, int], k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, doc_id, score) of the shard's k best for every query, as far as they reach its ``floor``."""
+        place = np.array([at.get(w, -1) for w in self.names], np.int64)
+        own = np.flatnonzero(place >= 0)
+        number = np.full(len(asked.idf), -1, np.int64)
+        number[place[own]] = own
+        idf = np.zeros(len(place))
+        idf[own] = asked.idf[place[own]]
+        gain = self.weight * np.repeat(idf, self.counts)
+        # The matrix has a line for every frequent word of the pass, so that products add up alike in all shards.
+        line = np.where(asked.frequent, np.cumsum(asked.frequent) - 1, -1)
+        lines = int(asked.frequent.sum())
+        frequent = own[asked.frequent[place[own]]]
+        matrix = np.zeros((lines, self.blocks * BLOCK))
+        postings = self._gather(frequent)
+        matrix[np.repeat(line[place[frequent]], self.counts[frequent]), self.docs[postings]] = self.weight[postings]
+        block_max = matrix.reshape(lines, self.blocks, BLOCK).max(2)
+        found = [NONE]
+        for low in range(0, len(asked.ids), CHUNK):
+            high = min(low + CHUNK, len(asked.ids))
+            word = asked.places[asked.first[low] : asked.first[high]]
+            row = np.repeat(np.arange(high - low), np.diff(asked.first[low : high + 1]))
+            rare = (line[word] < 0) & (number[word] >= 0)
+            score = self._rare(row[rare], number[word[rare]], gain, high - low)
+            if lines:
+                query = np.zeros((high - low, lines))
+                query[row[line[word] >= 0], line[word[line[word] >= 0]]] = asked.idf[word[line[word] >= 0]]
+                bound = query @ block_max + score.reshape(len(score), self.blocks, BLOCK).max(2)
+                alive = (bound >= np.maximum(self._best(score, k), floor[low:high])[:, None] - SLACK).any(0)
+                left = np.repeat(alive, BLOCK)
+                if alive.all():
+                    score += query @ matrix
+                else:
+                    score[:, left] += query @ matrix[:, left]
+                    score[:, ~left] = 0.0
+            # A document that shares a word has a positive score, as every idf is.
+            hit = (score > 0) & (score >= np.maximum(self._best(score, k), floor[low:high])[:, None] - SLACK)
+            row, doc = np.nonzero(hit)
+            found.append(best((row + low, self.ids[doc], np.round(score[hit], 9)), k))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    @staticmethod
+    def _best(score: np.ndarray, k: int) -> np.ndarray:
+        """The k-th best score of every row, 0 if there are fewer."""
+        return np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.zeros(len(score))
 
 
 def _document_counts(index: DataFrame, shared: Shared) -> DataFrame:
     """(place, df) of the words of a pass, by their place in ``shared``."""
 
-    def run(rows):
-        places, dfs = [], []
-        at = shared.value["at"].get
-        for names, counts in zip(rows["words"], rows["counts"], strict=True):
-            for name, n in zip(names.split(b"\n"), np.frombuffer(counts, "<u4").tolist(), strict=False):
-                place = at(name)
-                if place is not None:
-                    places.append(place)
-                    dfs.append(n)
-        return {"place": places, "df": dfs}
+    def run(batches):
+        at = shared.value["at"]
+        df = np.zeros(len(at), np.int64)
+        for part in slices(batches, 1):
+            names, counts = (c.to_pylist()[0] for c in part.columns)
+            place = np.array([at.get(w, -1) for w in names.split(b"\n")] if names else [], np.int64)
+            df[place[place >= 0]] += np.frombuffer(counts, "<u4")[place >= 0]
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(df[seen])], names=["place", "df"])
 
-    return map_rows(index, ["words", "counts"], "place int, df bigint", run, 1).groupBy("place").agg(F.sum("df").alias("df"))
+    return index.select("words", "counts").mapInArrow(run, "place int, df bigint").groupBy("place").agg(F.sum("df").alias("df"))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, pass_queries: int = PASS_QUERIES) -> DataFrame:
@@ -169,37 +239,39 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, pass_queries: int
 
     total = map_rows(index, ["lengths"], "n bigint, words bigint", sizes, 16).agg(F.sum("n"), F.sum("words")).first()
     n, mean = total[0] or 0, (total[1] or 0) / (total[0] or 1) or 1.0
-    passes = max(1, -(-queries.count() // pass_queries))
+    size = queries.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    passes = max(1, -(-size[0] // pass_queries), -(-(size[1] or 0) // PASS_BYTES))
     out = None
     for i in range(passes):
         own = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        asked = [(r.query_id, list(dict.fromkeys(words(r.text)))) for r in own.select("query_id", "text").collect()]
         at: dict[bytes, int] = {}
-        for _, ws in asked:
-            for w in ws:
-                at.setdefault(w, len(at))
+        asked = [(r.query_id, [at.setdefault(w, len(at)) for w in dict.fromkeys(words(r.text))]) for r in own.select("query_id", "text").collect()]
+        names = Shared(spark, {"at": at})
         df = np.zeros(len(at))
-        for r in _document_counts(index, Shared(spark, {"at": at})).collect():
+        for r in _document_counts(index, names).collect():
             df[r.place] = r.df
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        # Words of no document say nothing.
-        shared = Shared(spark, [(q, [w for w in ws if df[at[w]]], idf[[at[w] for w in ws if df[at[w]]]]) for q, ws in asked])
-
-        def run(rows, shared=shared, mean=mean):
-            shard = Index(rows, mean)
-            out = {"query_id": [], "doc_id": [], "score": []}
-            for query, ws, weights in shared.value:
-                ids, scores = shard.search(ws, weights, k)
-                out["query_id"] += [query] * len(ids)
-                out["doc_id"] += ids.tolist()
-                out["score"] += scores.tolist()
-            return out
-
-        found = map_rows(index, ["ids", "lengths", "words", "counts", "docs", "tfs"], "query_id bigint, doc_id bigint, score double", run, 1)
+        shared = Shared(spark, Asked(asked, df, n))
+
+        def run(batches, names=names, shared=shared, mean=mean):
+            at, asked = names.value["at"], shared.value
+            found, floor = NONE, np.zeros(len(asked.ids))
+            for part in slices(batches, 1):
+                more = Index(part.to_pydict(), mean).search(asked, at, k, floor)
+                found = best(tuple(map(np.concatenate, zip(found, more, strict=True))), k)
+                # Queries with k results so far: the last of them is the floor in the shards to come.
+                last = np.flatnonzero(np.bincount(found[0], minlength=len(floor)) == k)
+                floor[last] = found[2][np.searchsorted(found[0], last, "right") - 1]
+                part = more = None
+            ids = pa.array([asked.ids[i] for i in found[0].tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found[1], pa.int64()), pa.array(found[2])], names=["query_id", "doc_id", "score"])
+            give_back()
+
+        columns = ["ids", "lengths", "words", "counts", "docs", "tfs"]
+        found = index.select(columns).mapInArrow(run, "query_id bigint, doc_id bigint, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
-        best = stored(best, "hits") if passes > 1 else best
-        out = best if out is None else out.unionByName(best)
+        hits = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        hits = stored(hits, "hits") if passes > 1 else hits
+        out = hits if out is None else out.unionByName(hits)
     return out
 
 

@@ -110,7 +110,7 @@ class Encoder:
         marked = [self.mark.sub(r" \g<0>", (t or "").replace("\n", " ")) for t in texts]
         split = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
-        packed = self._words(coded.dictionary.to_pylist())
+        packed = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         flat = np.frombuffer(b"".join(packed), self.kind)
         size = np.fromiter(map(len, packed), np.int64, len(packed)) // flat.itemsize
         start, word = np.cumsum(size) - size, coded.indices.to_numpy()
